@@ -79,3 +79,12 @@ def in_range(
 
 def date_number(day: Column) -> Column:
     return F.unix_date(day)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast only after counting; beyond the bound the optimizer joins by shuffle.
+
+    The count stops at the bound, so checking a large table costs no more than that many rows.
+    """
+    held = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if held <= max_rows else df
