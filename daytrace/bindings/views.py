@@ -71,14 +71,17 @@ def entity_days(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_activity(spark: SparkSession, folder: str) -> DataFrame:
-    """Activity dates: a supplier has a report on the day an order of 1-in-9 keys is placed."""
-    orders = table(spark, folder, "orders")
-    pairs = orders.where(F.col("o_orderpriority") == "1-URGENT").select(
+    """Activity dates: urgent orders, each assigned to a supplier number."""
+    urgent = table(spark, folder, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    return urgent.select(
         (F.col("o_custkey") % 100 + 1).cast("string").alias("well"),
         F.col("o_orderdate").cast("date").alias("activity_date"),
-    )
-    return pairs.distinct()
+    ).distinct()
+
 
+ACTIVITY_SQL = """activity AS (
+  SELECT DISTINCT CAST(o_custkey % 100 + 1 AS VARCHAR) AS well, CAST(o_orderdate AS DATE) AS activity_date
+  FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
 RAW_DAYS_SQL = """raw_days AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS well, d AS production_date, hours AS on_stream_hours,

@@ -135,17 +135,21 @@ def development_only(days: DataFrame, split: DataFrame) -> DataFrame:
     return days.where(F.col("production_date") < split.select("development_end").scalar())
 
 
-def cold_start_wells(days: DataFrame, split: DataFrame) -> DataFrame:
-    """Wells with too few valid development days to be modelled (zero included)."""
+def development_counts(days: DataFrame, split: DataFrame) -> DataFrame:
+    """Valid development days per well (zero included) and whether they are too few to model."""
     before = F.col("production_date") < split.select("development_end").scalar()
     counted = days.withColumn("_counts", fd.is_valid() & before)
     return (
         counted.groupBy("well")
         .agg(F.count_if("_counts").alias("development_days"))
-        .where(F.col("development_days") < fixed.MIN_DEVELOPMENT_DAYS)
+        .withColumn("cold_start", F.col("development_days") < fixed.MIN_DEVELOPMENT_DAYS)
     )
 
 
+def cold_start_wells(days: DataFrame, split: DataFrame) -> DataFrame:
+    return development_counts(days, split).where("cold_start").drop("cold_start")
+
+
 def producers_only(days: DataFrame) -> DataFrame:
     """Days of the wells that have at least one valid producing day."""
     wells = days.where(fd.is_valid()).select("well").distinct()

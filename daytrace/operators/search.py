@@ -69,9 +69,10 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int = fixed.HITS_PER_PA
     pairs = _filtered(found, weighted, filters, dated)
     average = totals.select("average_length").scalar()
     # Terms are added in sorted order, so the last bit of a score does not depend on the plan.
-    parts = F.array_sort(F.collect_list(F.struct("term", _part(average).alias("part"))))
+    parts = F.sort_array(F.collect_list(F.struct("term", "part")))
     scored = (
-        pairs.groupBy("chunk_id", "query_id")
+        pairs.withColumn("part", _part(average))
+        .groupBy("chunk_id", "query_id")
         .agg(parts.alias("p"))
         .select(
             "query_id",
