@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,20 +13,28 @@ TOKEN_SHAPE = r"^(\d+)_(\d+)_(.+)$"
 CANONICAL_SHAPE = r"^\d+/\d+-[A-Z]?-?\d+[A-Z]?(?: [A-Z]+\d*)?$"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _from_token(t: Column) -> Column:
+    parts = F.split(F.regexp_extract(t, TOKEN_SHAPE, 3), "_")
+    head = F.concat_ws("/", F.regexp_extract(t, TOKEN_SHAPE, 1), F.regexp_extract(t, TOKEN_SHAPE, 2))
+
+    def named(p: Column) -> Column:
+        platform = F.element_at(p, 1).rlike(r"^\p{L}+$") & (F.size(p) >= 2)
+        used = F.when(platform, F.lit(2)).otherwise(F.lit(1))
+        bore = F.array_join(F.slice(p, used + 1, F.size(p)), " ")
+        well = F.array_join(F.slice(p, F.lit(1), used), "-")
+        return F.concat_ws(" ", F.concat_ws("-", head, well), F.when(F.size(p) > used, bore))
+
+    return F.when(t.rlike(TOKEN_SHAPE), bound(parts, named))
+
+
 def name_from_token(token: Column) -> Column:
     """`15_9_F_1_C` -> `15/9-F-1 C`; a token of another shape gives null."""
-    t = F.trim(token)
-    parts = F.split(F.regexp_extract(t, TOKEN_SHAPE, 3), "_")
-    platform = F.element_at(parts, 1).rlike(r"^\p{L}+$") & (F.size(parts) >= 2)
-    used = F.when(platform, F.lit(2)).otherwise(F.lit(1))
-    well = F.array_join(F.slice(parts, F.lit(1), used), "-")
-    bore = F.slice(parts, used + 1, F.size(parts))
-    head = F.concat(
-        F.regexp_extract(t, TOKEN_SHAPE, 1), F.lit("/"), F.regexp_extract(t, TOKEN_SHAPE, 2), F.lit("-")
-    )
-    name = F.concat(head, well)
-    full = F.when(F.size(bore) > 0, F.concat(name, F.lit(" "), F.array_join(bore, " "))).otherwise(name)
-    return F.when(t.rlike(TOKEN_SHAPE), full)
+    return bound(F.trim(token), _from_token)
 
 
 def is_canonical(name: Column) -> Column:
@@ -35,8 +43,7 @@ def is_canonical(name: Column) -> Column:
 
 def canonical(name: Column) -> Column:
     """Either spelling to the canonical one; null where it cannot be resolved."""
-    t = F.trim(name)
-    return F.when(is_canonical(t), t).otherwise(name_from_token(t))
+    return bound(F.trim(name), lambda t: F.when(t.rlike(CANONICAL_SHAPE), t).otherwise(_from_token(t)))
 
 
 def well_of(wellbore: Column) -> Column:
@@ -45,12 +52,11 @@ def well_of(wellbore: Column) -> Column:
 
 def ascii_digits(text: Column) -> Column:
     """Fold decimal digits of other scripts, and super- and subscript digits, to 0-9."""
-    folded = text
-    for digit in range(10):
-        others = "".join(chr(start + digit) for start in _DIGIT_BLOCKS) + chr(0x2080 + digit)
-        others += _SUPERSCRIPTS[digit]
-        folded = F.regexp_replace(folded, f"[{others}]", str(digit))
-    return folded
+    others = "".join(
+        "".join(chr(start + d) for start in _DIGIT_BLOCKS) + chr(0x2080 + d) + _SUPERSCRIPTS[d] for d in range(10)
+    )
+    plain = "".join(str(d) * (len(_DIGIT_BLOCKS) + 2) for d in range(10))
+    return F.translate(text, others, plain)
 
 
 # fixed values: first code point (digit zero) of the decimal-digit blocks of the Unicode BMP
@@ -86,28 +92,28 @@ def is_hold_out(
     """Fails closed: a name nobody can place counts as held out."""
     tidy = F.regexp_replace(F.upper(F.trim(ascii_digits(well))), r"\s+", " ")
     tidy = F.regexp_replace(tidy, "^NO ", "")
-    unpadded = F.regexp_replace(tidy, r"0+(\d)", "$1")
-    readings = F.array_compact(F.array(*[well_of(n) for n in (well, tidy, unpadded)]))
-    short = bare(tidy)
-    unplaced = starts_with_any(short, hold_out) | ~starts_with_any(short, development)
-    return F.coalesce(
-        well.isin(*hold_out)
-        | F.when(F.size(readings) > 0, F.exists(readings, lambda n: n.isin(*hold_out))).otherwise(unplaced),
-        F.lit(True),
-    )
+
+    def judged(n: Column) -> Column:
+        unpadded = F.regexp_replace(n, r"0+(\d)", "$1")
+        readings = F.filter(F.transform(F.array(well, n, unpadded), well_of), lambda x: x.isNotNull())
+        short = F.regexp_replace(n, "[^A-Z0-9/-]", "")
+        unplaced = starts_with_any(short, hold_out) | ~starts_with_any(short, development)
+        known = bound(readings, lambda r: F.when(F.size(r) > 0, F.exists(r, lambda x: x.isin(*hold_out))))
+        return F.coalesce(known, unplaced)
+
+    return F.coalesce(well.isin(*hold_out) | bound(tidy, judged), F.lit(True))
 
 
 def is_hold_out_label(well: Column, hold_out: Sequence[str] = fixed.HOLD_OUT_WELLS) -> Column:
     """The audit's own match: resolve, else the hold-out name followed by a space."""
-    resolved = well_of(well)
-    prefixed = F.lit(False)
-    for name in hold_out:
-        prefixed = prefixed | well.startswith(name + " ")
-    return F.coalesce(
-        well.isin(*hold_out)
-        | F.when(resolved.isNotNull(), resolved.isin(*hold_out)).otherwise(prefixed),
-        F.lit(False),
-    )
+
+    def judged(resolved: Column) -> Column:
+        prefixed = F.lit(False)
+        for name in hold_out:
+            prefixed = prefixed | well.startswith(name + " ")
+        return F.when(resolved.isNotNull(), resolved.isin(*hold_out)).otherwise(prefixed)
+
+    return F.coalesce(well.isin(*hold_out) | bound(well_of(well), judged), F.lit(False))
 
 
 def hold_out_mentioned(text: Column, hold_out: Sequence[str] = fixed.HOLD_OUT_WELLS) -> Column:

@@ -81,10 +81,11 @@ def date_number(day: Column) -> Column:
     return F.unix_date(day)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting; beyond the bound the optimizer joins by shuffle.
+def within(df: DataFrame, max_rows: int = 100_000) -> bool:
+    """Whether a table has at most `max_rows` rows; the count stops one past the bound."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
-    The count stops at the bound, so checking a large table costs no more than that many rows.
-    """
-    held = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if held <= max_rows else df
+
+def hinted(df: DataFrame, small: bool) -> DataFrame:
+    """A broadcast hint where a size check allowed it; otherwise the optimizer joins by shuffle."""
+    return F.broadcast(df) if small else df

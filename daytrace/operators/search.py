@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daytrace import fixed
 from daytrace.functions import text as ft
-from daytrace.operators.joins import broadcast_if_small, in_range
+from daytrace.operators.joins import hinted, in_range, within
 
 DATE_CELL_DAYS = 64
 
@@ -27,16 +27,22 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.withColumn("term", F.explode(F.array_distinct(ft.tokens(F.col("query"))))).drop("query")
 
 
-def postings(chunks: DataFrame, vocabulary: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Term frequencies (chunk, term) for the terms that are asked for, partitioned by chunk.
+def term_table(chunks: DataFrame, keep: Sequence[str] = (), vocabulary: DataFrame | None = None) -> DataFrame:
+    """Term frequencies (chunk_id, length, term, tf), of all terms or of a broadcast vocabulary.
 
     Rows are shuffled once, by chunk: an id is unique, so no partition is hot however common a
-    word is, and the later sums per chunk need no further shuffle.
+    word is, and the later sums per chunk need no further shuffle. Without a vocabulary the table
+    can be written once and searched many times with `search_terms`.
     """
     words = chunks.select("chunk_id", *keep, ft.tokens(F.col("text")).alias("_t"))
     words = words.withColumn("length", F.size("_t")).withColumn("term", F.explode("_t")).drop("_t")
-    asked = words.join(broadcast_if_small(vocabulary), "term", "left_semi").repartition("chunk_id")
-    return asked.groupBy("chunk_id", *keep, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    if vocabulary is not None:
+        words = words.join(vocabulary, "term", "left_semi")
+    # A fixed number of partitions: each row meets many query terms later on, which the adaptive
+    # planner cannot see when it would merge these partitions by their size.
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = words.repartition(n, "chunk_id").groupBy("chunk_id", *keep, "length", "term")
+    return counted.agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_weights(found: DataFrame, totals: DataFrame) -> DataFrame:
@@ -52,6 +58,12 @@ def _part(average: Column) -> Column:
     return F.col("idf") * tf * (k1 + 1.0) / (tf + k1 * (F.lit(1.0) - b + b * relative))
 
 
+def _asked(queries: DataFrame) -> tuple[list[str], bool]:
+    """Filter columns the queries use, and whether they limit dates."""
+    filters = [c for c in ("well", "wellbore") if c in queries.columns]
+    return filters, "on_or_after" in queries.columns or "on_or_before" in queries.columns
+
+
 def search(chunks: DataFrame, queries: DataFrame, limit: int = fixed.HITS_PER_PASS) -> DataFrame:
     """Top `limit` chunks per query: (query_id, chunk_id, score, matched_terms, rank).
 
@@ -59,13 +71,36 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int = fixed.HITS_PER_PA
     on_or_before (null means no filter). Filters act before ranking; document frequencies and the
     average length stay those of the whole corpus.
     """
-    filters = [c for c in ("well", "wellbore") if c in queries.columns]
-    dated = "on_or_after" in queries.columns or "on_or_before" in queries.columns
-    keep = [*filters, *(["report_date"] if dated else [])]
+    filters, dated = _asked(queries)
+    asked = query_terms(queries)
+    small = within(asked)  # bounds the vocabulary and the weighted query terms as well
+    vocabulary = hinted(asked.select("term").distinct(), small)
+    found = term_table(chunks, [*filters, *(["report_date"] if dated else [])], vocabulary)
+    return _ranked(found, corpus_totals(chunks), asked, small, filters, dated, limit)
+
+
+def search_terms(
+    terms: DataFrame, totals: DataFrame, queries: DataFrame, limit: int = fixed.HITS_PER_PASS
+) -> DataFrame:
+    """The same over a term table and corpus totals built before."""
+    filters, dated = _asked(queries)
     asked = query_terms(queries)
-    totals = corpus_totals(chunks)
-    found = postings(chunks, asked.select("term").distinct(), keep)
-    weighted = asked.join(term_weights(found, totals), "term")
+    small = within(asked)
+    vocabulary = hinted(asked.select("term").distinct(), small)
+    found = terms.join(vocabulary, "term", "left_semi")
+    return _ranked(found, totals, asked, small, filters, dated, limit)
+
+
+def _ranked(
+    found: DataFrame,
+    totals: DataFrame,
+    asked: DataFrame,
+    small: bool,
+    filters: Sequence[str],
+    dated: bool,
+    limit: int,
+) -> DataFrame:
+    weighted = hinted(asked.join(term_weights(found, totals), "term"), small)
     pairs = _filtered(found, weighted, filters, dated)
     average = totals.select("average_length").scalar()
     # Terms are added in sorted order, so the last bit of a score does not depend on the plan.
@@ -90,7 +125,7 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int = fixed.HITS_PER_PA
 
 def _filtered(found: DataFrame, weighted: DataFrame, filters: Sequence[str], dated: bool) -> DataFrame:
     if not filters and not dated:
-        return found.join(broadcast_if_small(weighted), "term")
+        return found.join(weighted, "term")
     first, last = F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")
     for name, default in (("on_or_after", first), ("on_or_before", last)):
         bound = F.coalesce(F.col(name), default) if name in weighted.columns else default
