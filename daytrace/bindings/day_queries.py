@@ -47,7 +47,7 @@ FIELD_LIST = ", ".join(f"CASE WHEN {d} THEN '{f}' END" for f, d in DIFFERS.items
 )
 def duplicate_conflicts(spark, folder) -> DataFrame:
     """A1: supplier-days whose line items disagree, with the fields that differ."""
-    found = od.duplicate_conflicts(raw_days(spark, folder).drop("l_orderkey", "l_linenumber"))
+    found = od.duplicate_conflicts(raw_days(spark, folder))
     return found.select("well", day("production_date"), "rows", joined("disagreeing_fields"))
 
 
@@ -60,7 +60,7 @@ def duplicate_conflicts(spark, folder) -> DataFrame:
 )
 def duplicates_kept(spark, folder) -> DataFrame:
     """A1: one row per supplier-day whose line items agree, the first source kept."""
-    kept = od.collapse_duplicates(raw_days(spark, folder).drop("l_orderkey", "l_linenumber"))
+    kept = od.collapse_duplicates(raw_days(spark, folder))
     return kept.select("well", day("production_date"), "source", rounded("oil_volume_sm3"))
 
 
@@ -73,7 +73,7 @@ def duplicates_kept(spark, folder) -> DataFrame:
 )
 def conflict_rows(spark, folder) -> DataFrame:
     """A1: every line item behind a conflict."""
-    rows = od.conflict_rows(raw_days(spark, folder).drop("l_orderkey", "l_linenumber"))
+    rows = od.conflict_rows(raw_days(spark, folder))
     return rows.select("well", day("production_date"), "source")
 
 

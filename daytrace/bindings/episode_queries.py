@@ -15,6 +15,7 @@ from daytrace.operators import facts as of
 from daytrace.operators import findings as on
 from daytrace.operators import review as orv
 from daytrace.plans import investigation
+from daytrace.session import checkpointed
 
 CHANNELS = ("on_stream_hours", "choke_size", "choke_dp_bar", "downhole_pressure_bar", "wellhead_pressure_bar")
 
@@ -198,6 +199,7 @@ formed AS (
 
 def formed_view(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     days, _, _, episodes = episode_frames(spark, folder)
+    episodes = checkpointed(episodes)
     bundle = og.bundles(episodes, days)
     offsets = og.offsets(episodes, grouped_days(spark, folder, days), "field")
     return episodes, bundle, on.form_hypotheses(bundle, offsets)

@@ -14,12 +14,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def raw_days(spark: SparkSession, folder: str) -> DataFrame:
     """Every line item as a day row of its supplier; suppliers repeat days."""
-    li = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"
+    return _as_days(_line_items(spark, folder))
+
+
+def _line_items(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").select(
+        "l_suppkey",
+        F.col("l_shipdate").cast("date").alias("day"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_quantity",
     )
+
+
+def _as_days(items: DataFrame) -> DataFrame:
     c = F.col
-    day = c("l_shipdate").cast("date")
-    depressed = (12 * F.year(day) + F.month(day) + c("l_suppkey")) % 8 == 0
+    depressed = (12 * F.year("day") + F.month("day") + c("l_suppkey")) % 8 == 0
     hours = (
         F.when(c("l_orderkey") % 97 == 0, F.lit(None).cast("double"))
         .when(c("l_quantity") == 1, 25.0)
@@ -27,15 +38,13 @@ def raw_days(spark: SparkSession, folder: str) -> DataFrame:
         .when(c("l_quantity") <= 6, 3.0)
         .otherwise(24.0)
     )
-    oil = (1000 + 5 * (c("l_partkey") % 7)).cast("double") * F.when(depressed, 0.6).otherwise(1.0)
-    oil = oil * c("on_stream_hours") / 24.0
-    low_pressure = depressed & (c("l_suppkey") % 3 == 0)
+    full = (1000 + 5 * (c("l_partkey") % 7)).cast("double") * F.when(depressed, 0.6).otherwise(1.0)
     return (
-        li.withColumn("on_stream_hours", hours)
-        .withColumn("oil_volume_sm3", oil)
+        items.withColumns({"on_stream_hours": hours, "_full": full, "_depressed": depressed})
+        .withColumn("oil_volume_sm3", c("_full") * c("on_stream_hours") / 24.0)
         .select(
             c("l_suppkey").cast("string").alias("well"),
-            day.alias("production_date"),
+            c("day").alias("production_date"),
             "on_stream_hours",
             "oil_volume_sm3",
             F.when(c("l_partkey") % 53 != 0, c("oil_volume_sm3") * 100.0).alias("gas_volume_sm3"),
@@ -44,30 +53,32 @@ def raw_days(spark: SparkSession, folder: str) -> DataFrame:
             .when(c("l_orderkey") % 509 == 0, F.lit(None).cast("string"))
             .otherwise("producing")
             .alias("well_status"),
-            (50 + 10 * (F.year(day) % 2)).cast("double").alias("choke_size"),
+            (50 + 10 * (F.year("day") % 2)).cast("double").alias("choke_size"),
             F.lit("%").alias("choke_unit"),
             F.when(c("l_orderkey") % 13 == 0, 0.0)
-            .when(low_pressure, (150 + c("l_partkey") % 7).cast("double"))
+            .when(c("_depressed") & (c("l_suppkey") % 3 == 0), (150 + c("l_partkey") % 7).cast("double"))
             .otherwise((200 + c("l_partkey") % 7).cast("double"))
             .alias("downhole_pressure_bar"),
             (30 + c("l_partkey") % 11).cast("double").alias("wellhead_pressure_bar"),
             F.when(c("l_suppkey") % 5 != 0, (2 + c("l_partkey") % 3).cast("double")).alias("choke_dp_bar"),
             F.concat_ws("-", c("l_orderkey"), c("l_linenumber")).alias("source"),
-            c("l_orderkey"),
-            c("l_linenumber"),
         )
     )
 
 
 def entity_days(spark: SparkSession, folder: str) -> DataFrame:
-    """First line item per supplier and day, classified."""
-    raw = raw_days(spark, folder)
-    key = ["well", "production_date"]
-    rest = [c for c in raw.columns if c not in (*key, "l_orderkey", "l_linenumber")]
-    first = raw.groupBy(*key).agg(
-        F.min(F.struct("l_orderkey", "l_linenumber", *rest)).alias("r")
+    """First line item per supplier and day, classified.
+
+    Grouped before the day columns are derived: the aggregate then holds four numbers per group,
+    runs as a hash aggregate, and combines a busy supplier's rows before the shuffle.
+    """
+    order = F.col("l_orderkey") * 1024 + F.col("l_linenumber")
+    first = (
+        _line_items(spark, folder)
+        .groupBy("l_suppkey", "day")
+        .agg(*[F.min_by(c, order).alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")])
     )
-    return od.classify(first.select(*key, "r.*").drop("l_orderkey", "l_linenumber"))
+    return od.classify(_as_days(first))
 
 
 def order_activity(spark: SparkSession, folder: str) -> DataFrame:

@@ -71,12 +71,13 @@ def classify(
     skipped = fd.checks_not_evaluated(capacity, gas_and_water_present)
     none = F.array().cast("array<string>")
     missing = fd.is_missing(status_present)
-    return (
-        days.withColumn("day_class", fd.day_class(failures, status_present))
-        .withColumn("quarantine_reasons", F.when(missing, none).otherwise(failures))
-        .withColumn("checks_not_evaluated", F.when(missing, none).otherwise(skipped))
-        .withColumn("q_24h", fd.daily_rate())
-    )
+    return days.withColumns(
+        {
+            "day_class": fd.day_class(failures, status_present),
+            "quarantine_reasons": F.when(missing, none).otherwise(failures),
+            "checks_not_evaluated": F.when(missing, none).otherwise(skipped),
+        }
+    ).withColumn("q_24h", fd.daily_rate())
 
 
 def class_counts(days: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -23,27 +23,27 @@ def governed_days(days: DataFrame, windows: DataFrame, fits: DataFrame) -> DataF
         fits.select(*key, F.struct(*[c for c in fits.columns if c not in key]).alias("fit")), key, "left"
     )
     held = asof(days, known, ["well"], "production_date", "window_end", "_w", strict=True)
-    rows = held.where(F.col("_w.fit").isNotNull()).select(
-        *days.columns, F.col("_w.window_start"), F.col("_w.window_end"), F.col("_w.fit").alias("fit")
-    )
-    before = (
-        Window.partitionBy(*GOVERNED)
-        .orderBy("production_date")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    valid = fd.is_valid()
+    last = F.max(F.when(valid, F.col("production_date"))).over(Window.partitionBy("well"))
+    # Taken before days without a fit are dropped: they still count as the well's last.
+    rows = held.withColumn("last_valid_day", last).where(F.col("_w.fit").isNotNull())
+    rows = rows.select(
+        *days.columns, "last_valid_day", "_w.window_start", "_w.window_end", F.col("_w.fit").alias("fit")
     )
-    valid = fd.is_valid().cast("bigint")
-    step = F.coalesce(F.sum(valid).over(before), F.lit(0)) + 1
+    before = Window.partitionBy(*GOVERNED).orderBy("production_date").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.coalesce(F.sum(valid.cast("bigint")).over(before), F.lit(0)) + 1
 
     def p(name: str) -> Column:
         return F.col(f"fit.{name}")
 
     q = F.col("q_expected")
     return (
-        rows.withColumn("step", step)
+        rows.withColumns({"step": step, "span_valid_days": F.count_if(valid).over(Window.partitionBy(*GOVERNED))})
         .withColumn("q_expected", fp.expected_rate(p, F.col("step"), F.col("choke_size")))
-        .withColumn("lower", fp.lower_bound(p, q, F.col("step")))
-        .withColumn("upper", fp.upper_bound(p, q, F.col("step")))
-        .withColumn("below", F.coalesce(fd.is_valid() & (F.col("q_24h") < F.col("lower")), F.lit(False)))
+        .withColumns(
+            {"lower": fp.lower_bound(p, q, F.col("step")), "upper": fp.upper_bound(p, q, F.col("step"))}
+        )
+        .withColumn("below", F.coalesce(valid & (F.col("q_24h") < F.col("lower")), F.lit(False)))
     )
 
 
@@ -51,35 +51,40 @@ def below_runs(governed: DataFrame) -> DataFrame:
     """Add per row: the chain of below days it belongs to, and the chain's onset and offset step.
 
     Two below days share a chain when at most two inside days lie between them. A chain opens at
-    its first run of seven; a chain without one has no onset.
+    its first run of seven; a chain without one has no onset. Rows before the first below day of
+    a span are dropped.
     """
-    span = Window.partitionBy(*GOVERNED)
-    ordered = span.orderBy("production_date")
+    ordered = Window.partitionBy(*GOVERNED).orderBy("production_date")
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     below, step = F.col("below"), F.col("step")
     gap = step - F.max(F.when(below, step)).over(earlier)
     starts_chain = below & (gap.isNull() | (gap > fixed.RECOVERY_RUN))
-    nth_below = F.sum(below.cast("bigint")).over(ordered)
+    # Steps count valid days, so the day after the last inside day is where the current run began.
+    run_start = F.coalesce(F.max(F.when(fd.is_valid() & ~below, step)).over(earlier), F.lit(0)) + 1
+    run_days = step - F.col("run_start") + 1
     chain = Window.partitionBy(*GOVERNED, "chain")
-    run = Window.partitionBy(*GOVERNED, "below", "_run")
-    long_run = F.when(below & (F.col("run_days") >= fixed.TRIGGER_RUN), step)
+    # Earliest run of seven or more, and of its rows the one that has run longest.
+    opening = F.min(
+        F.when(below & (run_days >= fixed.TRIGGER_RUN), F.struct("run_start", (-run_days).alias("minus_days")))
+    ).over(chain)
     return (
-        governed.withColumn("chain", F.sum(starts_chain.cast("bigint")).over(ordered))
-        .withColumn("_run", F.when(below, step - nth_below))
-        .withColumn("run_days", F.count(F.lit(1)).over(run))
-        .withColumn("onset_step", F.min(long_run).over(chain))
-        .withColumn("trigger_run_days", F.min_by("run_days", long_run).over(chain))
-        .withColumn("offset_step", F.max(F.when(below, step)).over(chain))
-        .withColumn("span_valid_days", F.count_if(fd.is_valid()).over(span))
-        .drop("_run", "run_days")
+        governed.withColumns({"run_start": run_start, "chain": F.sum(starts_chain.cast("bigint")).over(ordered)})
+        .where(F.col("chain") > 0)
+        .withColumns({"_opening": opening, "offset_step": F.max(F.when(below, step)).over(chain)})
+        .withColumns({"onset_step": F.col("_opening.run_start"), "trigger_run_days": -F.col("_opening.minus_days")})
+        .drop("_opening", "run_start")
     )
 
 
-def detect(governed: DataFrame, last_valid_day: DataFrame | None = None) -> DataFrame:
-    """Accepted episodes. Every step is a window over one well, so the rows are shuffled once."""
-    after_onset = fd.is_valid() | (F.col("step") > F.col("onset_step"))
-    inside = F.col("step").between(F.col("onset_step"), F.col("offset_step")) & after_onset
+def detect(governed: DataFrame) -> DataFrame:
+    """Accepted episodes. Every step is a window over one well, so the rows are shuffled once.
+
+    Open-ended: the rate did not recover and the episode ends on the well's last valid day.
+    """
     valid = fd.is_valid()
+    after_onset = valid | (F.col("step") > F.col("onset_step"))
+    inside = F.col("step").between(F.col("onset_step"), F.col("offset_step")) & after_onset
+    q = F.col("q_expected")
     found = (
         below_runs(governed)
         .where(F.col("onset_step").isNotNull() & inside)
@@ -89,54 +94,44 @@ def detect(governed: DataFrame, last_valid_day: DataFrame | None = None) -> Data
             F.max("production_date").alias("offset"),
             F.count_if(valid).alias("valid_producing_days"),
             F.first("trigger_run_days").alias("trigger_run_days"),
-            F.sum(fd.rate_shortfall(F.col("q_expected"))).alias("cumulative_rate_shortfall_sm3"),
-            F.sum(fd.deferred_volume(F.col("q_expected"))).alias("deferred_volume_sm3"),
+            F.sum(fd.rate_shortfall(q)).alias("cumulative_rate_shortfall_sm3"),
+            F.sum(fd.deferred_volume(q)).alias("deferred_volume_sm3"),
             F.first("fit.reference_rate").alias("reference_rate_sm3_per_day"),
             F.count_if(F.col("day_class").isin(*fixed.GAP_CLASSES)).alias("_gaps"),
             F.count(F.lit(1)).alias("_rows"),
             F.first(F.col("span_valid_days") - F.col("offset_step")).alias("_after"),
+            F.first("last_valid_day").alias("_last"),
         )
-        .withColumn(
-            "shortfall_threshold_sm3",
-            F.lit(fixed.SHORTFALL_FRACTION)
-            * F.col("reference_rate_sm3_per_day")
-            * F.col("valid_producing_days"),
-        )
+    )
+    bar = F.lit(fixed.SHORTFALL_FRACTION) * F.col("reference_rate_sm3_per_day") * F.col("valid_producing_days")
+    return (
+        found.withColumns({"shortfall_threshold_sm3": bar, "gap_fraction": F.col("_gaps") / F.col("_rows")})
         .where(
             (F.col("valid_producing_days") >= fixed.MIN_EPISODE_DAYS)
             & (F.col("cumulative_rate_shortfall_sm3") >= F.col("shortfall_threshold_sm3"))
         )
-        .withColumn("gap_fraction", F.col("_gaps") / F.col("_rows"))
-        .withColumn("_runs_on", F.col("_after") < fixed.RECOVERY_RUN)
-    )
-    if last_valid_day is None:
-        closed = found.withColumn("open_ended", F.col("_runs_on"))
-    else:
-        closed = found.join(last_valid_day, "well", "left").withColumn(
-            "open_ended", F.col("_runs_on") & F.col("offset").eqNullSafe(F.col("last_valid_day"))
+        .select(
+            "well",
+            "onset",
+            "offset",
+            "valid_producing_days",
+            "trigger_run_days",
+            "cumulative_rate_shortfall_sm3",
+            "deferred_volume_sm3",
+            "shortfall_threshold_sm3",
+            "reference_rate_sm3_per_day",
+            "gap_fraction",
+            ((F.col("_after") < fixed.RECOVERY_RUN) & (F.col("offset") == F.col("_last"))).alias("open_ended"),
+            (F.col("gap_fraction") > fixed.POORLY_EVIDENCED_FRACTION).alias("poorly_evidenced"),
+            F.col("window_start").alias("governing_window_start"),
+            F.col("window_end").alias("governing_window_end"),
         )
-    return closed.select(
-        "well",
-        "onset",
-        "offset",
-        "valid_producing_days",
-        "trigger_run_days",
-        "cumulative_rate_shortfall_sm3",
-        "deferred_volume_sm3",
-        "shortfall_threshold_sm3",
-        "reference_rate_sm3_per_day",
-        "gap_fraction",
-        "open_ended",
-        (F.col("gap_fraction") > fixed.POORLY_EVIDENCED_FRACTION).alias("poorly_evidenced"),
-        F.col("window_start").alias("governing_window_start"),
-        F.col("window_end").alias("governing_window_end"),
     )
 
 
 def sweep(days: DataFrame, windows: DataFrame, fits: DataFrame) -> DataFrame:
-    """Episodes of every well. Open-ended only when the offset is the well's last valid day."""
-    last = days.where(fd.is_valid()).groupBy("well").agg(F.max("production_date").alias("last_valid_day"))
-    return detect(governed_days(days, windows, fits), last)
+    """Episodes of every well."""
+    return detect(governed_days(days, windows, fits))
 
 
 def series(days: DataFrame, windows: DataFrame, fits: DataFrame) -> DataFrame:

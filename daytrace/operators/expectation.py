@@ -39,7 +39,6 @@ def _band(column: str, name: str) -> list[Column]:
 def _rate_rows(rows: DataFrame) -> DataFrame:
     """Valid rates of each window in order, with log-linear trend and both decline residuals."""
     ordered = Window.partitionBy(*WINDOW_KEY).orderBy("production_date")
-    newest = Window.partitionBy(*WINDOW_KEY).orderBy(F.desc("production_date"))
     whole = Window.partitionBy(*WINDOW_KEY)
     positive = F.col("q_24h") > 0.0
     log_rate = F.when(positive, F.ln("q_24h"))
@@ -47,12 +46,15 @@ def _rate_rows(rows: DataFrame) -> DataFrame:
     trend = (
         rows.where(fd.is_valid() & F.col("q_24h").isNotNull())
         .select(*WINDOW_KEY, "production_date", "q_24h", "choke_size")
-        .withColumn("i", F.row_number().over(ordered) - 1)
-        .withColumn("newest", F.row_number().over(newest))
-        .withColumn("n", F.count(F.lit(1)).over(whole))
-        .withColumn("n_positive", F.count_if(positive).over(whole))
-        .withColumn("slope", F.regr_slope(log_rate, at).over(whole))
-        .withColumn("intercept", F.regr_intercept(log_rate, at).over(whole))
+        .withColumns({"i": F.row_number().over(ordered) - 1, "n": F.count(F.lit(1)).over(whole)})
+        .withColumns(
+            {
+                "newest": F.col("n") - F.col("i"),
+                "n_positive": F.count_if(positive).over(whole),
+                "slope": F.regr_slope(log_rate, at).over(whole),
+                "intercept": F.regr_intercept(log_rate, at).over(whole),
+            }
+        )
     )
     q_end = F.exp(F.col("intercept") + F.col("slope") * (F.col("n") - 1))
     decline = F.greatest(-F.col("slope"), F.lit(0.0))
@@ -62,14 +64,17 @@ def _rate_rows(rows: DataFrame) -> DataFrame:
     )
     has_control = F.col("choke_size") > 0.0
     return (
-        trend.withColumn("q_end", q_end)
-        .withColumn("decline", decline)
+        trend.withColumns({"q_end": q_end, "decline": decline})
         .withColumn("base", base)
-        .withColumn("trailing", F.when(F.col("newest") <= fixed.TRAILING_RATES, F.col("q_24h")))
-        .withColumn("off_exp", F.col("q_24h") - F.exp(F.col("intercept") + F.col("slope") * F.col("i")))
-        .withColumn("off_hyp", F.col("q_24h") - curve)
-        .withColumn("ratio", F.when(has_control, F.col("q_24h") / F.col("choke_size")))
-        .withColumn("controlled", F.when(has_control, F.col("q_24h")))
+        .withColumns(
+            {
+                "trailing": F.when(F.col("newest") <= fixed.TRAILING_RATES, F.col("q_24h")),
+                "off_exp": F.col("q_24h") - F.exp(F.col("intercept") + F.col("slope") * F.col("i")),
+                "off_hyp": F.col("q_24h") - curve,
+                "ratio": F.when(has_control, F.col("q_24h") / F.col("choke_size")),
+                "controlled": F.when(has_control, F.col("q_24h")),
+            }
+        )
     )
 
 

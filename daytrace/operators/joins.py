@@ -24,19 +24,18 @@ def asof(
     by one window, so there is one shuffle on `by` and no pair of rows is ever formed.
     """
     keys = list(by)
+    types = {f.name: f.dataType for f in left.schema.fields}
     payload = F.struct(*right.columns)
+    absent = F.lit(None).cast(right.select(payload.alias("r")).schema["r"].dataType)
+    # Left columns stay flat, so the ones a caller does not use are pruned before the shuffle.
     rows = left.select(
-        *keys,
-        F.col(left_on).alias("_at"),
-        F.lit(0 if strict else 1).alias("_side"),
-        F.struct(*left.columns).alias("_left"),
-        F.lit(None).cast(right.select(payload.alias("r")).schema["r"].dataType).alias("_right"),
+        "*", F.col(left_on).alias("_at"), F.lit(0 if strict else 1).alias("_side"), F.lit(True).alias("_own"), absent.alias("_right")
     )
     marks = right.select(
-        *keys,
+        *[(F.col(c) if c in keys else F.lit(None).cast(types[c])).alias(c) for c in left.columns],
         F.col(right_on).alias("_at"),
         F.lit(1 if strict else 0).alias("_side"),
-        F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"),
+        F.lit(False).alias("_own"),
         payload.alias("_right"),
     )
     back = (
@@ -45,7 +44,7 @@ def asof(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     carried = rows.unionByName(marks).withColumn("_right", F.last("_right", ignorenulls=True).over(back))
-    return carried.where("_left is not null").select("_left.*", F.col("_right").alias(into))
+    return carried.where("_own").select(*left.columns, F.col("_right").alias(into))
 
 
 def in_range(

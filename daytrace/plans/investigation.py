@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from daytrace.operators import diagnose as og
 from daytrace.operators import findings as on
+from daytrace.session import checkpointed
 
 
 class Investigation(NamedTuple):
@@ -26,9 +27,12 @@ def investigate(
 
     `group` names a column of `days` that limits which other wells an episode is compared with.
     """
-    bundle = og.bundles(episodes, days)
-    formed = on.form_hypotheses(bundle, og.offsets(episodes, days, group))
+    # Tables of episode size that several later steps read: checkpointed, so that none of those
+    # steps repeats the sweep over all days, also not after an executor is lost.
+    episodes = checkpointed(episodes)
+    bundle = checkpointed(og.bundles(episodes, days))
+    formed = checkpointed(on.form_hypotheses(bundle, og.offsets(episodes, days, group)))
     passes = on.evidence_passes(formed)
-    hypotheses = on.attach(formed, on.retrieve(passes, chunks))
+    hypotheses = checkpointed(on.attach(formed, on.retrieve(passes, chunks)))
     findings = on.conclude(formed, hypotheses)
     return Investigation(episodes, bundle, passes, hypotheses, findings, on.evidence_score(findings, bundle))
