@@ -512,7 +512,7 @@ opened AS (
   SELECT well, ws, chain, min(step) FILTER (WHERE run_days >= 7) AS a, max(step) AS z,
     arg_min(run_days, step) FILTER (WHERE run_days >= 7) AS trigger_run_days
   FROM chained GROUP BY well, ws, chain HAVING a IS NOT NULL),
-totals AS (SELECT well, ws, count(*) FILTER (WHERE valid) AS span_valid FROM expected GROUP BY well, ws),
+span_totals AS (SELECT well, ws, count(*) FILTER (WHERE valid) AS span_valid FROM expected GROUP BY well, ws),
 last_valid AS (SELECT well, max(production_date) AS last_day FROM days WHERE day_class = 'valid_producing' GROUP BY well),
 episodes AS (
   SELECT * FROM (
@@ -527,7 +527,7 @@ episodes AS (
       any_value(t.span_valid - o.z) < 3 AS runs_on, any_value(l.last_day) AS last_day
     FROM expected e JOIN opened o ON o.well = e.well AND o.ws = e.ws AND e.step BETWEEN o.a AND o.z
       AND (e.valid OR e.step > o.a)
-    JOIN totals t ON t.well = e.well AND t.ws = e.ws JOIN last_valid l ON l.well = e.well
+    JOIN span_totals t ON t.well = e.well AND t.ws = e.ws JOIN last_valid l ON l.well = e.well
     GROUP BY e.well, e.ws, o.chain)
   WHERE n >= 10 AND shortfall >= 0.15e0 * reference_rate * n)"""
 )

@@ -421,15 +421,17 @@ def finding_texts(spark, folder) -> DataFrame:
 
 
 def _log(spark, folder) -> DataFrame:
-    """A review log from the orders: each order reviews the supplier of its customer number."""
+    """A review log from the orders: each order reviews the supplier of its customer number, every
+    seventh supplier goes unreviewed."""
     orders = table(spark, folder, "orders")
+    number = F.col("o_custkey") % 100 + 1
     action = (
-        F.when(F.col("o_orderstatus") == "F", "request_more_evidence")
-        .when(F.col("o_orderpriority") == "1-URGENT", "confirm")
+        F.when((F.col("o_orderstatus") == "F") & (number % 3 == 0), "request_more_evidence")
+        .when((F.col("o_orderpriority") == "1-URGENT") & (number % 3 == 1), "confirm")
         .otherwise("add_correction")
     )
-    return orders.select(
-        (F.col("o_custkey") % 100 + 1).cast("string").alias("well"),
+    return orders.where(number % 7 != 0).select(
+        number.cast("string").alias("well"),
         action.alias("action"),
         F.concat_ws(" ", F.col("o_orderdate").cast("date"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("recorded_at"),
     )
@@ -445,8 +447,9 @@ def queue_view(spark, folder) -> DataFrame:
 
 QUEUE_SQL = f"""{INVESTIGATION_SQL}, {SCORES_SQL},
 acts AS (
-  SELECT CAST(o_custkey % 100 + 1 AS VARCHAR) AS well, CASE WHEN o_orderstatus = 'F' THEN 'request_more_evidence'
-    WHEN o_orderpriority = '1-URGENT' THEN 'confirm' ELSE 'add_correction' END AS action FROM orders),
+  SELECT CAST(n AS VARCHAR) AS well, CASE WHEN o_orderstatus = 'F' AND n % 3 = 0 THEN 'request_more_evidence'
+    WHEN o_orderpriority = '1-URGENT' AND n % 3 = 1 THEN 'confirm' ELSE 'add_correction' END AS action
+  FROM (SELECT *, o_custkey % 100 + 1 AS n FROM orders) WHERE n % 7 <> 0),
 states AS (
   SELECT well, CASE WHEN bool_or(action = 'confirm') THEN 'confirmed' WHEN bool_or(action = 'request_more_evidence')
     THEN 'rerun_requested' ELSE 'awaiting_review' END AS state FROM acts GROUP BY well),
