@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daytrace.bindings.day_queries import EPISODE_STUDY_SQL, episode_frames
-from daytrace.bindings.registry import day, joined, query, rounded
+from daytrace.bindings.registry import day, joined, once, query, rounded
 from daytrace.bindings.text_queries import CHUNKS_SQL, PART, TOKEN, chunk_view, index_sql
 from daytrace.bindings.views import table
 from daytrace.operators import audits as oa
@@ -15,7 +15,6 @@ from daytrace.operators import facts as of
 from daytrace.operators import findings as on
 from daytrace.operators import review as orv
 from daytrace.plans import investigation
-from daytrace.session import checkpointed
 
 CHANNELS = ("on_stream_hours", "choke_size", "choke_dp_bar", "downhole_pressure_bar", "wellhead_pressure_bar")
 
@@ -197,12 +196,16 @@ formed AS (
   FROM judged, (SELECT unnest([0, 1, 2, 3, 4]) AS position))"""
 
 
-def formed_view(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
-    days, _, _, episodes = episode_frames(spark, folder)
-    episodes = checkpointed(episodes)
-    bundle = og.bundles(episodes, days)
-    offsets = og.offsets(episodes, grouped_days(spark, folder, days), "field")
-    return episodes, bundle, on.form_hypotheses(bundle, offsets)
+def investigated(spark, folder) -> investigation.Investigation:
+    """The investigation of all episodes; its tables are checkpointed and shared by the queries."""
+
+    def build() -> investigation.Investigation:
+        days, _, _, episodes = episode_frames(spark, folder)
+        return investigation.investigate(
+            episodes, grouped_days(spark, folder, days), chunk_view(spark, folder), group="field"
+        )
+
+    return once(spark, folder, "investigation", build)
 
 
 @query(
@@ -212,7 +215,7 @@ def formed_view(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
 )
 def hypotheses(spark, folder) -> DataFrame:
     """H1, H2: five hypotheses per episode with their status."""
-    formed = formed_view(spark, folder)[2]
+    formed = investigated(spark, folder).formed
     return formed.select(
         "well", day("onset"), "hypothesis_id", "status", "causal_level", joined("unavailable_channels", "unavailable")
     )
@@ -239,7 +242,7 @@ passes AS (
 )
 def evidence_passes(spark, folder) -> DataFrame:
     """H3: which hypotheses are searched for, in which order."""
-    passes = on.evidence_passes(formed_view(spark, folder)[2])
+    passes = on.evidence_passes(investigated(spark, folder).formed)
     return passes.select("well", day("onset"), "pass", "hypothesis_id", "query")
 
 
@@ -274,7 +277,7 @@ evidence AS (
 )
 def evidence(spark, folder) -> DataFrame:
     """Spans found near each episode for each searched hypothesis."""
-    found = on.retrieve(on.evidence_passes(formed_view(spark, folder)[2]), chunk_view(spark, folder))
+    found = on.retrieve(investigated(spark, folder).passes, chunk_view(spark, folder))
     return found.select(
         "well",
         day("onset"),
@@ -315,13 +318,6 @@ concluded AS (
 INVESTIGATION_SQL = f"{DIAGNOSIS_SQL}, {HYPOTHESES_SQL}, {PASSES_SQL}, {EVIDENCE_SQL}, {FINDINGS_SQL}"
 
 
-def investigated(spark, folder) -> investigation.Investigation:
-    days, _, _, episodes = episode_frames(spark, folder)
-    return investigation.investigate(
-        episodes, grouped_days(spark, folder, days), chunk_view(spark, folder), group="field"
-    )
-
-
 @query(
     "findings",
     f"""WITH {INVESTIGATION_SQL}

@@ -14,6 +14,7 @@ from daytrace.session import checkpointed
 class Investigation(NamedTuple):
     episodes: DataFrame
     bundle: DataFrame
+    formed: DataFrame
     passes: DataFrame
     hypotheses: DataFrame
     findings: DataFrame
@@ -32,7 +33,7 @@ def investigate(
     episodes = checkpointed(episodes)
     bundle = checkpointed(og.bundles(episodes, days))
     formed = checkpointed(on.form_hypotheses(bundle, og.offsets(episodes, days, group)))
-    passes = on.evidence_passes(formed)
+    passes = checkpointed(on.evidence_passes(formed))
     hypotheses = checkpointed(on.attach(formed, on.retrieve(passes, chunks)))
-    findings = on.conclude(formed, hypotheses)
-    return Investigation(episodes, bundle, passes, hypotheses, findings, on.evidence_score(findings, bundle))
+    findings = checkpointed(on.conclude(formed, hypotheses))
+    return Investigation(episodes, bundle, formed, passes, hypotheses, findings, on.evidence_score(findings, bundle))

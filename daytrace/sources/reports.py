@@ -51,7 +51,7 @@ def scan(spark: SparkSession, folder: str, max_bytes: int = fixed.MAX_XML_BYTES)
             "report",
             F.when(
                 is_xml & ~F.col("_unsafe"),
-                F.from_xml("_text", parsed, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}),
+                F.from_xml("_text", parsed, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE", "ignoreNamespace": "true"}),
             ),
         )
     )
