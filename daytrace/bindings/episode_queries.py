@@ -595,3 +595,29 @@ def episode_facts(spark, folder) -> DataFrame:
     """Measured and derived facts of every episode."""
     facts, _, _ = of.episode_facts(episode_frames(spark, folder)[3], oil_price=400.0)
     return facts.select("metric", "unit", F.col("source_locator")["well"].alias("well"), rounded("value", digits=2))
+
+
+@query(
+    "finding_steps",
+    f"""WITH {INVESTIGATION_SQL}, n AS (SELECT well, onset, count(*) AS passes FROM passes GROUP BY well, onset)
+    SELECT 'finding_' || c.well || '_' || CAST(c.onset AS VARCHAR) AS finding_id, 6 + 3 * coalesce(passes, 0) AS steps
+    FROM concluded c LEFT JOIN n USING (well, onset)""",
+)
+def finding_steps(spark, folder) -> DataFrame:
+    """Steps recorded per finding: six stages and three per retrieval pass."""
+    done = investigated(spark, folder)
+    steps = on.recorded_steps(done.findings, done.passes)
+    return steps.groupBy("finding_id").agg(F.count(F.lit(1)).alias("steps"))
+
+
+@query(
+    "finding_step_audits",
+    f"""WITH {INVESTIGATION_SQL}
+    SELECT 'finding_' || well || '_' || CAST(onset AS VARCHAR) AS finding_id, stop_reason, true AS matches, '' AS problems FROM concluded""",
+)
+def finding_step_audits(spark, folder) -> DataFrame:
+    """Q8, Q13: stage order of each finding, and whether its stop follows from its steps."""
+    done = investigated(spark, folder)
+    steps = on.recorded_steps(done.findings, done.passes)
+    order = oa.stage_order_problems(steps, ["finding_id"]).select("finding_id", joined("problems"))
+    return oa.stop_matches_steps(done.findings, steps).join(order, "finding_id")

@@ -82,3 +82,12 @@ def wording_above_level(narrative: Column, level: Column) -> Column:
         )
     )
     return F.when(level.eqNullSafe(F.lit("documented_root_cause")), F.array().cast("array<string>")).otherwise(found)
+
+
+def filled(name: str, *values: Column) -> Column:
+    """A fixed text with its gaps filled."""
+    pieces = fixed.TEXTS[name].split("{}")
+    parts = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:], strict=True):
+        parts += [value.cast("string"), F.lit(piece)]
+    return F.concat(*parts)

@@ -274,89 +274,48 @@ def finding_id(well: Column, onset: Column) -> Column:
     return F.concat_ws("_", F.lit("finding"), F.translate(well, "/ ", "__"), onset)
 
 
+def _described(c: str | Column) -> Column:
+    return F.array_join(F.transform(c, lambda h: h["description"]), "; ")
+
+
 def narrative() -> Column:
     """Finding text from the statuses gathered in `conclude`."""
     documented = F.filter("_supported", lambda h: h["causal_level"] == "documented_root_cause")
-    text = lambda c: F.array_join(F.transform(c, lambda h: h["description"]), "; ")
     proximate = F.forall("_supported", lambda h: h["causal_level"] == "proximate_driver")
+    cited = F.when(F.size("_spans") > 0, ft.filled("stated_in", F.array_join(F.slice("_spans", 1, 2), "; ")))
     body = (
-        F.when(
-            F.size(documented) > 0,
-            F.concat_ws(
-                " ",
-                F.concat(F.lit("Root cause documented: "), text(documented)),
-                F.when(
-                    F.size("_spans") > 0,
-                    F.concat(F.lit("Stated in "), F.array_join(F.slice("_spans", 1, 2), "; "), F.lit(".")),
-                ),
-            ),
-        )
-        .when(
-            (F.size("_supported") > 0) & proximate,
-            F.concat(
-                F.lit("Proximate driver identified: "),
-                text("_supported"),
-                F.lit(" Root cause unresolved: the available reports do not explain why."),
-            ),
-        )
-        .when(
-            F.size("_supported") > 0,
-            F.concat(
-                F.lit("Mechanism supported: "),
-                text("_supported"),
-                F.lit(" Root cause unresolved: no report states the reason for the change."),
-            ),
-        )
-        .otherwise(F.lit("No hypothesis reached support on the evidence available."))
+        F.when(F.size(documented) > 0, F.concat_ws(" ", ft.filled("documented", _described(documented)), cited))
+        .when((F.size("_supported") > 0) & proximate, ft.filled("proximate", _described("_supported")))
+        .when(F.size("_supported") > 0, ft.filled("mechanism", _described("_supported")))
+        .otherwise(ft.filled("no_support"))
     )
 
-    def listed(prefix: str, c: str) -> Column:
-        return F.when(F.size(c) > 0, F.concat(F.lit(prefix), F.array_join(_ids(c), "; "), F.lit(".")))
+    def listed(name: str, c: str) -> Column:
+        return F.when(F.size(c) > 0, ft.filled(name, F.array_join(_ids(c), "; ")))
 
     return F.concat_ws(
         " ",
-        F.concat(F.lit("Well "), F.col("well"), F.lit(" produced below expectation over the episode window.")),
+        ft.filled("below_expectation", F.col("well")),
         body,
-        listed("Ruled out on the structured data: ", "_contradicted"),
-        listed("Left unresolved for want of evidence: ", "_unresolved"),
-        F.when(
-            F.col("curtailed"),
-            F.concat(F.lit("This investigation was curtailed: "), F.col("stop_reason"), F.lit(".")),
-        ),
+        listed("ruled_out", "_contradicted"),
+        listed("left_open", "_unresolved"),
+        F.when(F.col("curtailed"), ft.filled("curtailed", F.col("stop_reason"))),
     )
 
 
 def falsifiers() -> Column:
-    moved = F.transform(
-        "_supported",
-        lambda h: F.struct(
-            h["position"].alias("position"),
-            F.concat(
-                h["hypothesis_id"],
-                F.lit(
-                    ": a report showing the change was planned would move this from a driver to a documented "
-                    "root cause; one showing the channel was mis-recorded would withdraw it."
-                ),
-            ).alias("line"),
-        ),
-    )
-    recovered = F.transform(
-        F.filter("_unresolved", lambda h: h["required_channel"].isNotNull()),
-        lambda h: F.struct(
-            h["position"].alias("position"),
-            F.concat(
-                h["hypothesis_id"], F.lit(": recovering "), h["required_channel"], F.lit(" would let it be tested.")
-            ).alias("line"),
-        ),
-    )
-    lines = F.transform(F.array_sort(F.concat(moved, recovered)), lambda x: x["line"])
-    none = F.array(
-        F.lit(
-            "Any channel recovered for this period, or any report naming an operational change, would give "
-            "the first testable hypothesis."
-        )
+    """What would change the conclusion, one line per supported or untestable hypothesis."""
+
+    def lines(source: Column | str, line) -> Column:
+        return F.transform(source, lambda h: F.struct(h["position"].alias("position"), line(h).alias("line")))
+
+    untested = F.filter("_unresolved", lambda h: h["required_channel"].isNotNull())
+    both = F.concat(
+        lines("_supported", lambda h: ft.filled("would_move", h["hypothesis_id"])),
+        lines(untested, lambda h: ft.filled("would_test", h["hypothesis_id"], h["required_channel"])),
     )
-    return F.when(F.size(lines) > 0, lines).otherwise(none)
+    ordered = F.transform(F.array_sort(both), lambda x: x["line"])
+    return F.when(F.size(ordered) > 0, ordered).otherwise(F.array(ft.filled("nothing_moves")))
 
 
 def next_check() -> Column:
@@ -364,26 +323,56 @@ def next_check() -> Column:
     return (
         F.when(
             F.size("unavailable_channels") > 0,
-            F.concat(
-                F.lit("Check whether "),
-                F.array_join("unavailable_channels", ", "),
-                F.lit(" exists in another source for this period."),
-            ),
-        )
-        .when(
-            first.isNotNull(),
-            F.concat(
-                F.lit("Read the operations log around "), F.col("onset"), F.lit(" for a stated reason behind "), first, F.lit(".")
-            ),
-        )
-        .otherwise(
-            F.concat(
-                F.lit("Review the daily reports for "), F.col("well"), F.lit(" around "), F.col("onset"), F.lit(" by hand.")
-            )
+            ft.filled("check_channels", F.array_join("unavailable_channels", ", ")),
         )
+        .when(first.isNotNull(), ft.filled("read_log", F.col("onset"), first))
+        .otherwise(ft.filled("review_reports", F.col("well"), F.col("onset")))
     )
 
 
+def recorded_steps(findings: DataFrame, passes: DataFrame) -> DataFrame:
+    """The stages each finding went through (finding_id, index, stage, query, summary, tokens, cost).
+
+    Three stages per retrieval pass, so a handful of rows per finding.
+    """
+    made = passes.join(findings.select("finding_id", *EPISODE), EPISODE)
+    totals = made.groupBy("finding_id").agg(F.count(F.lit(1)).alias("n"))
+    ended = findings.select("finding_id", (F.col("stop_reason") == "mandatory_evidence_unavailable").alias("_early"))
+    none = F.lit(None).cast("string")
+
+    def steps(rows: DataFrame, *entries: tuple[Column, str, Column, Column]) -> DataFrame:
+        items = [
+            F.struct(i.cast("int").alias("index"), F.lit(s).alias("stage"), q.alias("query"), t.alias("summary"))
+            for i, s, q, t in entries
+        ]
+        return rows.select("finding_id", F.explode(F.array(*items)).alias("s")).select("finding_id", "s.*")
+
+    lead = len(fixed.STAGES) - len(fixed.LOOP_STAGES) - 2
+    opening = steps(
+        findings.select("finding_id"), *[(F.lit(i), s, none, F.lit("")) for i, s in enumerate(fixed.STAGES[:lead])]
+    )
+    at = lead + 3 * F.col("pass")
+    last = F.col("pass") == F.col("n") - 1
+    said = F.when(last & F.col("_early"), "stopping: a channel the open hypotheses need is unavailable").otherwise(
+        F.concat(F.lit("another pass: "), (~last).cast("string"))
+    )
+    looped = steps(
+        made.join(totals, "finding_id").join(ended, "finding_id"),
+        (at, "retrieve_evidence", F.col("query"), F.col("hypothesis_id")),
+        (at + 1, "seek_contradiction", none, F.col("hypothesis_id")),
+        (at + 2, "decide_continue", none, said),
+    )
+    after = lead + 3 * F.coalesce(F.col("n"), F.lit(0))
+    closing = steps(
+        findings.select("finding_id").join(totals, "finding_id", "left"),
+        (after, "compose_finding", none, F.lit("")),
+        (after + 1, "validate_provenance", none, F.lit("")),
+    )
+    whole = opening.unionByName(looped).unionByName(closing)
+    # rule-based judgement: no tokens, no cost
+    return whole.withColumns({"tokens": F.lit(0).cast("bigint"), "cost_usd": F.lit(0.0)})
+
+
 def evidence_score(findings: DataFrame, bundle: DataFrame) -> DataFrame:
     """Mean of five features per finding, rounded, with its band."""
     shifts = F.transform("channels", lambda c: F.abs(c["standardised_shift"]))

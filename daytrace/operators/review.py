@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daytrace import fixed
 from daytrace.functions import names
+from daytrace.functions import text as ft
 from daytrace.functions.days import fired
 from daytrace.operators.diagnose import EPISODE
 
@@ -219,22 +220,14 @@ def coverage_lines(findings: DataFrame, bundle: DataFrame) -> DataFrame:
     """Per finding: lines on what was available and on what was missing."""
 
     def line(c: Column) -> Column:
-        return F.concat(
-            c["channel"], F.lit(": "), c["readings"].cast("string"), F.lit(" of "), c["days"].cast("string"), F.lit(" days usable")
-        )
+        return ft.filled("usable_days", c["channel"], c["readings"], c["days"])
 
     available = F.transform(F.filter("channels", lambda c: c["readings"] > 0), line)
     gone = F.transform(F.filter("channels", lambda c: c["readings"] == 0), line)
     missing = F.concat(gone, F.col("missing_evidence"))
     undecided = (F.size(missing) == 0) & (F.col("verdict") == "insufficient_evidence")
-    reason = F.when(
-        F.col("stop_reason") == "evidence_exhausted",
-        F.lit(
-            "Nothing was missing. Every mandatory channel was available and the narrative was searched; no "
-            "hypothesis reached the evidence threshold, so no single explanation is issued."
-        ),
-    ).otherwise(
-        F.concat(F.lit("The run stopped on '"), F.col("stop_reason"), F.lit("' before reaching a conclusion."))
+    reason = F.when(F.col("stop_reason") == "evidence_exhausted", ft.filled("nothing_missing")).otherwise(
+        ft.filled("stopped_on", F.col("stop_reason"))
     )
     return findings.join(bundle, EPISODE).select(
         "finding_id",

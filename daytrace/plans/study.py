@@ -13,6 +13,7 @@ from daytrace.operators import days as od
 from daytrace.operators import episodes as op
 from daytrace.operators import expectation as oe
 from daytrace.operators import windows as ow
+from daytrace.session import checkpointed
 
 
 def classified(rows: DataFrame, capacity: Mapping[str, float] | None = None) -> DataFrame:
@@ -20,23 +21,39 @@ def classified(rows: DataFrame, capacity: Mapping[str, float] | None = None) ->
     return od.classify(od.collapse_duplicates(rows), capacity=capacity)
 
 
+def reference_windows(
+    days: DataFrame, activity: DataFrame | None = None, *, tolerance: float | None = fixed.CONTROL_TOLERANCE
+) -> DataFrame:
+    """Stable windows. With control splits they are checkpointed: fits, backtest and sweep all read
+    them, and the Python step inside should run once."""
+    windows = ow.stable_windows(days, activity, tolerance=tolerance)
+    return windows if tolerance is None else checkpointed(windows)
+
+
 def windows_and_fits(
     days: DataFrame,
     activity: DataFrame | None = None,
     *,
     model: str = fixed.FALLBACK_MODEL,
     tolerance: float | None = fixed.CONTROL_TOLERANCE,
+    windows: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    windows = ow.stable_windows(days, activity, tolerance=tolerance)
-    fits = oe.fit_models(ow.window_days(days, windows), (model,))
-    return windows, fits
+    """(windows, fits of one model)."""
+    if windows is None:
+        windows = reference_windows(days, activity, tolerance=tolerance)
+    return windows, oe.fit_models(ow.window_days(days, windows), (model,))
 
 
 def evaluated(
-    days: DataFrame, activity: DataFrame | None = None, *, tolerance: float | None = fixed.CONTROL_TOLERANCE
+    days: DataFrame,
+    activity: DataFrame | None = None,
+    *,
+    tolerance: float | None = fixed.CONTROL_TOLERANCE,
+    windows: DataFrame | None = None,
 ) -> DataFrame:
     """Backtest rows of all models."""
-    windows = ow.stable_windows(days, activity, tolerance=tolerance)
+    if windows is None:
+        windows = reference_windows(days, activity, tolerance=tolerance)
     return ob.backtest(days, windows, oe.fit_models(ow.window_days(days, windows)))
 
 
@@ -54,10 +71,11 @@ def select_and_sweep(
     The choice of model is one value and decides the rest of the plan, so it is read here.
     """
     usable, _ = development(days)
-    rows = evaluated(usable, activity)
+    windows = reference_windows(usable, activity)
+    rows = evaluated(usable, windows=windows)
     producers = usable.where(F.col("day_class") == "valid_producing").agg(F.count_distinct("well")).first()[0]
     model = ob.select_model(rows, int(producers)).first()["selected_model"]
-    windows, fits = windows_and_fits(usable, activity, model=model)
+    _, fits = windows_and_fits(usable, model=model, windows=windows)
     return op.sweep(usable, windows, fits), rows, model
 
 
