@@ -593,7 +593,7 @@ def safety_report(spark, folder) -> DataFrame:
 )
 def episode_facts(spark, folder) -> DataFrame:
     """Measured and derived facts of every episode."""
-    facts, _, _ = of.episode_facts(episode_frames(spark, folder)[3], oil_price=400.0)
+    facts, _, _ = of.episode_facts(investigated(spark, folder).episodes, oil_price=400.0)
     return facts.select("metric", "unit", F.col("source_locator")["well"].alias("well"), rounded("value", digits=2))
 
 

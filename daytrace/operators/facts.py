@@ -28,23 +28,33 @@ def _id(prefix: str, text: Column) -> Column:
 
 
 def record(
-    rows: DataFrame, metric: str, value: Column, unit: str, source: str, locator: dict[str, Column] | None = None
+    rows: DataFrame,
+    metric: str | Column,
+    value: Column,
+    unit: str | Column,
+    source: str,
+    locator: dict[str, Column] | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Measured facts, one per row. The id is a hash of the content, so it needs no counter."""
+    """Measured facts, one per row. The id is a hash of the content, so it needs no counter.
+
+    `keep` names columns of `rows` to carry along.
+    """
     pairs = [x for k, v in (locator or {}).items() for x in (F.lit(k), v.cast("string"))]
     located = F.create_map(*pairs) if pairs else F.create_map()
     body = rows.select(
+        *keep,
         F.lit("measured").alias("kind"),
-        F.lit(metric).alias("metric"),
+        (metric if isinstance(metric, Column) else F.lit(metric)).alias("metric"),
         value.cast("double").alias("value"),
-        F.lit(unit).alias("unit"),
+        (unit if isinstance(unit, Column) else F.lit(unit)).alias("unit"),
         F.lit(source).alias("source"),
         located.cast("map<string,string>").alias("source_locator"),
         F.lit(None).cast("date").alias("recorded_at"),
         F.lit(None).cast("string").alias("formula"),
         F.lit(None).cast("boolean").alias("combines_units"),
     )
-    return body.select(_id("fact", _content_text()).alias("fact_id"), *CONTENT)
+    return body.select(*keep, _id("fact", _content_text()).alias("fact_id"), *CONTENT)
 
 
 def derive(
@@ -92,27 +102,29 @@ def derive(
 
 
 def episode_facts(episodes: DataFrame, oil_price: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, inputs, citations): three facts per episode, and a value only with a stated price."""
+    """(facts, inputs, citations): three facts per episode, and a value only with a stated price.
+
+    The three facts of an episode come from one pass over its row.
+    """
     spark = episodes.sparkSession
-    where = {"well": F.col("well"), "onset": F.col("onset")}
     shortfall = F.col("cumulative_rate_shortfall_sm3")
-    measured = {
+    measured = (
         # deferred plus shortfall; named for what it holds
-        "actual_volume_fact_id": ("episode_actual_volume", F.col("deferred_volume_sm3") + shortfall, "Sm3"),
-        "expected_volume_fact_id": ("episode_reference_rate", F.col("reference_rate_sm3_per_day"), "Sm3/d"),
-        "shortfall_fact_id": ("episode_cumulative_rate_shortfall", shortfall, "Sm3"),
-    }
-    facts, cited = None, None
-    for field, (metric, value, unit) in measured.items():
-        rows = record(episodes, metric, value, unit, "episode detector", where)
-        facts = rows if facts is None else facts.unionByName(rows)
-        cites = rows.select(
-            F.col("source_locator")["well"].alias("well"),
-            F.col("source_locator")["onset"].cast("date").alias("onset"),
-            F.lit(field).alias("field"),
-            "fact_id",
-        )
-        cited = cites if cited is None else cited.unionByName(cites)
+        ("actual_volume_fact_id", "episode_actual_volume", F.col("deferred_volume_sm3") + shortfall, "Sm3"),
+        ("expected_volume_fact_id", "episode_reference_rate", F.col("reference_rate_sm3_per_day"), "Sm3/d"),
+        ("shortfall_fact_id", "episode_cumulative_rate_shortfall", shortfall, "Sm3"),
+    )
+    entries = [
+        F.struct(F.lit(field).alias("field"), F.lit(metric).alias("metric"), value.alias("value"), F.lit(unit).alias("unit"))
+        for field, metric, value, unit in measured
+    ]
+    long = episodes.select("well", "onset", F.explode(F.array(*entries)).alias("e")).select("well", "onset", "e.*")
+    rows = record(
+        long, F.col("metric"), F.col("value"), F.col("unit"), "episode detector",
+        {"well": F.col("well"), "onset": F.col("onset")}, keep=("well", "onset", "field"),
+    )
+    facts = rows.drop("well", "onset", "field")
+    cited = rows.select("well", "onset", "field", "fact_id")
     if oil_price is None:
         return facts, spark.createDataFrame([], "fact_id string, input_id string"), cited
     price = record(
