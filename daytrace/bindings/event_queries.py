@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daytrace import fixed
 from daytrace.bindings.registry import day, joined, query, rounded
 from daytrace.bindings.views import table
 from daytrace.functions import names
-from daytrace.functions import text as ft
 from daytrace.functions import units as fu
 from daytrace.operators import audits as oa
 from daytrace.operators import events as oe

@@ -105,12 +105,16 @@ def review_states(log: DataFrame, order: str = "recorded_at") -> DataFrame:
 
 
 def review_reasons(log: DataFrame, new: DataFrame, order: str = "recorded_at") -> DataFrame:
-    """New review rows with their revision number and the reasons each would be refused for."""
+    """New review rows with their revision number and the reasons each would be refused for.
+
+    A row is settled against by the log or by an earlier row of the batch; the first settling row
+    is found by aggregation. Only corrections are numbered in order.
+    """
     states = review_states(log).select("investigation_id", F.col("review_state").alias("_state"), F.col("revision").alias("_had"))
-    ordered = Window.partitionBy("investigation_id").orderBy(order)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     settles, corrects = F.col("action").isin(*fixed.SETTLING_ACTIONS), F.col("action") == "add_correction"
-    settled = F.col("_state").isin("confirmed", "dismissed") | (F.max(settles.cast("int")).over(before) == 1)
+    firsts = new.groupBy("investigation_id").agg(F.min(F.when(settles, F.col(order))).alias("_settled_at"))
+    ordered = Window.partitionBy("investigation_id").orderBy(order)
+    settled = F.col("_state").isin("confirmed", "dismissed") | (F.col(order) > F.col("_settled_at"))
     reasons = fired(
         (~F.col("action").isin(*fixed.REVIEW_ACTIONS), "unknown_action"),
         (F.coalesce(F.trim("actor"), F.lit("")) == "", "no_actor"),
@@ -120,9 +124,9 @@ def review_reasons(log: DataFrame, new: DataFrame, order: str = "recorded_at") -
     number = F.coalesce("_had", F.lit(0)) + F.sum(corrects.cast("bigint")).over(ordered)
     return (
         new.join(states, "investigation_id", "left")
-        .withColumn("reasons", reasons)
-        .withColumn("revision", number)
-        .drop("_state", "_had")
+        .join(firsts, "investigation_id")
+        .withColumns({"reasons": reasons, "revision": number})
+        .drop("_state", "_had", "_settled_at")
     )
 
 
