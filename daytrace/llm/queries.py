@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrace.llm import hosts, linededup, sharding
+from daytrace.llm import contamination, hosts, linededup, sharding, simhash
 from daytrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,24 @@ def op5_line_windows(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_reputation, op4_shards, op5_line_windows)}
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op9_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    named = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(named, ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_reputation, op4_shards, op5_line_windows, op8_simhash, op9_contamination)}
 
 SQL: dict[str, str] = {}
 
@@ -126,3 +143,28 @@ SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(left_over,
   CAST(CASE WHEN gone IS NULL THEN 0 ELSE len(ls) - len(left_over) END AS INTEGER) AS n_removed
 FROM kept
 """
+
+SQL["op9_contamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (
+  SELECT DISTINCT item_id, least(len(ws), 13) AS size, list_slice(ws, s + 1, s + least(len(ws), 13)) AS win
+  FROM (SELECT item_id, ws, unnest(range(0, greatest(len(ws) - 13, 0) + 1)) AS s FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT size FROM w),
+dw AS (
+  SELECT doc_id, size, p, list_slice(ws, p + 1, p + size) AS win
+  FROM (SELECT doc_id, ws, size, unnest(range(0, len(ws) - size + 1)) AS p FROM d, sizes WHERE len(ws) >= size)),
+hit AS (SELECT doc_id, item_id, p, dw.size FROM dw JOIN w ON dw.size = w.size AND dw.win = w.win),
+places AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS place FROM hit) GROUP BY doc_id),
+its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
