@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrace.llm import contamination, hosts, linededup, sharding, simhash
+from daytrace.llm import contamination, digest, hosts, linededup, secrets, sharding, simhash
 from daytrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op5_line_windows(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, folder, "documents"))
 
 
+def op6_quartile_digest(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = digest.edited_pairs(table(spark, folder, "documents"))
+    return pairs.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -60,7 +65,16 @@ def op9_contamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_reputation, op4_shards, op5_line_windows, op8_simhash, op9_contamination)}
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secrets.find_secrets(docs, secrets.fit(secrets.labelled_samples(docs)))
+    counted = [secrets.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    return found.select(
+        "doc_id", *counted, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_reputation, op4_shards, op5_line_windows, op6_quartile_digest, op8_simhash, op9_contamination, op10_secrets)}
 
 SQL: dict[str, str] = {}
 
