@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 BUCKETS = 256
@@ -70,12 +71,12 @@ def difference(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series((1 - LENGTH_SHARE) * content + LENGTH_SHARE * length)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def digest_of(texts: pd.Series) -> pd.Series:
     return texts.map(digest, na_action=None)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
     """1 for equal digests down to 0."""
     return 1.0 - difference(left, right)

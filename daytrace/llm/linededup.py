@@ -51,7 +51,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     than the other. Null keys come after all others. In a run of equal lines the first stays.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_row", F.xxhash64("_text"))
-    seen = rows.select("_key", "_row", F.explode(windows(F.split("_text", "\n"))).alias("_w")).select("_key", "_row", "_w.*")
+    # The lines are a column of their own: inside the lambdas the split would run once per line.
+    lined = rows.select("_key", "_row", F.split("_text", "\n").alias("_lines"))
+    seen = lined.select("_key", "_row", F.explode(windows(F.col("_lines"))).alias("_w")).select("_key", "_row", "_w.*")
     first = seen.groupBy("w1", "w2").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     repeated = salted_join(seen, first, ["w1", "w2"], ["_key", "_row"])
     within = Window.partitionBy("_key", "_row").orderBy("w1", "w2", "pos")
@@ -64,9 +66,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         .withColumnsRenamed({"_key": "_k", "_row": "_r"})
     )
     met = rows.join(later, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left")
-    lines = F.split("_text", "\n")
-    kept = met.select("_key", "_text", F.when(F.col("_starts").isNotNull(), kept_lines(lines, F.col("_starts"))).alias("_kept"))
-    n = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size(lines))
+    met = met.select("_key", "_text", "_starts", F.split("_text", "\n").alias("_lines"))
+    kept = met.select(
+        "_key",
+        "_text",
+        F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size("_lines")).alias("_n"),
+        F.when(F.col("_starts").isNotNull(), kept_lines(F.col("_lines"), F.col("_starts"))).alias("_kept"),
+    )
+    n = F.col("_n")
     return kept.select(
         F.col("_key").alias(key),
         F.when(F.col("_kept").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n")).alias(text),

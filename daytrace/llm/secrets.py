@@ -33,15 +33,27 @@ SMOOTHING = 0.5
 CODES = 128
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the pattern's matches, in code points.
+_PLACED = "array<struct<start:int,end:int,value:string>>"
+
+
+def _cut_up(rows: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """Add, per pattern, the array of (start, end, value) of its matches, in code points.
 
     The pieces between matches and the matches themselves alternate, so places are running lengths.
+    Both are columns of their own first: inside the lambdas a pattern would run once per match.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern)
+    whole = F.col(text)
+    raw = rows.select(
+        "*", *[F.regexp_extract_all(whole, F.lit(p), F.lit(0)).alias(f"_m_{name}") for name, p in patterns.items()]
+    )
+    raw = raw.select("*", *[F.when(F.size(f"_m_{name}") > 0, F.split(whole, p)).alias(f"_p_{name}") for name, p in patterns.items()])
+    placed = raw.select("*", *[_walked(F.col(f"_p_{name}"), F.col(f"_m_{name}")).alias(name) for name in patterns])
+    return placed.drop(*[f"_{kind}_{name}" for name in patterns for kind in "mp"])
+
+
+def _walked(pieces: Column, matches: Column) -> Column:
+    empty = F.array().cast(_PLACED)
     pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("value")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     walked = F.aggregate(
         pairs,
         F.struct(F.lit(0).alias("at"), empty.alias("out")),
@@ -58,8 +70,9 @@ def _found(text: Column, pattern: str) -> Column:
                 ),
             ).alias("out"),
         ),
+        lambda acc: acc["out"],
     )
-    return F.when(F.size(matches) == 0, empty).otherwise(walked["out"])
+    return F.when(F.size(matches) == 0, empty).otherwise(walked)
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -70,11 +83,10 @@ def assigned_value(match: Column) -> Column:
     return F.regexp_extract(match, ASSIGN, 2)
 
 
-def base_spans(text: Column) -> Column:
+def base_spans(assign: Column, access: Column, hexes: Column) -> Column:
     """(start, kind, end) of the base patterns, by start, then kind; failing matches are dropped."""
-    assign = F.filter(_found(text, ASSIGN), lambda s: F.length(assigned_value(s["value"])) >= ASSIGN_VALUE)
-    parts = [_spans(assign, "assign"), _spans(_found(text, ACCESS), "access"), _spans(_found(text, HEX), "hex")]
-    return F.sort_array(F.concat(*parts))
+    long = F.filter(assign, lambda s: F.length(assigned_value(s["value"])) >= ASSIGN_VALUE)
+    return F.sort_array(F.concat(_spans(long, "assign"), _spans(access, "access"), _spans(hexes, "hex")))
 
 
 def labelled_samples(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,14 +165,14 @@ def find_secrets(docs: DataFrame, ratios: list[float], key: str = "doc_id", text
     `spans` holds the base spans and the tokens that the models call random and that touch no base
     span. Null counts as an empty text; places are code points, ends exclusive.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.col(key).alias("_key"), whole.alias("_text"), base_spans(whole).alias("_base"))
-    likely = F.filter(_found(F.col("_text"), TOKEN), lambda s: score(s["value"], ratios) >= bound)
-    free = F.filter(
-        _spans(likely, "markov"), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    found = _cut_up(rows, "_text", {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "tokens": TOKEN}).select(
+        "_key",
+        base_spans(F.col("assign"), F.col("access"), F.col("hex")).alias("base"),
+        _spans(F.filter("tokens", lambda s: score(s["value"], ratios) >= bound), "markov").alias("likely"),
     )
-    added = F.when(F.col("_text").rlike(TOKEN), free).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    return found.select(F.col("_key").alias(key), F.col("_base").alias("base"), F.sort_array(F.concat("_base", added)).alias("spans"))
+    free = F.filter("likely", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return found.select(F.col("_key").alias(key), "base", F.sort_array(F.concat("base", free)).alias("spans"))
 
 
 def count_of(spans: Column, kind: str) -> Column:
