@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrace.llm import contamination, digest, hosts, linededup, secrets, sharding, simhash
-from daytrace.llm.common import table
+from daytrace.llm import archives, contamination, digest, hosts, linededup, secrets, sharding, simhash
+from daytrace.llm.common import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,15 @@ def op6_quartile_digest(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
+def op7_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as ARC archives of both versions (by page_id), converted, written as WARC files and read back."""
+    packed = archives.pages_to_arc(table(spark, folder, "pages"), "page_id", "url", "html", "CASE WHEN page_id % 2 = 0 THEN 1 ELSE 2 END")
+    path = new_folder(spark, "warc")
+    archives.write_warc(archives.with_types(archives.convert(packed)), path)
+    read = archives.resolved(archives.read_warc(spark, path))
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -74,7 +83,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_reputation, op4_shards, op5_line_windows, op6_quartile_digest, op8_simhash, op9_contamination, op10_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_reputation, op4_shards, op5_line_windows, op6_quartile_digest, op7_arc_to_warc, op8_simhash, op9_contamination, op10_secrets)}
 
 SQL: dict[str, str] = {}
 
@@ -182,3 +191,12 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+SQL["op7_arc_to_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to, true AS sound
+FROM f
+"""
