@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrace.llm import archives, contamination, digest, hosts, linededup, secrets, sharding, simhash
+from daytrace.llm import archives, bpe, contamination, digest, hosts, linededup, secrets, sharding, simhash
 from daytrace.llm.common import new_folder, table
 
+RANKS = "byte_bpe_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The rules that the contract of operator 2 states.
@@ -28,6 +30,17 @@ def op2_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return judged.withColumn("bound", F.round("bound", 6))
 
 
+def op3_bpe_tree(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    there = bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return there.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(bpe.ids_text(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as whole records in 40 shards; the text is digested after the shuffle."""
     out = sharding.shuffle_records(table(spark, folder, "documents"), shards=40)
@@ -83,7 +96,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_reputation, op4_shards, op5_line_windows, op6_quartile_digest, op7_arc_to_warc, op8_simhash, op9_contamination, op10_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_reputation, op3_bpe_tree, op4_shards, op5_line_windows, op6_quartile_digest, op7_arc_to_warc, op8_simhash, op9_contamination, op10_secrets)}
 
 SQL: dict[str, str] = {}
 
