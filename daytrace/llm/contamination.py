@@ -14,6 +14,8 @@ windows that have no rarer ones, and no step brings all postings of a term to on
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,9 +95,15 @@ def matched_starts(doc: Column, item: Column, delta: Column, span: int = SPAN) -
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", span: int = SPAN
+    docs: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item_key: str = "item_id",
+    span: int = SPAN,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """Per row of `docs`: key, n_words, n_hit, items (ids with occurring windows), contaminated.
+    """Per row of `docs`: key, n_words, n_hit, items (ids with occurring windows), contaminated, and the `carried` columns.
 
     A window is `span` item words in a row, or all words of a shorter item. Null and empty texts have
     no words; items without words occur nowhere; repeated items count once by id and a null id is not
@@ -107,9 +115,12 @@ def contamination(
     met = found.join(small(named), F.col("row") == F.col("_item_row"))
     per_doc = met.groupBy("_key", "_row").agg(F.collect_list(F.struct("item", "words", "delta")).alias("_at"))
     per_doc = per_doc.withColumnsRenamed({"_key": "_k", "_row": "_r"})
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_row"))
+    rest = F.struct(*[F.col(c) for c in carried if c != text]) if set(carried) - {text} else F.lit(None)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_row"), rest.alias("_rest"))
     joined = rows.join(per_doc, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left")
-    joined = joined.select("_key", "_at", words_of(F.col("_text")).alias("_words"))
+    kept = [F.col("_text") if c == text else F.col(f"_rest.{c}") for c in carried]
+    joined = joined.select("_key", "_at", words_of(F.col("_text")).alias("_words"), *[k.alias(f"_c{i}") for i, k in enumerate(kept)])
+    kept = [F.col(f"_c{i}") for i in range(len(kept))]
 
     def hits(doc: Column, at: Column) -> Column:
         starts = matched_starts(doc, at["words"], at["delta"], span)
@@ -119,6 +130,7 @@ def contamination(
 
     judged = joined.select(
         "_key",
+        *kept,
         F.size("_words").alias("n_words"),
         F.filter(F.transform("_at", lambda at: hits(F.col("_words"), at)), lambda h: F.size(h["places"]) > 0).alias("_hits"),
     )
@@ -131,6 +143,7 @@ def contamination(
         n_hit.alias("n_hit"),
         names.alias("items"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *[k.alias(c) for k, c in zip(kept, carried, strict=True)],
     )
 
 

@@ -10,6 +10,8 @@ third of all documents share is spread over tasks. A text is shuffled once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +45,15 @@ def kept_lines(lines: Column, starts: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), n), gap))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, text without later occurrences, n_lines and n_removed.
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", carried: Sequence[str] = ()) -> DataFrame:
+    """Per row: key, text without later occurrences, the `carried` columns, n_lines and n_removed.
 
     A null text stays null with no lines; texts under three lines are left alone; a document of which
     all lines go becomes an empty text. Rows that share a key count as one document: neither is later
     than the other. Null keys come after all others. In a run of equal lines the first stays.
     """
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_row", F.xxhash64("_text"))
+    rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), rest.alias("_rest")).withColumn("_row", F.xxhash64("_text"))
     # The lines are a column of their own: inside the lambdas the split would run once per line.
     lined = rows.select("_key", "_row", F.split("_text", "\n").alias("_lines"))
     seen = lined.select("_key", "_row", F.explode(windows(F.col("_lines"))).alias("_w")).select("_key", "_row", "_w.*")
@@ -66,10 +69,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         .withColumnsRenamed({"_key": "_k", "_row": "_r"})
     )
     met = rows.join(later, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left")
-    met = met.select("_key", "_text", "_starts", F.split("_text", "\n").alias("_lines"))
+    met = met.select("_key", "_text", "_rest", "_starts", F.split("_text", "\n").alias("_lines"))
     kept = met.select(
         "_key",
         "_text",
+        "_rest",
         F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size("_lines")).alias("_n"),
         F.when(F.col("_starts").isNotNull(), kept_lines(F.col("_lines"), F.col("_starts"))).alias("_kept"),
     )
@@ -77,6 +81,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return kept.select(
         F.col("_key").alias(key),
         F.when(F.col("_kept").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n")).alias(text),
+        *[F.col(f"_rest.{c}").alias(c) for c in carried],
         n.alias("n_lines"),
         F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n - F.size("_kept")).alias("n_removed"),
     )

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrace.llm import archives, bpe, contamination, digest, hosts, linededup, secrets, sharding, simhash
+from daytrace.llm import archives, bpe, contamination, digest, hosts, linededup, secrets, sharding, simhash, toxicity
 from daytrace.llm.common import new_folder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -23,6 +23,21 @@ RULES = (
 )
 
 
+def held_out(key: Column) -> Column:
+    """Whether labels of this document are kept from the fit; false for a null id."""
+    return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(toxicity.sampled(docs, labels.where(~held_out(F.col("doc_id"))), "doc_id", "text", "toxic"))
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's url; outcomes are the quality labels, paired with pages by equal ids."""
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -96,7 +111,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_reputation, op3_bpe_tree, op4_shards, op5_line_windows, op6_quartile_digest, op7_arc_to_warc, op8_simhash, op9_contamination, op10_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_host_reputation, op3_bpe_tree, op4_shards, op5_line_windows, op6_quartile_digest, op7_arc_to_warc, op8_simhash, op9_contamination, op10_secrets)}
 
 SQL: dict[str, str] = {}
 

@@ -23,7 +23,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daytrace.llm.common import cut, salted_join, small
@@ -285,6 +285,17 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def _named(prints: DataFrame, key: str) -> DataFrame:
+    """fp, component_id and root (a name that the component has even without keys) of every distinct fingerprint."""
+    nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
+    roots = components(links(nodes))
+    known = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.struct(F.col("root").isNotNull().alias("linked"), F.coalesce("root", "fp").alias("name")).alias("root")
+    )
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    return salted_join(known.select("fp", "root"), least, ["root"], ["fp"], salts=8).select("fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fingerprint (16 hex digits) and component_id, the smallest key reachable over links.
 
@@ -292,12 +303,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     has a null id; repeated rows stay, each with the component of its fingerprint.
     """
     prints = cut(fingerprints(docs, key, text))
-    nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = components(links(nodes))
-    known = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.struct(F.col("root").isNotNull().alias("linked"), F.coalesce("root", "fp").alias("name")).alias("root")
-    )
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = salted_join(known.select("fp", "root"), least, ["root"], ["fp"], salts=8).select("fp", "component_id")
-    met = salted_join(prints, named, ["fp"], [key])
+    met = salted_join(prints, _named(prints, key), ["fp"], [key])
     return met.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of `docs` of each component, with its columns: that with the smallest key, null keys last.
+
+    Of rows that share this key the one with the smallest hash of the text stays. The texts are
+    shuffled once, and only rows chosen by then are numbered to leave out repeated ones.
+    """
+    rows = docs.withColumn("_id", F.xxhash64(key, F.xxhash64(text)))
+    prints = cut(fingerprints(rows, "_id", text))
+    keys = rows.select("_id", F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "_id").alias("order"))
+    keyed = prints.join(keys.groupBy("_id").agg(F.min("order").alias("order")), "_id")
+    met = salted_join(keyed, _named(keyed.select("fp", F.col("order.key").alias("key")), "key"), ["fp"], ["_id"])
+    chosen = met.groupBy("root").agg(F.min("order").alias("order")).select(F.col("order._id").alias("_chosen"))
+    once = Window.partitionBy("_id").orderBy("_id")
+    picked = rows.join(chosen, F.col("_id") == F.col("_chosen")).withColumn("_nth", F.row_number().over(once))
+    return picked.where("_nth = 1").select(*docs.columns)
