@@ -91,7 +91,9 @@ def parse_arc(content: bytes) -> Iterator[ArcRecord]:
         if content[at : at + 1] in (b"\n", b"\r"):
             at += 1
             continue
-        end = content.index(b"\n", at)
+        end = content.find(b"\n", at)
+        if end < 0:
+            raise ValueError(f"record at {at} is cut off")
         values = content[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
         if len(values) != len(names):
             raise ValueError(f"record at {at} has {len(values)} fields, version {version} has {len(names)}")

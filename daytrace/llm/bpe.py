@@ -219,7 +219,7 @@ def _mapped(df: DataFrame, source: str, added: dict[str, T.DataType], ranks_path
                 columns = [pa.array(m, kind) for m, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=[*rest, *added])
 
-    return df.select(F.col(source).alias("_source"), *rest).mapInArrow(run, schema)
+    return df.select(F.col(source).alias("__bpe_source"), *rest).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:

@@ -28,8 +28,8 @@ SAMPLE_LENGTH = 12
 SAMPLE = rf"[A-Za-z0-9+/_=-]{{{SAMPLE_LENGTH},}}"
 #: Nats per character that a token must be likelier as a random string.
 BOUND = 0.5
-#: Added to every count of a character pair.
-SMOOTHING = 0.5
+#: Added to every count of a character; weight of the single characters in a pair's probability.
+SMOOTHING, BACKING = 0.5, 500.0
 CODES = 128
 
 
@@ -119,7 +119,8 @@ def fit(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
     """Log-likelihood ratio (random over ordinary) of each pair of ASCII codes, at code * 128 + next.
 
     `samples` has token and random (boolean); every token counts. The counts, at most two tables of
-    128 x 128, are all that leaves Spark. Without samples of either sort all ratios are 0.
+    128 x 128, are all that leaves Spark. A pair's probability backs off to its second character's, so
+    that characters one sort of strings lacks speak against it. Without samples of either sort all ratios are 0.
     """
     codes = F.filter(F.transform(F.split("token", ""), lambda c: F.ascii(c)), lambda c: (c > 0) & (c < CODES))
     coded = samples.where("token is not null and random is not null").select("random", codes.alias("codes"))
@@ -134,26 +135,32 @@ def fit(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
         return [0.0] * (CODES * CODES)
     used = sorted({c for table in counts.values() for p in table for c in divmod(p, CODES)})
     ratios = [0.0] * (CODES * CODES)
-    for a in used:
-        totals = {k: sum(t.get(a * CODES + b, 0) for b in used) + smoothing * len(used) for k, t in counts.items()}
-        for b in used:
-            p = a * CODES + b
-            ratios[p] = math.log((counts[True].get(p, 0) + smoothing) / totals[True]) - math.log(
-                (counts[False].get(p, 0) + smoothing) / totals[False]
-            )
-    return ratios
+    for random, sign in ((True, 1), (False, -1)):
+        single, rows = dict.fromkeys(used, smoothing), dict.fromkeys(used, 0)
+        for pair, n in counts[random].items():
+            a, b = divmod(pair, CODES)
+            single[b] += n
+            rows[a] += n
+        total = sum(single.values())
+        for a in used:
+            for b in used:
+                p = (counts[random].get(a * CODES + b, 0) + BACKING * single[b] / total) / (rows[a] + BACKING)
+                ratios[a * CODES + b] += sign * math.log(p)
+    return [round(r, 4) for r in ratios]
 
 
 def score(token: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio per character pair of a token; above 0 is likelier random."""
-    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
+    used = sorted({c for p, r in enumerate(ratios) if r for c in divmod(p, CODES)})
+    place = F.from_json(F.lit(json.dumps([used.index(c) if c in used else -1 for c in range(CODES)])), "array<int>")
+    table = F.from_json(F.lit(json.dumps([ratios[a * CODES + b] for a in used for b in used])), "array<double>")
+    places = F.transform(F.split(token, ""), lambda c: F.coalesce(F.get(place, F.ascii(c)), F.lit(-1)))
     steps = F.aggregate(
-        codes,
+        places,
         F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")),
         lambda acc, c: F.struct(
             c.alias("last"),
-            (acc["sum"] + F.when((acc["last"] >= 0) & (c >= 0) & (c < CODES), F.get(table, acc["last"] * CODES + c)).otherwise(F.lit(0.0))).alias("sum"),
+            (acc["sum"] + F.when((acc["last"] >= 0) & (c >= 0), F.get(table, acc["last"] * len(used) + c)).otherwise(F.lit(0.0))).alias("sum"),
         ),
     )
     return steps["sum"] / F.greatest(F.length(token) - 1, F.lit(1))

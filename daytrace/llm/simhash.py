@@ -313,12 +313,12 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Of rows that share this key the one with the smallest hash of the text stays. The texts are
     shuffled once, and only rows chosen by then are numbered to leave out repeated ones.
     """
-    rows = docs.withColumn("_id", F.xxhash64(key, F.xxhash64(text)))
-    prints = cut(fingerprints(rows, "_id", text))
-    keys = rows.select("_id", F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "_id").alias("order"))
-    keyed = prints.join(keys.groupBy("_id").agg(F.min("order").alias("order")), "_id")
-    met = salted_join(keyed, _named(keyed.select("fp", F.col("order.key").alias("key")), "key"), ["fp"], ["_id"])
-    chosen = met.groupBy("root").agg(F.min("order").alias("order")).select(F.col("order._id").alias("_chosen"))
-    once = Window.partitionBy("_id").orderBy("_id")
-    picked = rows.join(chosen, F.col("_id") == F.col("_chosen")).withColumn("_nth", F.row_number().over(once))
-    return picked.where("_nth = 1").select(*docs.columns)
+    rows = docs.withColumn("__row_id", F.xxhash64(key, F.xxhash64(text)))
+    prints = cut(fingerprints(rows, "__row_id", text))
+    keys = rows.select("__row_id", F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "__row_id").alias("order"))
+    keyed = prints.join(keys.groupBy("__row_id").agg(F.min("order").alias("order")), "__row_id")
+    met = salted_join(keyed, _named(keyed.select("fp", F.col("order.key").alias("key")), "key"), ["fp"], ["__row_id"])
+    chosen = met.groupBy("root").agg(F.min("order").alias("order")).select(F.col("order.__row_id").alias("__chosen"))
+    once = Window.partitionBy("__row_id").orderBy("__row_id")
+    picked = rows.join(chosen, F.col("__row_id") == F.col("__chosen")).withColumn("__nth", F.row_number().over(once))
+    return picked.where("__nth = 1").select(*docs.columns)
