@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from daytrace.bindings.registry import day, joined, query, rounded
 from daytrace.bindings.views import (
     ACTIVITY_SQL,
+    ANY_DIFFERS,
     DAYS_SQL,
+    DIFFERS,
     RAW_DAYS_SQL,
     entity_days,
     order_activity,
@@ -22,19 +24,6 @@ from daytrace.operators import expectation as oe
 from daytrace.operators import windows as ow
 from daytrace.plans import study
 
-DIFFERS = {
-    f: f"(min({f}) <> max({f}) OR (count({f}) > 0 AND count({f}) <> count(*)))"
-    for f in (
-        "on_stream_hours",
-        "oil_volume_sm3",
-        "gas_volume_sm3",
-        "water_volume_sm3",
-        "well_status",
-        "choke_size",
-        "choke_unit",
-    )
-}
-ANY_DIFFERS = " OR ".join(f"coalesce({d}, false)" for d in DIFFERS.values())
 FIELD_LIST = ", ".join(f"CASE WHEN {d} THEN '{f}' END" for f, d in DIFFERS.items())
 
 
@@ -188,32 +177,52 @@ def development_by_well(spark, folder) -> DataFrame:
 
 
 def _requests(days: DataFrame) -> DataFrame:
-    """One request per well over its first year, and one for a well nobody knows."""
-    first = days.groupBy("well").agg(F.min("production_date").alias("start"))
-    asked = first.withColumn("end", F.date_add("start", 364))
-    return asked.unionByName(asked.limit(1).withColumn("well", F.lit("nobody")))
-
-
-_REQUESTS = """requests AS (
-  SELECT well, min(production_date) AS s, CAST(min(production_date) + 364 AS DATE) AS e FROM days GROUP BY well)"""
+    """Requests per well: its first year, all its time, a reversed range, and one without days; and an unknown well."""
+    first = days.groupBy("well").agg(F.min("production_date").alias("first"), F.max("production_date").alias("last"))
+    asked = first.select(
+        "well",
+        F.explode(
+            F.array(
+                F.struct(F.col("first").alias("start"), F.date_add("first", 364).alias("end")),
+                F.struct(F.col("first").alias("start"), F.col("last").alias("end")),
+                F.struct(F.col("first").alias("start"), F.date_sub("first", 1).alias("end")),
+                F.struct(F.date_sub("first", 30).alias("start"), F.date_sub("first", 1).alias("end")),
+            )
+        ).alias("r"),
+    ).select("well", "r.start", "r.end").distinct()
+    nobody = days.agg(F.lit("nobody").alias("well"), F.min("production_date").alias("start"), F.max("production_date").alias("end"))
+    return asked.unionByName(nobody)
+
+
+_REQUESTS = """bounds AS (SELECT well, min(production_date) AS f, max(production_date) AS l FROM days GROUP BY well),
+requests AS (
+  SELECT well, f AS s, CAST(f + 364 AS DATE) AS e FROM bounds UNION SELECT well, f, l FROM bounds
+  UNION SELECT well, f, CAST(f - 1 AS DATE) FROM bounds UNION SELECT well, CAST(f - 30 AS DATE), CAST(f - 1 AS DATE) FROM bounds
+  UNION SELECT 'nobody', min(f), max(l) FROM bounds),
+held AS (
+  SELECT r.well, r.s, r.e, d.production_date, d.day_class, d.f_hours FROM requests r
+  LEFT JOIN days d ON d.well = r.well AND d.production_date BETWEEN r.s AND r.e)"""
+
+_ERROR = """CASE WHEN e < s THEN 'invalid_range' WHEN well NOT IN (SELECT well FROM bounds) THEN 'unknown_well'
+      WHEN count(production_date) = 0 THEN 'no_data' END"""
 
 
 @query(
     "well_history",
     f"""WITH {DAYS_SQL}, {_REQUESTS}
-    SELECT r.well, count(*) AS rows_present, 365 - count(*) AS absent_days,
+    SELECT well, CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", {_ERROR} AS error, count(production_date) AS rows_present,
+      CAST(e - s AS BIGINT) + 1 - count(production_date) AS absent_days,
       count(*) FILTER (WHERE day_class = 'valid_producing') AS valid_producing_days,
       count(*) FILTER (WHERE day_class = 'downtime') AS downtime_days,
       count(*) FILTER (WHERE day_class = 'partial') AS partial_days,
       count(*) FILTER (WHERE day_class = 'missing') AS missing_days
-    FROM requests r JOIN days d ON d.well = r.well AND d.production_date BETWEEN r.s AND r.e GROUP BY r.well""",
+    FROM held GROUP BY well, s, e""",
 )
 def well_history(spark, folder) -> DataFrame:
-    """Each supplier's first year, class counts and absent days."""
+    """Class counts and absent days of each request, or why it has none."""
     days = entity_days(spark, folder)
-    found = od.history(days, _requests(days)).where("error is null")
-    return found.select(
-        "well", "rows_present", F.col("absent_days").cast("bigint").alias("absent_days"),
+    return od.history(days, _requests(days)).select(
+        "well", day("start"), day("end"), "error", "rows_present", F.col("absent_days").cast("bigint").alias("absent_days"),
         "valid_producing_days", "downtime_days", "partial_days", "missing_days",
     )
 
@@ -221,21 +230,25 @@ def well_history(spark, folder) -> DataFrame:
 @query(
     "well_data_quality",
     f"""WITH {DAYS_SQL}, {_REQUESTS}
-    SELECT r.well, round(count(*) FILTER (WHERE day_class = 'valid_producing') / 365e0, 6) AS usable_fraction,
-      round(count(*) FILTER (WHERE day_class IN ('quarantined', 'missing')) / CAST(count(*) AS DOUBLE), 6) AS gap_fraction,
+    SELECT well, CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", {_ERROR} AS error,
+      round(count(*) FILTER (WHERE day_class = 'valid_producing') / nullif(CAST(e - s AS DOUBLE) + 1, 0), 6) AS usable_fraction,
+      round(count(*) FILTER (WHERE day_class IN ('quarantined', 'missing')) / nullif(CAST(count(production_date) AS DOUBLE), 0), 6) AS gap_fraction,
       count(*) FILTER (WHERE day_class = 'quarantined' AND f_hours) AS hours_out_of_range,
       CAST(min(production_date) FILTER (WHERE day_class = 'valid_producing') AS VARCHAR) AS first_valid_day,
       CAST(max(production_date) FILTER (WHERE day_class = 'valid_producing') AS VARCHAR) AS last_valid_day,
       CASE WHEN count(*) FILTER (WHERE day_class <> 'missing') > 0 THEN 'volume_above_capacity' ELSE '' END AS not_evaluated
-    FROM requests r JOIN days d ON d.well = r.well AND d.production_date BETWEEN r.s AND r.e GROUP BY r.well""",
+    FROM held GROUP BY well, s, e""",
 )
 def well_data_quality(spark, folder) -> DataFrame:
-    """Usable and gap fractions, reasons and unevaluated checks of each first year."""
+    """Usable and gap fractions, reasons and unevaluated checks of each request."""
     days = entity_days(spark, folder)
-    found = od.data_quality(days, _requests(days)).where("error is null")
+    found = od.data_quality(days, _requests(days))
     reason = F.coalesce(F.try_element_at("quarantine_reasons", F.lit("hours_out_of_range")), F.lit(0))
     return found.select(
         "well",
+        day("start"),
+        day("end"),
+        "error",
         rounded("usable_fraction", digits=6),
         rounded("gap_fraction", digits=6),
         reason.cast("bigint").alias("hours_out_of_range"),

@@ -230,7 +230,7 @@ passes AS (
       'shut in downtime production stop closed', 'water cut injection breakthrough', 'pressure drawdown reservoir decline',
       'platform shutdown field process trip'][position + 1] AS query
   FROM (SELECT *, row_number() OVER (PARTITION BY well, onset ORDER BY position) - 1 AS p FROM formed
-        WHERE status IN ('supported', 'plausible')) JOIN early USING (well, onset) WHERE p < 3 AND (p = 0 OR NOT stops)
+        WHERE status IN ('supported', 'plausible')) JOIN early USING (well, onset) WHERE p = 0 OR NOT stops
   UNION ALL SELECT DISTINCT well, onset, z, 0, 'H-choke', 'well intervention production' FROM formed JOIN early USING (well, onset)
   WHERE testable = 0)"""
 
@@ -307,7 +307,7 @@ concluded AS (
   SELECT *, CASE WHEN s = 1 THEN 'supported_explanation' WHEN s > 1 OR pl >= 2 THEN 'multiple_plausible_explanations'
       ELSE 'insufficient_evidence' END AS verdict,
     CASE WHEN unavailable <> '' AND waiting AND s = 0 THEN 'mandatory_evidence_unavailable'
-      WHEN testable > 3 OR pl > 0 THEN 'evidence_exhausted' ELSE 'evidence_threshold_met' END AS stop_reason,
+      WHEN pl > 0 THEN 'evidence_exhausted' ELSE 'evidence_threshold_met' END AS stop_reason,
     [NULL, 'proximate_driver', 'supported_mechanism', 'documented_root_cause'][lv + 1] AS highest_level
   FROM (SELECT well, onset, any_value(z) AS z, any_value(unavailable) AS unavailable, count(*) FILTER (WHERE status2 = 'supported') AS s,
       count(*) FILTER (WHERE status2 = 'plausible') AS pl, bool_or(status2 = 'unresolved' AND needs_channel) AS waiting,
@@ -595,29 +595,3 @@ def episode_facts(spark, folder) -> DataFrame:
     """Measured and derived facts of every episode."""
     facts, _, _ = of.episode_facts(investigated(spark, folder).episodes, oil_price=400.0)
     return facts.select("metric", "unit", F.col("source_locator")["well"].alias("well"), rounded("value", digits=2))
-
-
-@query(
-    "finding_steps",
-    f"""WITH {INVESTIGATION_SQL}, n AS (SELECT well, onset, count(*) AS passes FROM passes GROUP BY well, onset)
-    SELECT 'finding_' || c.well || '_' || CAST(c.onset AS VARCHAR) AS finding_id, 6 + 3 * coalesce(passes, 0) AS steps
-    FROM concluded c LEFT JOIN n USING (well, onset)""",
-)
-def finding_steps(spark, folder) -> DataFrame:
-    """Steps recorded per finding: six stages and three per retrieval pass."""
-    done = investigated(spark, folder)
-    steps = on.recorded_steps(done.findings, done.passes)
-    return steps.groupBy("finding_id").agg(F.count(F.lit(1)).alias("steps"))
-
-
-@query(
-    "finding_step_audits",
-    f"""WITH {INVESTIGATION_SQL}
-    SELECT 'finding_' || well || '_' || CAST(onset AS VARCHAR) AS finding_id, stop_reason, true AS matches, '' AS problems FROM concluded""",
-)
-def finding_step_audits(spark, folder) -> DataFrame:
-    """Q8, Q13: stage order of each finding, and whether its stop follows from its steps."""
-    done = investigated(spark, folder)
-    steps = on.recorded_steps(done.findings, done.passes)
-    order = oa.stage_order_problems(steps, ["finding_id"]).select("finding_id", joined("problems"))
-    return oa.stop_matches_steps(done.findings, steps).join(order, "finding_id")

@@ -165,9 +165,9 @@ def stated_reasons(spark, folder) -> DataFrame:
 
 @query("stray_numbers")
 def stray_numbers(spark, folder) -> DataFrame:
-    """P25: numbers in prose without a source (needs look-behind, which the SQL engine lacks)."""
-    rows = table(spark, folder, "documents").select("doc_id", ft.stray_numbers(F.col("text")).alias("n"))
-    return rows.select("doc_id", F.size("n").alias("numbers"), joined(F.slice("n", 1, 5), "first_numbers"))
+    """P25: every number in prose without a source, one row per number and document with its count."""
+    rows = table(spark, folder, "documents").select("doc_id", F.explode(ft.stray_numbers(F.col("text"))).alias("number"))
+    return rows.groupBy("doc_id", "number").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daytrace import fixed
 from daytrace.operators import days as od
 
 
@@ -28,7 +29,7 @@ def _line_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _as_days(items: DataFrame) -> DataFrame:
+def _as_days(items: DataFrame, *kept: str) -> DataFrame:
     c = F.col
     depressed = (12 * F.year("day") + F.month("day") + c("l_suppkey")) % 8 == 0
     hours = (
@@ -62,23 +63,28 @@ def _as_days(items: DataFrame) -> DataFrame:
             (30 + c("l_partkey") % 11).cast("double").alias("wellhead_pressure_bar"),
             F.when(c("l_suppkey") % 5 != 0, (2 + c("l_partkey") % 3).cast("double")).alias("choke_dp_bar"),
             F.concat_ws("-", c("l_orderkey"), c("l_linenumber")).alias("source"),
+            *kept,
         )
     )
 
 
 def entity_days(spark: SparkSession, folder: str) -> DataFrame:
-    """First line item per supplier and day, classified.
+    """Supplier-days whose line items agree on every material field, classified.
 
-    Grouped before the day columns are derived: the aggregate then holds four numbers per group,
-    runs as a hash aggregate, and combines a busy supplier's rows before the shuffle.
+    The rule of `collapse_duplicates`, with agreement told by a hash of the material fields: the
+    aggregate then holds a few numbers per group, runs as a hash aggregate, and combines a busy
+    supplier's rows before the shuffle. Days in conflict are what `duplicate_conflicts` returns.
     """
+    material = [c for f in fixed.MATERIAL_FIELDS for c in (F.col(f), F.col(f).isNull())]
+    kept = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    lines = _line_items(spark, folder)
+    derived = _as_days(lines, "l_suppkey", "day", *kept)
     order = F.col("l_orderkey") * 1024 + F.col("l_linenumber")
-    first = (
-        _line_items(spark, folder)
-        .groupBy("l_suppkey", "day")
-        .agg(*[F.min_by(c, order).alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")])
+    hashed = derived.select("l_suppkey", "day", *kept, F.xxhash64(*material).alias("hash"))
+    first = hashed.groupBy("l_suppkey", "day").agg(
+        *[F.min_by(c, order).alias(c) for c in kept], F.min("hash").alias("low"), F.max("hash").alias("high")
     )
-    return od.classify(_as_days(first))
+    return od.classify(_as_days(first.where("low = high")))
 
 
 def order_activity(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,10 +123,16 @@ RAW_DAYS_SQL = """raw_days AS (
                      ELSE 24e0 END AS hours
               FROM lineitem)))"""
 
+DIFFERS = {
+    f: f"(min({f}) <> max({f}) OR (count({f}) > 0 AND count({f}) <> count(*)))" for f in fixed.MATERIAL_FIELDS
+}
+ANY_DIFFERS = " OR ".join(f"coalesce({d}, false)" for d in DIFFERS.values())
+
 DAYS_SQL = (
     RAW_DAYS_SQL
-    + """, first_days AS (
-  SELECT * FROM raw_days
+    + f""", agreed AS (SELECT well, production_date FROM raw_days GROUP BY well, production_date HAVING NOT ({ANY_DIFFERS})),
+first_days AS (
+  SELECT raw_days.* FROM raw_days JOIN agreed USING (well, production_date)
   QUALIFY row_number() OVER (PARTITION BY well, production_date ORDER BY l_orderkey, l_linenumber) = 1
 ), checked AS (
   SELECT *, (on_stream_hours < 0 OR on_stream_hours > 24) AS f_hours,

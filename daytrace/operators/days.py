@@ -169,18 +169,15 @@ def _requested(days: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def _error(rows: str) -> Column:
-    span = F.datediff("end", "start") + 1
     return (
         F.when(F.col("end") < F.col("start"), "invalid_range")
-        .when(span > fixed.MAX_DAYS_PER_REQUEST, "range_too_large")
         .when(~F.col("_is_known"), "unknown_well")
         .when(F.col(rows) == 0, "no_data")
-        .when(F.col(rows) > fixed.MAX_ROWS_PER_RESPONSE, "too_many_rows")
     )
 
 
 def history(days: DataFrame, requests: DataFrame) -> DataFrame:
-    """Bounded well history: class counts and absent days per request, or an error code."""
+    """Well history: class counts and absent days per request, or an error code."""
     counted = (
         _requested(days, requests)
         .groupBy("well", "start", "end")
@@ -236,7 +233,7 @@ def data_quality(days: DataFrame, requests: DataFrame) -> DataFrame:
         "rows_present",
         (span - F.col("rows_present")).alias("absent_days"),
         "valid_producing_days",
-        (F.col("valid_producing_days") / span).alias("usable_fraction"),
+        (F.col("valid_producing_days") / F.nullif(span, F.lit(0))).alias("usable_fraction"),
         (F.col("_gaps") / F.nullif(F.col("rows_present"), F.lit(0))).alias("gap_fraction"),
         F.map_filter(pairs, lambda _, n: n > 0).alias("quarantine_reasons"),
         skipped.alias("checks_not_evaluated"),

@@ -161,15 +161,10 @@ def series(days: DataFrame, windows: DataFrame, fits: DataFrame) -> DataFrame:
 
 
 def ranked(episodes: DataFrame, well: str | None = None) -> DataFrame:
-    """Episodes, most costly first; a listing over the limit is refused by `too_many`."""
+    """Episodes, most costly first."""
     chosen = episodes if well is None else episodes.where(F.col("well") == well)
     return chosen.orderBy(F.desc("cumulative_rate_shortfall_sm3"), "well", "onset")
 
 
-def too_many(episodes: DataFrame, limit: int = fixed.MAX_EPISODES_PER_RESPONSE) -> bool:
-    """Whether a listing would exceed the limit; at most limit+1 rows are looked at."""
-    return len(episodes.select("well").limit(limit + 1).take(limit + 1)) > limit
-
-
 def one(episodes: DataFrame, well: str, onset) -> DataFrame:
     return episodes.where((F.col("well") == well) & (F.col("onset") == F.lit(onset)))

@@ -105,10 +105,10 @@ def _first_pass_stop(statuses: DataFrame) -> DataFrame:
     )
 
 
-def evidence_passes(hypotheses: DataFrame) -> DataFrame:
+def evidence_passes(hypotheses: DataFrame, max_passes: int | None = None) -> DataFrame:
     """Retrieval passes (episode, pass, hypothesis, query): the testable hypotheses in order.
 
-    At most three; one generic pass aimed at the choke hypothesis where none is testable; only the
+    All of them (five at most), or the first `max_passes`; one generic pass aimed at the choke hypothesis where none is testable; only the
     first where a missing channel stops the search.
     """
     early = _first_pass_stop(hypotheses)
@@ -117,7 +117,7 @@ def evidence_passes(hypotheses: DataFrame) -> DataFrame:
     testable = (
         hypotheses.where(F.col("status").isin(*OPEN))
         .withColumn("pass", F.row_number().over(w) - 1)
-        .where(F.col("pass") < fixed.MAX_PASSES)
+        .where(F.lit(True) if max_passes is None else F.col("pass") < max_passes)
         .select(*EPISODE, "pass", "hypothesis_id", queries[F.col("hypothesis_id")].alias("query"))
     )
     idle = hypotheses.groupBy(*EPISODE).agg(F.bool_or(F.col("status").isin(*OPEN)).alias("any")).where("not any")
@@ -135,12 +135,14 @@ def evidence_passes(hypotheses: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(passes: DataFrame, chunks: DataFrame, days_around: int = fixed.EVIDENCE_WINDOW_DAYS) -> DataFrame:
+def retrieve(
+    passes: DataFrame, chunks: DataFrame, days_around: int = fixed.EVIDENCE_WINDOW_DAYS, hits: int = fixed.HITS_PER_PASS
+) -> DataFrame:
     """Citable spans per pass: top chunks of the well near the episode, verbatim sentence each."""
     keyed = passes.withColumn(
         "query_id", F.concat_ws("|", "well", F.col("onset"), F.col("offset"), "pass")
     )
-    hits = search(
+    found = search(
         chunks,
         keyed.select(
             "query_id",
@@ -149,9 +151,9 @@ def retrieve(passes: DataFrame, chunks: DataFrame, days_around: int = fixed.EVID
             F.date_sub("onset", days_around).alias("on_or_after"),
             F.date_add("offset", days_around).alias("on_or_before"),
         ),
-        fixed.HITS_PER_PASS,
+        hits,
     )
-    cited = hits.join(chunks.select("chunk_id", "text", "source_document", "report_date"), "chunk_id")
+    cited = found.join(chunks.select("chunk_id", "text", "source_document", "report_date"), "chunk_id")
     span = ft.sentence_with(F.col("text"), F.col("matched_terms"))
     spans = cited.withColumn("span", span).where(F.col("span").isNotNull() & F.contains("text", "span"))
     return keyed.drop("query").join(spans, "query_id").select(
@@ -204,8 +206,8 @@ def _ids(c: str) -> Column:
     return F.transform(c, lambda h: h["hypothesis_id"])
 
 
-def conclude(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One finding row per episode.
+def conclude(before: DataFrame, after: DataFrame, max_passes: int | None = None) -> DataFrame:
+    """One finding row per episode; `max_passes` is what `evidence_passes` was given.
 
     `before` are the hypotheses as formed, `after` those with evidence attached. The early stop is
     judged on the statuses the first pass leaves behind.
@@ -240,7 +242,7 @@ def conclude(before: DataFrame, after: DataFrame) -> DataFrame:
     early = (F.size("unavailable_channels") > 0) & F.col("_waiting") & (supported == 0)
     stop = (
         F.when(early, "mandatory_evidence_unavailable")
-        .when(F.col("_testable_before") > fixed.MAX_PASSES, "evidence_exhausted")
+        .when(F.lit(False) if max_passes is None else F.col("_testable_before") > max_passes, "evidence_exhausted")
         .when(F.col("plausible") > 0, "evidence_exhausted")
         .otherwise("evidence_threshold_met")
     )
@@ -282,7 +284,7 @@ def narrative() -> Column:
     """Finding text from the statuses gathered in `conclude`."""
     documented = F.filter("_supported", lambda h: h["causal_level"] == "documented_root_cause")
     proximate = F.forall("_supported", lambda h: h["causal_level"] == "proximate_driver")
-    cited = F.when(F.size("_spans") > 0, ft.filled("stated_in", F.array_join(F.slice("_spans", 1, 2), "; ")))
+    cited = F.when(F.size("_spans") > 0, ft.filled("stated_in", F.array_join("_spans", "; ")))
     body = (
         F.when(F.size(documented) > 0, F.concat_ws(" ", ft.filled("documented", _described(documented)), cited))
         .when((F.size("_supported") > 0) & proximate, ft.filled("proximate", _described("_supported")))
@@ -330,49 +332,6 @@ def next_check() -> Column:
     )
 
 
-def recorded_steps(findings: DataFrame, passes: DataFrame) -> DataFrame:
-    """The stages each finding went through (finding_id, index, stage, query, summary, tokens, cost).
-
-    Three stages per retrieval pass, so a handful of rows per finding.
-    """
-    made = passes.join(findings.select("finding_id", *EPISODE), EPISODE)
-    totals = made.groupBy("finding_id").agg(F.count(F.lit(1)).alias("n"))
-    ended = findings.select("finding_id", (F.col("stop_reason") == "mandatory_evidence_unavailable").alias("_early"))
-    none = F.lit(None).cast("string")
-
-    def steps(rows: DataFrame, *entries: tuple[Column, str, Column, Column]) -> DataFrame:
-        items = [
-            F.struct(i.cast("int").alias("index"), F.lit(s).alias("stage"), q.alias("query"), t.alias("summary"))
-            for i, s, q, t in entries
-        ]
-        return rows.select("finding_id", F.explode(F.array(*items)).alias("s")).select("finding_id", "s.*")
-
-    lead = len(fixed.STAGES) - len(fixed.LOOP_STAGES) - 2
-    opening = steps(
-        findings.select("finding_id"), *[(F.lit(i), s, none, F.lit("")) for i, s in enumerate(fixed.STAGES[:lead])]
-    )
-    at = lead + 3 * F.col("pass")
-    last = F.col("pass") == F.col("n") - 1
-    said = F.when(last & F.col("_early"), "stopping: a channel the open hypotheses need is unavailable").otherwise(
-        F.concat(F.lit("another pass: "), (~last).cast("string"))
-    )
-    looped = steps(
-        made.join(totals, "finding_id").join(ended, "finding_id"),
-        (at, "retrieve_evidence", F.col("query"), F.col("hypothesis_id")),
-        (at + 1, "seek_contradiction", none, F.col("hypothesis_id")),
-        (at + 2, "decide_continue", none, said),
-    )
-    after = lead + 3 * F.coalesce(F.col("n"), F.lit(0))
-    closing = steps(
-        findings.select("finding_id").join(totals, "finding_id", "left"),
-        (after, "compose_finding", none, F.lit("")),
-        (after + 1, "validate_provenance", none, F.lit("")),
-    )
-    whole = opening.unionByName(looped).unionByName(closing)
-    # rule-based judgement: no tokens, no cost
-    return whole.withColumns({"tokens": F.lit(0).cast("bigint"), "cost_usd": F.lit(0.0)})
-
-
 def evidence_score(findings: DataFrame, bundle: DataFrame) -> DataFrame:
     """Mean of five features per finding, rounded, with its band."""
     shifts = F.transform("channels", lambda c: F.abs(c["standardised_shift"]))

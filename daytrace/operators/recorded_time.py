@@ -17,39 +17,53 @@ def span_coverage(spans: DataFrame, key: Sequence[str], slice_seconds: int = 360
 
     Works in two levels so that no task ever holds a whole key: spans sharing a start are first
     combined, each key is cut into time slices, the latest end of every earlier slice is carried
-    in, and only the rows of one slice are ordered together. Spans that end before they start are
-    left out here (they are flagged for review at extraction).
+    in, and only the rows of one slice are ordered together.
+
+    A span that ends before it starts counts as it is written (and is flagged for review at
+    extraction). Where nothing reaches its start it stands alone, and the gap after it begins at its
+    end; elsewhere it only lessens the sum of hours. Both follow from a point at its start.
     """
     keys = list(key)
-    micros = spans.where(F.col("end_time") >= F.col("start_time")).select(
-        *keys, F.unix_micros("start_time").alias("s"), F.unix_micros("end_time").alias("e")
+    timed = spans.where(F.col("start_time").isNotNull() & F.col("end_time").isNotNull())
+    micros = timed.select(*keys, F.unix_micros("start_time").alias("s"), F.unix_micros("end_time").alias("t"))
+    back = F.when(F.col("t") < F.col("s"), F.col("s") - F.col("t"))
+    starts = micros.groupBy(*keys, "s").agg(
+        F.max(F.greatest("s", "t")).alias("e"),
+        F.coalesce(F.sum(F.when(F.col("t") >= F.col("s"), F.col("t") - F.col("s"))), F.lit(0)).alias("summed"),
+        F.coalesce(F.sum(back), F.lit(0)).alias("back"),
+        F.coalesce(F.min(back), F.lit(0)).alias("least_back"),
+        F.count_if(F.col("t") >= F.col("s")).alias("forward"),
     )
-    starts = micros.groupBy(*keys, "s").agg(F.max("e").alias("e"), F.sum(F.col("e") - F.col("s")).alias("summed"))
     cells = starts.withColumn("cell", F.floor(F.col("s") / F.lit(slice_seconds * 1_000_000)))
     before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         cells.groupBy(*keys, "cell")
-        .agg(F.max("e").alias("_e"))
+        .agg(F.max("e").alias("_e"), F.max("s").alias("_s"))
         .withColumn("carry", F.max("_e").over(before))
-        .drop("_e")
+        .withColumn("last", F.max("_s").over(Window.partitionBy(*keys)))
+        .drop("_e", "_s")
     )
     inside = Window.partitionBy(*keys, "cell").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.greatest(F.col("carry"), F.max("e").over(inside))
-    gap = F.greatest(F.col("s") - reached, F.lit(0))
+    alone = F.coalesce(F.col("s") > F.col("reached"), F.lit(True))
+    # The very last span of a key has no gap after it.
+    ends_key = (F.col("s") == F.col("last")) & (F.col("forward") == 0)
+    after = F.col("back") - F.when(ends_key, F.col("least_back")).otherwise(0)
     totals = (
         cells.join(carried, [*keys, "cell"])
-        .withColumn("gap", F.coalesce(gap, F.lit(0)))
+        .withColumn("reached", reached)
         .groupBy(*keys)
         .agg(
-            F.sum("gap").alias("gap"),
-            F.sum("summed").alias("summed"),
+            F.sum(F.coalesce(F.greatest(F.col("s") - F.col("reached"), F.lit(0)), F.lit(0))).alias("gap"),
+            F.sum(F.when(alone, after).otherwise(0)).alias("extra"),
+            F.sum(F.col("summed") - F.when(alone, 0).otherwise(F.col("back"))).alias("summed"),
             (F.max("e") - F.min("s")).alias("extent"),
         )
     )
     overlap = F.greatest(F.col("summed") - (F.col("extent") - F.col("gap")), F.lit(0))
     return totals.select(
         *keys,
-        (F.col("gap") / F.lit(HOUR_MICROS)).alias("gap_hours"),
+        ((F.col("gap") + F.col("extra")) / F.lit(HOUR_MICROS)).alias("gap_hours"),
         (overlap / F.lit(HOUR_MICROS)).alias("overlap_hours"),
     )
 

@@ -33,18 +33,19 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
 
 
-def scan(spark: SparkSession, folder: str, max_bytes: int = fixed.MAX_XML_BYTES) -> DataFrame:
+def scan(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
     """One row per file: file_name, length, parsed document, and `problem` (null when usable).
 
-    A file over the limit is refused on its size alone; the size filter reaches the file reader,
-    so its contents are never loaded.
+    Files are judged on their content. With `max_bytes`, a file over it is refused on its size alone;
+    the size filter reaches the file reader, so its contents are never loaded.
     """
     files = spark.read.format("binaryFile").load(folder)
+    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     name = F.element_at(F.split("path", "/"), -1).alias("file_name")
     is_xml = F.lower("file_name").endswith(".xml")
     parsed = f"{schemas.REPORT}, _broken string"
     bodies = (
-        files.where(F.col("length") <= max_bytes)
+        files.where(fits)
         .select(name, "length", F.decode("content", "UTF-8").alias("_text"))
         .withColumn("_unsafe", unsafe_markup(F.col("_text")))
         .withColumn(
@@ -63,7 +64,7 @@ def scan(spark: SparkSession, folder: str, max_bytes: int = fixed.MAX_XML_BYTES)
         "problem",
         F.when(~is_xml | F.col("_unsafe"), "unsafe_input").when(broken | unnamed, "malformed_input"),
     ).drop("_text", "_unsafe")
-    oversize = files.where(F.col("length") > max_bytes).select(
+    oversize = files.where(~fits).select(
         name, "length", F.lit("unsafe_input").alias("problem")
     )
     return judged.unionByName(oversize, allowMissingColumns=True)

@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -215,3 +216,27 @@ def test_replay_classifies_arriving_files(spark, tmp_path):
     query.awaitTermination(120)
     assert {r.day_class for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"partial", "quarantined"}
     assert fixed.PARSER_VERSION
+
+
+def plain_coverage(spans):
+    """Gaps and overlap by walking the sorted spans."""
+    spans = sorted(spans)
+    gaps, groups = 0, [list(spans[0])]
+    for s, e in spans[1:]:
+        if s <= groups[-1][1]:
+            groups[-1][1] = max(groups[-1][1], e)
+        else:
+            gaps += s - groups[-1][1]
+            groups.append([s, e])
+    return gaps, max(0, sum(e - s for s, e in spans) - sum(e - s for s, e in groups))
+
+
+def test_spans_that_end_before_they_start(spark):
+    draw = random.Random(3)
+    cases = {0: [(0, 2), (5, 4), (8, 9)], 1: [(5, 4)], 2: [(0, 9), (5, 4)], 3: [(3, 1), (3, 2), (3, 4)]}
+    for k in range(4, 120):
+        cases[k] = [(s := draw.randint(0, 20), s + draw.randint(-4, 5)) for _ in range(draw.randint(1, 7))]
+    at = lambda h: dt.datetime(2020, 1, 2) + dt.timedelta(hours=h)
+    rows = spark.createDataFrame([(k, at(s), at(e)) for k, v in cases.items() for s, e in v], "k int, start_time timestamp, end_time timestamp")
+    got = {r.k: (round(r.gap_hours), round(r.overlap_hours)) for r in ort.span_coverage(rows, ["k"]).collect()}
+    assert got == {k: plain_coverage(v) for k, v in cases.items()} and got[0] == (7, 0)
