@@ -119,7 +119,7 @@ def test_events_ids_indices_and_recorded_time(spark, folder):
     totals = {r.well: r for r in ort.per_well(blocks, usable.select("well", "source_document")).collect()}
     assert totals["15/9-F-12"].reports == 2 and totals["15/9-F-12"].npt_blocks == 4
     assert totals["15/9-19"].untimed_blocks == 1 and totals["15/9-19"].summed_block_hours == 0.0
-    assert totals["15/9-F-12"].unclassified_gap_hours == 2.0 and totals["15/9-F-12"].concurrent_overlap_hours == 1.0
+    assert totals["15/9-F-12"].unclassified_gap_hours == 2.0 and totals["15/9-F-12"].concurrent_overlap_hours == 0.0
     assert oe.integrity_findings(blocks, events).count() == 0
     assert oe.integrity_summary(blocks, events).first().detection_exact
     broken = events.where("subcategory <> 'wait'").unionByName(events.where("subcategory = 'fish'"))
