@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daytrace.bindings.day_queries import EPISODE_STUDY_SQL, episode_frames
-from daytrace.bindings.registry import day, joined, once, query, rounded
+from daytrace.bindings.registry import day, joined, query, rounded
 from daytrace.bindings.text_queries import CHUNKS_SQL, PART, TOKEN, chunk_view, index_sql
 from daytrace.bindings.views import table
 from daytrace.operators import audits as oa
@@ -197,15 +197,9 @@ formed AS (
 
 
 def investigated(spark, folder) -> investigation.Investigation:
-    """The investigation of all episodes; its tables are checkpointed and shared by the queries."""
-
-    def build() -> investigation.Investigation:
-        days, _, _, episodes = episode_frames(spark, folder)
-        return investigation.investigate(
-            episodes, grouped_days(spark, folder, days), chunk_view(spark, folder), group="field"
-        )
-
-    return once(spark, folder, "investigation", build)
+    """The investigation of all episodes, made anew for each query."""
+    days, _, _, episodes = episode_frames(spark, folder)
+    return investigation.investigate(episodes, grouped_days(spark, folder, days), chunk_view(spark, folder), group="field")
 
 
 @query(

@@ -365,12 +365,13 @@ def register_audits(spark, folder) -> DataFrame:
     "stratified_sample",
     f"""WITH {BLOCKS_SQL}, r AS (
       SELECT event_id, subcategory AS stratum, row_number() OVER (PARTITION BY subcategory
-        ORDER BY sha256('20261006|' || event_id), event_id) AS round FROM lost)
+        ORDER BY sha256('20261006|' || event_id), event_id) AS round FROM lost
+      WHERE report_date < DATE '2024-01-16' AND well NOT IN ('1', '2', '3', '4', '5'))
     SELECT event_id, stratum FROM r ORDER BY round, stratum LIMIT 135""",
 )
 def stratified_sample(spark, folder) -> DataFrame:
     """Seeded round-robin over subcategories (a sampling operator)."""
-    drawn = os_.draw(event_view(spark, folder).withColumn("report_date", F.lit("2010-01-01").cast("date")))
+    drawn = os_.draw(event_view(spark, folder), boundary="2024-01-16", hold_out=("1", "2", "3", "4", "5"))
     return drawn.select("event_id", "stratum")
 
 

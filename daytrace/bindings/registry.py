@@ -30,20 +30,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
     return add
 
 
-_BUILT: dict[tuple[str, str, str], object] = {}
-
-
-def once(spark: SparkSession, folder: str, name: str, build: Callable[[], object]):
-    """What `build` gives, built once per application and folder.
-
-    Only for results held in checkpoints, which several queries then share.
-    """
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _BUILT:
-        _BUILT[key] = build()
-    return _BUILT[key]
-
-
 def day(c: str | Column, alias: str | None = None) -> Column:
     """A date as ISO text, which compares the same on every engine."""
     column = F.col(c) if isinstance(c, str) else c

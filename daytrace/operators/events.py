@@ -206,8 +206,10 @@ def integrity_summary(blocks: DataFrame, events: DataFrame) -> DataFrame:
         F.count_distinct("source_document").alias("documents"),
         F.count_if(is_non_productive(F.col("activity_code"), F.col("state"))).alias("qualifying_blocks"),
     )
+    one = F.struct("detection", "durations", "unchecked")
+    both = source.withColumn("_found", counted.select(one).scalar()).select("*", "_found.*")
     checked = F.col("qualifying_blocks") - F.col("unchecked")
-    return source.join(counted, how="cross").select(
+    return both.select(
         "documents",
         "qualifying_blocks",
         checked.alias("events_checked"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +14,13 @@ def seeded_order(event_id: Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|"), event_id.cast("string")), 256)
 
 
-def is_development() -> Column:
+def is_development(boundary: str = fixed.SPLIT_BOUNDARY, hold_out: Sequence[str] = fixed.HOLD_OUT_WELLS) -> Column:
     """Not a hold-out well, and reported before (not on) the boundary."""
-    return ~F.col("well").isin(*fixed.HOLD_OUT_WELLS) & (
-        F.col("report_date") < F.lit(fixed.SPLIT_BOUNDARY).cast("date")
-    )
+    return ~F.col("well").isin(*hold_out) & (F.col("report_date") < F.lit(boundary).cast("date"))
 
 
-def is_hold_out() -> Column:
-    return F.col("well").isin(*fixed.HOLD_OUT_WELLS)
+def is_hold_out(hold_out: Sequence[str] = fixed.HOLD_OUT_WELLS) -> Column:
+    return F.col("well").isin(*hold_out)
 
 
 def stratified(eligible: DataFrame, target: int, seed: int = fixed.SAMPLE_SEED, stratum: str = "subcategory") -> DataFrame:
@@ -39,11 +39,18 @@ def stratified(eligible: DataFrame, target: int, seed: int = fixed.SAMPLE_SEED,
     )
 
 
-def draw(events: DataFrame, split: str = "development", target: int | None = None, seed: int = fixed.SAMPLE_SEED) -> DataFrame:
+def draw(
+    events: DataFrame,
+    split: str = "development",
+    target: int | None = None,
+    seed: int = fixed.SAMPLE_SEED,
+    boundary: str = fixed.SPLIT_BOUNDARY,
+    hold_out: Sequence[str] = fixed.HOLD_OUT_WELLS,
+) -> DataFrame:
     """The labelling sample of one split."""
     tests = {
-        "development": (is_development(), fixed.DEVELOPMENT_TARGET),
-        "hold-out": (is_hold_out(), fixed.HOLD_OUT_TARGET),
+        "development": (is_development(boundary, hold_out), fixed.DEVELOPMENT_TARGET),
+        "hold-out": (is_hold_out(hold_out), fixed.HOLD_OUT_TARGET),
     }
     if split not in tests:
         raise ValueError(f"unknown split {split!r}; expected one of {sorted(tests)}")
