@@ -163,7 +163,24 @@ def stated_reasons(spark, folder) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", ft.states_a_reason(F.col("text")).alias("states_a_reason"))
 
 
-@query("stray_numbers")
+# A look-behind is a test of the character before each place; a match that began earlier covers later places.
+@query(
+    "stray_numbers",
+    r"""WITH plain AS (
+      SELECT doc_id, regexp_replace(regexp_replace(text, '\b\d{1,3}/\d{1,3}-(?:[A-Z]-)?\d{1,3}(?:\s+[A-Z]{1,2}\d?\b)?', '<well>', 'g'),
+        '\b(?:19|20)\d{2}-\d{2}-\d{2}\b', '<date>', 'g') AS p FROM documents WHERE regexp_matches(text, '\d')),
+    places AS (SELECT doc_id, p, unnest(range(1, length(p) + 1)) AS i FROM plain),
+    starts AS (
+      SELECT doc_id, p, i, regexp_extract(substr(p, i), '^(\d[\d,]*(?:\.\d+)?)(?:[^\w]|$)', 1) AS n FROM places
+      WHERE regexp_matches(substr(p, i, 1), '^\d') AND (i = 1 OR regexp_matches(substr(p, i - 1, 1), '^[^\w.]'))),
+    spans AS (
+      SELECT *, max(i + length(n)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+      FROM starts WHERE n <> '')
+    SELECT doc_id, n AS number, count(*) AS times FROM spans
+    WHERE coalesce(reached <= i, true) AND NOT regexp_matches(n, '^(?:19|20)\d{2}$')
+      AND NOT regexp_matches(substr(p, i + length(n)), '^(?:%|\s{0,2}percent|\s{0,1}per cent)')
+    GROUP BY doc_id, n""",
+)
 def stray_numbers(spark, folder) -> DataFrame:
     """P25: every number in prose without a source, one row per number and document with its count."""
     rows = table(spark, folder, "documents").select("doc_id", F.explode(ft.stray_numbers(F.col("text"))).alias("number"))
