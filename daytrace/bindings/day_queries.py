@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daytrace import fixed
 from daytrace.bindings.registry import day, joined, query, rounded
 from daytrace.bindings.views import (
     ACTIVITY_SQL,
@@ -465,9 +466,30 @@ def lower_tail_rates(spark, folder) -> DataFrame:
     return tail.select("model", "horizon", F.coalesce("well", F.lit("POOLED")).alias("well"), "n", "k")
 
 
-@query("lower_tail_gate")
+# An exact bound lies inside the band exactly if the binomial tail at the band's edge is at most half of what confidence leaves.
+_TAIL = "list_sum(list_transform(range({first}, {last} + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))))"
+LOWER_TAIL_SQL = f"""per AS (
+      SELECT model, horizon, well, count(*) AS n, count(*) FILTER (WHERE q < lower) AS k FROM evaluated GROUP BY model, horizon, well),
+    pooled AS (
+      SELECT model, horizon, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k, count(*) FILTER (WHERE n >= 150) AS qualifying
+      FROM per GROUP BY model, horizon),
+    judged AS (
+      SELECT model, n, k FROM per WHERE n >= 150
+      UNION ALL SELECT p.model, n, k FROM pooled p JOIN (SELECT model, count(DISTINCT well) AS w FROM evaluated GROUP BY model) USING (model)
+      WHERE qualifying < w / 2e0),
+    tail_gate AS (
+      SELECT model, bool_and({_TAIL.format(first="k", last="n", p=f"{fixed.LOWER_TAIL_BAND[0]}e0")} <= 0.025
+        AND {_TAIL.format(first="0", last="k", p=f"{fixed.LOWER_TAIL_BAND[1]}e0")} <= 0.025) AS passed, count(*) AS lines
+      FROM judged GROUP BY model)"""
+
+
+@query(
+    "lower_tail_gate",
+    f"""WITH {STUDY_SQL}, {LOWER_TAIL_SQL}
+    SELECT model, passed, lines, lines > 0 AS evaluable FROM tail_gate""",
+)
 def lower_tail_gate(spark, folder) -> DataFrame:
-    """Gate on the exact binomial interval (no SQL function for it; tests check the interval)."""
+    """Gate on the exact binomial interval."""
     return ob.lower_tail_gate(study.evaluated(entity_days(spark, folder), tolerance=None))
 
 
@@ -487,7 +509,26 @@ def bias_by_well(spark, folder) -> DataFrame:
     return found.select("model", "horizon", "well", "n", rounded("ratio", digits=6), "drifting_halves")
 
 
-@query("selected_model")
+@query(
+    "selected_model",
+    f"""WITH {STUDY_SQL}, {LOWER_TAIL_SQL}, w AS (
+      SELECT model, horizon, sum(abs(q - p)) / sum(abs(q)) AS wape FROM evaluated GROUP BY ALL),
+    best AS (SELECT horizon, min(wape) AS best FROM w WHERE model LIKE 'naive%' GROUP BY horizon),
+    gain_gate AS (
+      SELECT model, bool_and((best - wape) / best >= 0.1) AS passed FROM w JOIN best USING (horizon) WHERE model NOT LIKE 'naive%' GROUP BY model),
+    halves AS (
+      SELECT model, horizon, well, ws, least(horizon, available) AS m,
+        step > least(horizon, available) // 2 AS second, sum(q - p) AS r, sum(q) AS a, count(*) AS n
+      FROM evaluated GROUP BY ALL),
+    biased AS (
+      SELECT model, sum(r) / nullif(sum(a), 0) AS ratio, count(*) FILTER (WHERE m >= 4 AND a <> 0 AND abs(r / a) > 0.05) AS drifting
+      FROM halves GROUP BY model, horizon, well HAVING sum(n) >= 60),
+    bias_gate AS (SELECT model, bool_and(ratio IS NULL OR (abs(ratio) <= 0.05 AND drifting = 0)) AS passed FROM biased GROUP BY model),
+    chosen AS (
+      SELECT arg_min(model, list_position({list(fixed.MODELS)}, model)) AS model
+      FROM gain_gate g JOIN tail_gate t USING (model) JOIN bias_gate b USING (model) WHERE g.passed AND t.passed AND b.passed)
+    SELECT coalesce(model, '{fixed.FALLBACK_MODEL}') AS selected_model FROM chosen""",
+)
 def selected_model(spark, folder) -> DataFrame:
     """The first candidate passing all gates, else the fallback (uses the binomial interval)."""
     return ob.select_model(study.evaluated(entity_days(spark, folder), tolerance=None))
