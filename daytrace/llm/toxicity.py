@@ -45,7 +45,9 @@ UNIT = 24
 #: Clean units that a fit trains on at most; rounds of finding the units that speak for toxic texts.
 CLEAN_UNITS, ROUNDS = 6000, 2
 #: Units whose margins a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: Texts scored together: more of them share more beginnings of units.
+TEXTS = 2048
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 _MARKS = re.compile(r"[\W_]+")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -94,58 +96,104 @@ def _codes(strings: list[str], pad: int) -> np.ndarray:
     return out
 
 
-def _carried(ends: np.ndarray, axis: int) -> np.ndarray:
-    """Along an axis: the decayed sum of everything before each place."""
-    ends = np.moveaxis(ends, axis, 0)
+def _before(ends: np.ndarray) -> np.ndarray:
+    """Along axis 0: the decayed sum of everything before each place."""
     out = np.zeros_like(ends)
     for i in range(1, len(ends)):
         np.add(out[i - 1], ends[i - 1], out=out[i])
         out[i] *= np.float32(DECAY)
-    return np.moveaxis(out, 0, axis)
+    return out
 
 
-def _by_order(same: np.ndarray) -> list[np.ndarray]:
-    """Kernel values of each order from the equality of characters, axes (string, place, other's place, other)."""
+def selves(codes: np.ndarray) -> list[np.ndarray]:
+    """Of each order the kernel of every string with itself; rows of characters, padded by -1."""
+    columns = np.ascontiguousarray(codes.T)
+    same = ((columns[:, None] == columns[None, :]) & (columns >= 0)[:, None]).astype(np.float32)
     ends, found = same * np.float32(DECAY * DECAY), []
-    for order in range(2, max(ORDERS) + 1):
-        ends = same * _carried(_carried(ends, 1), 2)
-        if order in ORDERS:
-            found.append(ends.sum(axis=(1, 2)))
+    for _ in ORDERS:
+        ends = same * _before(_before(ends).swapaxes(0, 1)).swapaxes(0, 1)
+        found.append(np.maximum(ends.sum(axis=(0, 1)), 1e-12))
     return found
 
 
 class Kernel:
-    """The normalised kernel between strings and a fixed list of others."""
+    """The normalised kernel of order 2 and 3 between strings and a fixed list of others.
+
+    Strings are met in sorted order: what a shared beginning gives is computed once for all of them.
+    """
 
     def __init__(self, others: list[str]):
-        codes = _codes(others, -2).T
+        codes = _codes(others, -1)
+        self.own = np.sqrt(np.stack(selves(codes)))
         self.alphabet = np.unique(codes[codes >= 0])
-        # Row c: where the others have character c; the last row is for all characters they lack.
-        self.equal = np.zeros((len(self.alphabet) + 1, *codes.shape), dtype=np.float32)
+        # By character: where the others have it, (place, other); the last row is for characters none has.
+        self.equal = np.zeros((len(self.alphabet) + 1, *codes.T.shape), dtype=np.float32)
         for i, c in enumerate(self.alphabet):
-            self.equal[i] = codes == c
-        self.own = [np.sqrt(np.maximum(k, 1e-12)) for k in self._selves(others)]
-
-    @staticmethod
-    def _selves(strings: list[str]) -> list[np.ndarray]:
-        codes = _codes(strings, -1)
-        same = ((codes[:, :, None] == codes[:, None, :]) & (codes >= 0)[:, :, None]).astype(np.float32)
-        return [k[:, 0] for k in _by_order(same[..., None])]
+            self.equal[i] = (codes == c).T
 
     def __call__(self, strings: list[str]) -> np.ndarray:
-        out = np.zeros((len(strings), self.equal.shape[2]), dtype=np.float32)
-        order = sorted(range(len(strings)), key=lambda i: len(strings[i]))
-        for k in range(0, len(order), 64):
-            part = order[k : k + 64]
-            some = [strings[i] for i in part]
-            codes = _codes(some, -1)
-            place = np.searchsorted(self.alphabet, codes)
-            place[(place == len(self.alphabet)) | (self.alphabet[np.minimum(place, len(self.alphabet) - 1)] != codes)] = len(self.alphabet)
-            pairs = zip(_by_order(self.equal[place]), self._selves(some), self.own, strict=True)
-            mean = sum(v / (np.sqrt(np.maximum(s, 1e-12))[:, None] * o) for v, s, o in pairs) / len(ORDERS)
-            out[part] = mean**POWER
+        out = np.zeros((len(strings), len(self.own[0])), dtype=np.float32)
+        order = sorted(range(len(strings)), key=strings.__getitem__)
+        for k in range(0, len(order), 512):
+            part = order[k : k + 512]
+            codes = _codes([strings[i] for i in part], -1)
+            norms = np.sqrt(np.stack(selves(codes)))
+            value = self._by_order(codes) / (norms[:, :, None] * self.own[:, None, :])
+            out[part] = value.mean(axis=0) ** POWER
         return out
 
+    def _by_order(self, codes: np.ndarray) -> np.ndarray:
+        n, width = codes.shape
+        decay = np.float32(DECAY)
+        place = np.searchsorted(self.alphabet, codes)
+        place[(place == len(self.alphabet)) | (self.alphabet[np.minimum(place, len(self.alphabet) - 1)] != codes)] = len(self.alphabet)
+        length = (codes >= 0).sum(axis=1)
+        shared = np.zeros(n, dtype=np.int64)
+        shared[1:] = np.cumprod(codes[1:] == codes[:-1], axis=1).sum(axis=1)
+        shape = self.equal.shape[1:]
+        # Values are kept over decay ** (place in the string + place in the other), so that sums need no decay.
+        along = decay ** np.arange(shape[0], dtype=np.float32)
+        single = self.equal * (decay * decay / along)[:, None]
+        # One node per distinct beginning: sums of what ended so far, of single characters (a1) and of pairs (a2).
+        node = np.zeros(n, dtype=np.int64)
+        a1 = a2 = np.zeros((1, *shape), dtype=np.float32)
+        sums = np.zeros((2, 1, shape[1]), dtype=np.float32)
+        out = np.zeros((2, n, shape[1]), dtype=np.float32)
+        for depth in range(width):
+            live = np.nonzero(length > depth)[0]
+            first = (shared[live] <= depth) | (np.concatenate(([-2], live[:-1])) != live - 1)
+            heads = live[first]
+            up = node[heads]
+            node[live] = np.cumsum(first) - 1
+            char = place[heads, depth]
+            equal = self.equal[char]
+            r1, r2 = a1[up], a2[up]
+            pairs, triples = equal * self._before_here(r1), equal * self._before_here(r2)
+            r1 += single[char] * np.float32(DECAY**-depth)
+            r2 += pairs
+            sums = sums[:, up]
+            sums[0] += np.matmul(along, pairs) * np.float32(DECAY**depth)
+            sums[1] += np.matmul(along, triples) * np.float32(DECAY**depth)
+            a1, a2 = r1, r2
+            done = live[length[live] == depth + 1]
+            out[:, done] = sums[:, node[done]]
+        return out
+
+    @staticmethod
+    def _before_here(x: np.ndarray) -> np.ndarray:
+        """Along the others' places: the sum of everything before each."""
+        out = np.zeros_like(x)
+        np.cumsum(x[:, :-1], axis=1, out=out[:, 1:])
+        return out
+
+
+class Sample(NamedTuple):
+    """A labelled text: its label, its distinct units, and a sketch by which near copies are known."""
+
+    label: int
+    units: list[str]
+    sketch: list[int] = []
+
 
 class Model(NamedTuple):
     """Landmark strings, one weight each (the machine's, through the Nyström map), and the curve over the largest margins."""
@@ -178,8 +226,14 @@ def probability(model: Model, tops: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(tops @ np.array(model.curve[:-1]) + model.curve[-1], -30, 30)))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, texts: int = FIT_TEXTS) -> list[tuple[int, list[str]]]:
-    """(label, units) of at most `texts` labelled documents, those with the smallest hashes of their keys.
+def sketch(text: str | None, size: int = 16) -> list[int]:
+    """The smallest hashes of three words in a row; near copies share most of them."""
+    words = (text or "").lower().split()
+    return sorted({crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(len(words) - 2, 0))})[:size]
+
+
+def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, texts: int = FIT_TEXTS) -> list[Sample]:
+    """(label, units, sketch) of at most `texts` labelled documents, those with the smallest hashes of their keys.
 
     Keys are chosen from the labels alone and are few enough to broadcast; then only their texts are
     read. A key with labels of both values, or with several texts, counts once (label 0; the first units).
@@ -191,12 +245,14 @@ def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(text_units(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.string()))], names=["_key", "label", "units"])
+            some = batch.column(2).to_pylist()
+            found = pa.array([sorted(text_units(t)) for t in some], pa.list_(pa.string()))
+            low = pa.array([sketch(t) for t in some], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], found, low], names=["_key", "label", "units", "sketch"])
 
-    split_up = rows.select("_key", "label", "text").mapInArrow(split, f"_key {kind}, label int, units array<string>")
-    once = split_up.groupBy("_key").agg(F.min(F.struct("label", "units")).alias("row"))
-    return [(r["row"]["label"], r["row"]["units"]) for r in once.collect()]
+    split_up = rows.select("_key", "label", "text").mapInArrow(split, f"_key {kind}, label int, units array<string>, sketch array<bigint>")
+    once = split_up.groupBy("_key").agg(F.min(F.struct("label", "units", "sketch")).alias("row"))
+    return [Sample(*r["row"]) for r in once.collect()]
 
 
 def _grams(unit: str) -> set[str]:
@@ -204,21 +260,20 @@ def _grams(unit: str) -> set[str]:
     return {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
 
 
-def _unlike(texts: list[list[str]], sketch: int = 16) -> list[list[str]]:
-    """The texts without near copies of earlier ones: those that share half of the smallest unit hashes."""
+def _unlike(texts: list[Sample]) -> list[list[str]]:
+    """The units of the texts that are no near copies of earlier ones, which share half of their sketches."""
     seen: dict[int, list[int]] = {}
     kept = []
-    for i, some in enumerate(texts):
-        low = sorted(crc32(u.encode("utf-8", "surrogatepass")) for u in some)[:sketch]
-        shared = Counter(j for h in low for j in seen.get(h, ()))
-        if not shared or max(shared.values()) * 2 < len(low):
-            kept.append(some)
-            for h in low:
+    for i, text in enumerate(texts):
+        shared = Counter(j for h in text.sketch for j in seen.get(h, ()))
+        if not shared or max(shared.values()) * 2 < len(text.sketch):
+            kept.append(text.units)
+            for h in text.sketch:
                 seen.setdefault(h, []).append(i)
     return kept
 
 
-def _speaking(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, int]:
+def _speaking(toxic: list[Sample], clean: list[Sample]) -> dict[str, int]:
     """Units that toxic texts hold far more often, and for texts without one their most telling unit, with counts.
 
     The latter holds the n-gram that is the strongest sign of toxic texts. Copies of a text count once,
@@ -249,18 +304,18 @@ def _spread(strings: list[str], wanted: int) -> list[str]:
         return strings
     alike = Kernel(strings)(strings)
     picked: list[int] = []
-    for limit in (0.5, 0.65, 0.8, 1.1):
+    for limit in (0.05, 0.12, 0.25, 0.5, 0.8, 1.1):
         for i in range(len(strings)):
             if len(picked) < wanted and i not in picked and (not picked or alike[i, picked].max() < limit):
                 picked.append(i)
     return [strings[i] for i in picked]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4) -> np.ndarray:
     """Weights and offset of the squared-hinge machine, by Newton steps on its active rows."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    ridge = np.eye(x.shape[1]) * penalty
-    ridge[-1, -1] = 1e-6
+    ridge = np.eye(x.shape[1]) * penalty * weight.sum()
+    ridge[-1, -1] *= 1e-6
     w = np.zeros(x.shape[1])
     for _ in range(30):
         active = y * (x @ w) < 1
@@ -278,14 +333,15 @@ def _noisy(unit: str, draw: np.random.Generator) -> str:
     return "".join(c + (marks[draw.integers(5)] if draw.random() < 0.5 else "") for c in unit)
 
 
-def fit(sample: list[tuple[int, list[str]]], seed: int = 7) -> Model:
-    """The model of (label, units) pairs. Without texts of both labels every text scores 0.
+def fit(sample: list[Sample], seed: int = 7) -> Model:
+    """The model of labelled texts. Without texts of both labels every text scores 0.
 
     The sample may hold empty unit lists; equal samples give equal models, whatever their order.
     """
-    sample = sorted(sample, key=lambda s: (s[0], s[1]))
-    toxic, clean = [u for y, u in sample if y == 1 and u], [u for y, u in sample if y == 0 and u]
-    found = _speaking(toxic, clean) if toxic and clean else {}
+    sample = sorted(sample)
+    some_toxic, some_clean = ([s for s in sample if s.label == y and s.units] for y in (1, 0))
+    found = _speaking(some_toxic, some_clean) if some_toxic and some_clean else {}
+    toxic, clean = [s.units for s in some_toxic], [s.units for s in some_clean]
     if not found:
         return NOTHING
     draw = np.random.default_rng(seed)
@@ -325,7 +381,7 @@ def _curve(tops: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        ridge = 0.5 * np.eye(len(w))
+        ridge = 0.3 * np.eye(len(w))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
         w = w + step
         if np.abs(step).max() < 1e-9:
@@ -346,8 +402,8 @@ def _scores(model: Model, texts: list[str | None]) -> np.ndarray:
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = sorted(set().union(*sets))
-    for k in range(0, len(new), 8192):
-        part = new[k : k + 8192]
+    for k in range(0, len(new), 65536):
+        part = new[k : k + 65536]
         known.update(zip(part, margins(model, kernel, part).tolist(), strict=True))
     tops = np.array([largest([known[u] for u in s]) for s in sets]).reshape(len(sets), TOP)
     found = probability(model, tops)
@@ -357,15 +413,15 @@ def _scores(model: Model, texts: list[str | None]) -> np.ndarray:
 
 def _scored(docs: DataFrame, model: Model, text: str) -> DataFrame:
     """All columns of `docs` and `_score`, in one pass without a shuffle."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__toxicity", T.DoubleType())])
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
                 found = pa.array(_scores(model, part.column(place).to_pylist()), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*batch.schema.names, "__toxicity"])
 
     return docs.mapInArrow(run, schema)
 
@@ -373,9 +429,9 @@ def _scored(docs: DataFrame, model: Model, text: str) -> DataFrame:
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score (0 to 1) and predicted (score >= 0.5) of every whole text; null and empty score 0."""
     scored = _scored(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), model, "_text")
-    return scored.select(F.col("_key").alias(key), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(F.col("_key").alias(key), F.col("__toxicity").alias("score"), (F.col("__toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def kept(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of `docs` whose text scores under 0.5, with their columns."""
-    return _scored(docs, model, text).where("_score < 0.5").drop("_score")
+    return _scored(docs, model, text).where("__toxicity < 0.5").drop("__toxicity")
