@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytrace.llm.common import LOWER, UPPER, salted_join
+from daytrace.llm.common import LOWER, UPPER, cut, salted_join
 
 
 class Rule(NamedTuple):
@@ -96,8 +96,9 @@ def reputation(outcomes: DataFrame, z: float = 1.645, least: float = 0.5) -> Dat
     """
     hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     hosts = hosts.withColumn("suffix", suffix_of(F.col("host")))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    # Each level is used several times below; its rows go to the shared folder once.
+    hosts = cut(hosts.withColumn("domain", domain_of(F.col("host"), F.col("suffix"))))
+    domains = cut(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     overall = suffixes.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("overall"))
 
@@ -110,9 +111,9 @@ def reputation(outcomes: DataFrame, z: float = 1.645, least: float = 0.5) -> Dat
             into, (F.col("k") + F.col("strength") * F.col(mean)) / (F.col("n") + F.col("strength"))
         )
 
-    suffixes = shrunk(suffixes.withColumn("overall", one(overall)), "overall", "suffix_mean").select("suffix", "suffix_mean")
-    domains = shrunk(domains.join(suffixes, "suffix"), "suffix_mean", "domain_mean").select("domain", "domain_mean")
-    judged = shrunk(hosts.join(domains, "domain"), "domain_mean", "mean")
+    suffixes = shrunk(cut(suffixes.withColumn("overall", one(overall))), "overall", "suffix_mean").select("suffix", "suffix_mean")
+    domains = shrunk(cut(domains.join(suffixes, "suffix")), "suffix_mean", "domain_mean").select("domain", "domain_mean")
+    judged = shrunk(cut(hosts.join(domains, "domain")), "domain_mean", "mean")
     size = F.col("n") + F.col("strength")
     bound = F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (size + 1))
     return judged.select("host", "n", "k", bound.alias("bound"), (bound >= least).alias("good"))
