@@ -12,6 +12,7 @@ into each, so no window spans more than a range.
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -29,7 +30,7 @@ LENGTH_SHARE, LENGTH_FULL = 0.1, 32
 #: Bytes hashed at a time, so that a very long text takes no more memory than this needs.
 PIECE = 1 << 20
 #: Text bytes of a range of keys, and the most ranges; beyond that ranges grow and their window spills.
-RANGE_BYTES, MOST_RANGES = 16 << 20, 4096
+RANGE_BYTES, MOST_RANGES = 2 << 20, 4096
 
 
 def bucket_counts(data: bytes) -> np.ndarray:
@@ -87,14 +88,14 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(key), digest_of(F.col(text)).alias("fingerprint"))
 
 
-def range_of(key: Column, cuts: list) -> Column:
+def range_of(key: Column, kind: str, cuts: list) -> Column:
     """How many of the sorted `cuts` are at or below the key, found in two steps; 0 for null."""
     if not cuts:
         return F.lit(0)
     width = math.isqrt(len(cuts)) + 1
     groups = [cuts[k : k + width] for k in range(0, len(cuts), width)]
-    firsts = F.array(*[F.lit(g[0]) for g in groups])
-    fine = F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups])
+    firsts = F.from_json(F.lit(json.dumps([g[0] for g in groups])), f"array<{kind}>")
+    fine = F.from_json(F.lit(json.dumps(groups)), f"array<array<{kind}>>")
     below = lambda a: F.size(F.filter(a, lambda c: c <= key))
     coarse = below(firsts)
     inside = F.when(coarse > 0, (coarse - 1) * width + below(F.get(fine, coarse - 1))).otherwise(F.lit(0))
@@ -115,7 +116,7 @@ def with_follower(rows: DataFrame, key: str, text: str, ranges: int | None = Non
     ranges = ranges or min(MOST_RANGES, 1 + (about["b"] or 0) // RANGE_BYTES)
     points = about["p"] or []
     cuts = sorted({points[k * len(points) // ranges] for k in range(1, ranges)}) if points else []
-    dealt = rows.withColumn("_range", range_of(F.col(key), cuts)).withColumn("_hash", F.xxhash64(text))
+    dealt = rows.withColumn("_range", range_of(F.col(key), rows.schema[key].dataType.simpleString(), cuts)).withColumn("_hash", F.xxhash64(text))
     least = dealt.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull().alias("set"), F.col(key).alias("k"), F.col("_hash").alias("h"))).alias("first"))
     found = sorted(least.collect(), key=lambda r: r["_range"])
     firsts = rows.sparkSession.createDataFrame(
@@ -138,11 +139,12 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", range
     rows = with_follower(docs.select(F.col(key).alias("_key"), whole.alias("_text")), "_key", "_text", ranges)
     window = Window.partitionBy("_range").orderBy("_copy", F.col("_key").asc_nulls_first(), "_hash")
     printed = rows.withColumn("_print", digest_of(F.col("_text")))
-    led = printed.withColumn("next", F.lead(F.struct("_text", "_print")).over(window)).where("_copy = 0")
+    # Two plain columns: a struct of them would go through the shuffle beside them.
+    led = printed.withColumns({"_next_text": F.lead("_text").over(window), "_next": F.lead("_print").over(window)}).where("_copy = 0")
     n = F.length("_text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.col("next._text"), F.lit(1), half))
-    made = led.select("_key", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "_print", F.col("next._print").alias("_next"))
+    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.col("_next_text"), F.lit(1), half))
+    made = led.select("_key", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "_print", "_next")
     digested = made.withColumn("edited_fingerprint", digest_of(F.col("edited")))
     return digested.select(
         F.col("_key").alias(key),
