@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrace.llm import archives, bpe, contamination, digest, hosts, linededup, secrets, sharding, simhash, toxicity
+from daytrace.llm import archives, bpe, contamination, digest, hosts, interactions, linededup, manifest, secrets, sharding, simhash, toxicity
 from daytrace.llm.common import new_folder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -111,7 +111,31 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_host_reputation, op3_bpe_tree, op4_shards, op5_line_windows, op6_quartile_digest, op7_arc_to_warc, op8_simhash, op9_contamination, op10_secrets)}
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a leaf, a tree per lang; claims differ where 7 divides the crc of the id."""
+    docs = table(spark, folder, "documents")
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    fields = lambda n: [F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")]
+    leaf = manifest.record_digest(fields(F.col("n_chars")))
+    records = docs.select("doc_id", "lang", leaf.alias("leaf"), manifest.record_digest(fields(claimed)).alias("claimed"))
+    built = manifest.manifest(records, "lang", "doc_id", "leaf", carried=["claimed"])
+    return manifest.prove(built, "claimed").withColumnRenamed("key", "doc_id")
+
+
+def op12_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    """Filters A to D are conditions on a text, E is a copy of a smaller doc_id's text."""
+    text, words = F.col("text"), interactions.words_of(F.col("text"))
+    capitals = F.octet_length(text) - F.octet_length(F.regexp_replace(text, "[A-Z]+", ""))
+    conditions = {
+        "A": F.size(words) < 200,
+        "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words),
+        "C": 100 * capitals > 2 * F.length(text),
+        "D": text.rlike("[#$%&*|]"),
+    }
+    return interactions.audit(table(spark, folder, "documents"), table(spark, folder, "labels"), conditions, copied="E")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_host_reputation, op3_bpe_tree, op4_shards, op5_line_windows, op6_quartile_digest, op7_arc_to_warc, op8_simhash, op9_contamination, op10_secrets, op11_merkle_manifest, op12_filter_interactions)}
 
 SQL: dict[str, str] = {}
 
@@ -228,3 +252,37 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_dige
   CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to, true AS sound
 FROM f
 """
+
+SQL["op12_filter_interactions"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+    CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END ||
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END ||
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN firsts USING (t) LEFT JOIN said ON d.doc_id = said.doc_id),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS n_good, sum(bad) AS n_bad FROM f GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, substring(filter_order, step, 1) AS own, substring(filter_order, 1, step - 1) AS before FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+p AS (
+  SELECT part, filter_order, step, own, n, n_good, n_bad, fails, contains(fails, own) AS hit,
+    len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AND fails <> '' AND before <> '' AS gone
+  FROM g, steps),
+c AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN hit AND NOT gone THEN n_good ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT gone THEN n_bad ELSE 0 END) AS toxic_lost
+  FROM p GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM c
+"""
