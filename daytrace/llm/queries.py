@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrace.llm import archives, bpe, contamination, digest, hosts, interactions, linededup, manifest, secrets, sharding, simhash, toxicity
+from daytrace.llm import archives, bpe, contamination, digest, hosts, interactions, linededup, manifest, nearest, secrets, sharding, simhash, toxicity
 from daytrace.llm.common import new_folder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -135,7 +135,12 @@ def op12_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
     return interactions.audit(table(spark, folder, "documents"), table(spark, folder, "labels"), conditions, copied="E")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_host_reputation, op3_bpe_tree, op4_shards, op5_line_windows, op6_quartile_digest, op7_arc_to_warc, op8_simhash, op9_contamination, op10_secrets, op11_merkle_manifest, op12_filter_interactions)}
+def op13_voronoi_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best of all other vectors for each whose id 100 divides."""
+    return nearest.top_k(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_host_reputation, op3_bpe_tree, op4_shards, op5_line_windows, op6_quartile_digest, op7_arc_to_warc, op8_simhash, op9_contamination, op10_secrets, op11_merkle_manifest, op12_filter_interactions, op13_voronoi_topk)}
 
 SQL: dict[str, str] = {}
 
@@ -253,6 +258,49 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_dige
 FROM f
 """
 
+SQL["op11_merkle_manifest"] = r"""
+WITH RECURSIVE
+d AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, source, lang, CAST(n_chars AS VARCHAR) AS n, CAST(n_chars + 1 AS VARCHAR) AS n1, text FROM documents),
+-- The crc32 of each id, bit by bit: 8 halvings a byte, with the reversed polynomial where a one falls out.
+c AS (
+  SELECT DISTINCT id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(id, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda b, i: xor(b >> 1, (b & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) AS crc
+  FROM d WHERE id IS NOT NULL),
+e AS (
+  SELECT doc_id, lang, coalesce(c.crc % 7 = 0, false) AS tampered,
+    coalesce(octet_length(encode(d.id)) || ':' || d.id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(n)) || ':' || n, '-') AS n0, coalesce(octet_length(encode(n1)) || ':' || n1, '-') AS n1,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail
+  FROM d LEFT JOIN c USING (id)),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, sha256(head || n0 || tail) AS leaf, sha256(head || CASE WHEN tampered THEN n1 ELSE n0 END || tail) AS claimed FROM e)),
+t(lang, level, i, n, h) AS (
+  SELECT lang, 0, i, n, leaf FROM l
+  UNION ALL
+  SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, level, i // 2, n),
+tops AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+r(level, i, n, h) AS (
+  SELECT 0, i, n, subroot FROM tops
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM r WHERE n > 1 GROUP BY level, i // 2, n),
+root AS (SELECT h AS root FROM r WHERE n = 1),
+f(lang, doc_id, leaf, level, i, x, path) AS (
+  SELECT lang, doc_id, leaf, 0, i, claimed, '' FROM l
+  UNION ALL
+  SELECT f.lang, doc_id, leaf, f.level + 1, f.i // 2, CASE WHEN s.h IS NULL THEN sha256(x) WHEN s.i < f.i THEN sha256(s.h || x) ELSE sha256(x || s.h) END, path || coalesce(s.h, '')
+  FROM f JOIN t ON t.lang IS NOT DISTINCT FROM f.lang AND t.level = f.level AND t.i = f.i AND t.n > 1
+    LEFT JOIN t s ON s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level AND s.i = xor(f.i, 1)),
+ends AS (SELECT f.*, subroot, tops.i AS top_i FROM f JOIN tops ON tops.lang IS NOT DISTINCT FROM f.lang JOIN t ON t.lang IS NOT DISTINCT FROM f.lang AND t.level = f.level AND t.n = 1),
+g(doc_id, leaf, subroot, level, i, x, path) AS (
+  SELECT doc_id, leaf, subroot, 0, top_i, x, path FROM ends
+  UNION ALL
+  SELECT doc_id, leaf, subroot, g.level + 1, g.i // 2, CASE WHEN s.h IS NULL THEN sha256(x) WHEN s.i < g.i THEN sha256(s.h || x) ELSE sha256(x || s.h) END, path || coalesce(s.h, '')
+  FROM g JOIN r ON r.level = g.level AND r.i = g.i AND r.n > 1 LEFT JOIN r s ON s.level = g.level AND s.i = xor(g.i, 1))
+SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, x AS folded_root, x = root AS verified
+FROM g JOIN r ON r.level = g.level AND r.n = 1, root
+"""
+
 SQL["op12_filter_interactions"] = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
@@ -286,3 +334,14 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
 FROM c
 """
+
+SQL["op13_voronoi_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * v.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""

@@ -20,7 +20,7 @@ def test_names():
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_spark_and_sql_agree(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = queries.QUERIES[name](spark, str(SMALL))
     cursor = db.execute(queries.SQL[name])
