@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("day_queries", "episode_queries", "event_queries", "text_queries", "review_queries")
+MODULES = ("day_queries", "episode_queries", "event_queries", "text_queries", "review_queries", "source_queries", "audit_queries")
 
 
 def load():

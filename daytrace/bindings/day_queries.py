@@ -260,7 +260,11 @@ def well_data_quality(spark, folder) -> DataFrame:
 
 
 def windows_sql(activity: bool) -> str:
-    """Segments and stable windows (no control splits) as a CTE list ending in `windows`."""
+    """Segments, control splits and stable windows as a recursive CTE list ending in `windows`.
+
+    `control_pieces` holds every piece of a segment's readings that the cuts make, cut at its first largest step
+    while a reading is outside the tolerance of the piece's own median.
+    """
     flag = (
         "(EXISTS (SELECT 1 FROM activity a WHERE a.well = d.well AND a.activity_date = d.production_date))"
         if activity
@@ -277,11 +281,26 @@ def windows_sql(activity: bool) -> str:
             WINDOW w AS (PARTITION BY well ORDER BY production_date))),
     segmented AS (
       SELECT *, sum(CAST(breaks AS INTEGER)) OVER (PARTITION BY well ORDER BY production_date) AS segment FROM broken),
+    control_pieces(well, segment, vs, ds, starts) AS (
+      SELECT well, segment, list(choke_size ORDER BY production_date), list(production_date ORDER BY production_date), CAST(NULL AS DATE)
+      FROM segmented WHERE NOT breaks AND day_class = 'valid_producing' AND choke_size IS NOT NULL GROUP BY well, segment
+      UNION ALL
+      SELECT well, segment, vs[half.f:half.t], ds[half.f:half.t], half.starts FROM (
+        SELECT well, segment, vs, ds,
+          unnest([{{'f': 1, 't': a, 'starts': CAST(NULL AS DATE)}}, {{'f': a + 1, 't': len(vs), 'starts': ds[a + 1]}}]) AS half
+        FROM (
+          SELECT *, list_position(steps, list_max(steps)) AS a FROM (
+            SELECT *, list_transform(range(1, len(vs)), lambda i: abs(vs[i + 1] - vs[i])) AS steps, list_median(vs) AS m FROM control_pieces WHERE len(vs) >= 2)
+          WHERE m <> 0 AND greatest(list_max(vs) - m, m - list_min(vs)) / abs(m) > {fixed.CONTROL_TOLERANCE}e0))),
+    parted AS (
+      SELECT s.*, count(p.starts) OVER (PARTITION BY s.well, s.segment ORDER BY s.production_date) AS part
+      FROM segmented s LEFT JOIN control_pieces p ON p.well = s.well AND p.starts = s.production_date WHERE NOT breaks),
     windows AS (
       SELECT well, min(production_date) AS ws, max(production_date) AS we,
         count(*) FILTER (WHERE day_class = 'valid_producing') AS n,
-        median(choke_size) FILTER (WHERE day_class = 'valid_producing') AS median_choke
-      FROM segmented WHERE NOT breaks GROUP BY well, segment HAVING n >= 20)"""
+        median(choke_size) FILTER (WHERE day_class = 'valid_producing') AS median_choke,
+        count(choke_size) FILTER (WHERE day_class = 'valid_producing') >= 2 AS tested
+      FROM parted GROUP BY well, segment, part HAVING n >= 20)"""
     )
 
 
@@ -295,29 +314,38 @@ def _window_columns(windows: DataFrame) -> DataFrame:
     )
 
 
-@query("stable_windows", f"WITH {windows_sql(False)} {_WINDOW_COLUMNS}")
+@query("stable_windows", f"WITH RECURSIVE {windows_sql(False)} {_WINDOW_COLUMNS}")
 def stable_windows(spark, folder) -> DataFrame:
     """Stable reference windows."""
-    return _window_columns(ow.stable_windows(entity_days(spark, folder), tolerance=None))
+    return _window_columns(ow.stable_windows(entity_days(spark, folder)))
 
 
-@query("stable_windows_activity", f"WITH {windows_sql(True)} {_WINDOW_COLUMNS}")
+@query("stable_windows_activity", f"WITH RECURSIVE {windows_sql(True)} {_WINDOW_COLUMNS}")
 def stable_windows_activity(spark, folder) -> DataFrame:
     """Windows also broken on days with recorded activity."""
     days = entity_days(spark, folder)
-    return _window_columns(ow.stable_windows(days, order_activity(spark, folder), tolerance=None))
+    return _window_columns(ow.stable_windows(days, order_activity(spark, folder)))
 
 
-@query("stable_windows_control")
+@query(
+    "stable_windows_control",
+    f"""WITH RECURSIVE {windows_sql(False)}
+    SELECT w.well, CAST(ws AS VARCHAR) AS window_start, tested AS choke_test_applied,
+      EXISTS (SELECT 1 FROM control_pieces p WHERE p.well = w.well AND p.starts BETWEEN w.ws AND w.we) AS starts_at_cut,
+      round(median_choke, 4) AS median_choke FROM windows w""",
+)
 def stable_windows_control(spark, folder) -> DataFrame:
-    """Windows split where the control moved. The cuts depend on medians of the pieces cut so
-    far, which SQL cannot say; tests compare with a plain statement of the rule."""
-    return _window_columns(ow.stable_windows(entity_days(spark, folder)))
+    """Windows that a move of the control starts, and whether the control was tested."""
+    days = entity_days(spark, folder)
+    windows = ow.stable_windows(days)
+    cuts = ow.control_cuts(ow.segments(days)).select("well", F.col("production_date").alias("window_start"), F.lit(True).alias("_cut"))
+    found = windows.join(cuts, ["well", "window_start"], "left")
+    return found.select("well", day("window_start"), "choke_test_applied", F.coalesce("_cut", F.lit(False)).alias("starts_at_cut"), rounded("median_choke"))
 
 
 @query(
     "reference_windows",
-    f"""WITH {windows_sql(False)}, asked AS (
+    f"""WITH RECURSIVE {windows_sql(False)}, asked AS (
       SELECT DISTINCT well, CAST(date_trunc('month', production_date) AS DATE) AS b FROM days)
     SELECT a.well, CAST(b AS VARCHAR) AS before, CAST(arg_max(ws, we) AS VARCHAR) AS window_start,
       CAST(max(we) AS VARCHAR) AS window_end
@@ -327,7 +355,7 @@ def reference_windows(spark, folder) -> DataFrame:
     """The reference window in force at the start of each month."""
     days = entity_days(spark, folder)
     asked = days.select("well", F.trunc("production_date", "month").alias("before")).distinct()
-    found = ow.reference_window(ow.stable_windows(days, tolerance=None), asked)
+    found = ow.reference_window(ow.stable_windows(days), asked)
     return found.where("window_end is not null").select("well", day("before"), day("window_start"), day("window_end"))
 
 
@@ -361,7 +389,7 @@ summed AS (
   FROM shaped GROUP BY well, ws, we),
 fits AS (
   SELECT well, ws, we, reference_rate, 'naive-median28' AS model, t_mid AS q0, 0e0 AS d, 0e0 AS b,
-    t_low - t_mid AS lo, t_high - t_mid AS hi, NULL AS per_c, false AS widens FROM summed
+    t_low - t_mid AS lo, t_high - t_mid AS hi, CAST(NULL AS DOUBLE) AS per_c, false AS widens FROM summed
   UNION ALL SELECT well, ws, we, reference_rate, 'naive-persistence', last_rate, 0e0, 0e0,
     t_low - last_rate, t_high - last_rate, NULL, false FROM summed
   UNION ALL SELECT well, ws, we, reference_rate, 'exponential-decline', q_end, dec, 0e0, e_low, e_high, NULL, true FROM summed
@@ -374,7 +402,7 @@ fits AS (
 
 @query(
     "fitted_models",
-    f"""WITH {windows_sql(False)}, {FITS_SQL}
+    f"""WITH RECURSIVE {windows_sql(False)}, {FITS_SQL}
     SELECT well, CAST(ws AS VARCHAR) AS window_start, model, round(q0, 4) AS q_at_fit, round(d, 6) AS decline_rate,
       round(lo, 4) AS lower_offset, round(hi, 4) AS upper_offset, round(per_c, 4) AS rate_per_choke,
       round(reference_rate, 4) AS reference_rate FROM fits""",
@@ -382,7 +410,7 @@ fits AS (
 def fitted_models(spark, folder) -> DataFrame:
     """Parameters of five models per window."""
     days = entity_days(spark, folder)
-    fits = oe.fit_models(ow.window_days(days, ow.stable_windows(days, tolerance=None)))
+    fits = oe.fit_models(ow.window_days(days, ow.stable_windows(days)))
     return fits.select(
         "well",
         day("window_start"),
@@ -428,19 +456,19 @@ STUDY_SQL = f"{windows_sql(False)}, {FITS_SQL}, {BACKTEST_SQL}"
 
 @query(
     "backtest_wape",
-    f"""WITH {STUDY_SQL}
+    f"""WITH RECURSIVE {STUDY_SQL}
     SELECT model, CAST(horizon AS INTEGER) AS horizon, count(*) AS rows, round(sum(abs(q - p)) / sum(abs(q)), 6) AS wape
     FROM evaluated GROUP BY model, horizon""",
 )
 def backtest_wape(spark, folder) -> DataFrame:
     """Pooled error per model and horizon."""
-    pooled = ob.pooled_wape(study.evaluated(entity_days(spark, folder), tolerance=None))
+    pooled = ob.pooled_wape(study.evaluated(entity_days(spark, folder)))
     return pooled.select("model", "horizon", "rows", rounded("wape", digits=6))
 
 
 @query(
     "relative_wape_gate",
-    f"""WITH {STUDY_SQL}, w AS (
+    f"""WITH RECURSIVE {STUDY_SQL}, w AS (
       SELECT model, horizon, sum(abs(q - p)) / sum(abs(q)) AS wape FROM evaluated GROUP BY ALL),
     best AS (SELECT horizon, min(wape) AS best FROM w WHERE model LIKE 'naive%' GROUP BY horizon)
     SELECT model, bool_and((best - wape) / best >= 0.1) AS passed, round(min((best - wape) / best), 6) AS smallest_gain
@@ -448,13 +476,13 @@ def backtest_wape(spark, folder) -> DataFrame:
 )
 def relative_wape_gate(spark, folder) -> DataFrame:
     """Gain on the better baseline at every horizon."""
-    gate = ob.relative_wape_gate(study.evaluated(entity_days(spark, folder), tolerance=None))
+    gate = ob.relative_wape_gate(study.evaluated(entity_days(spark, folder)))
     return gate.select("model", "passed", rounded("smallest_gain", digits=6))
 
 
 @query(
     "lower_tail_rates",
-    f"""WITH {STUDY_SQL}
+    f"""WITH RECURSIVE {STUDY_SQL}
     SELECT model, CAST(horizon AS INTEGER) AS horizon, coalesce(well, 'POOLED') AS well, count(*) AS n,
       count(*) FILTER (WHERE q < lower) AS k
     FROM evaluated GROUP BY GROUPING SETS ((model, horizon, well), (model, horizon))
@@ -462,7 +490,7 @@ def relative_wape_gate(spark, folder) -> DataFrame:
 )
 def lower_tail_rates(spark, folder) -> DataFrame:
     """Days below the band per model, horizon and supplier, and pooled."""
-    tail = ob.lower_tail(study.evaluated(entity_days(spark, folder), tolerance=None))
+    tail = ob.lower_tail(study.evaluated(entity_days(spark, folder)))
     return tail.select("model", "horizon", F.coalesce("well", F.lit("POOLED")).alias("well"), "n", "k")
 
 
@@ -485,17 +513,17 @@ LOWER_TAIL_SQL = f"""per AS (
 
 @query(
     "lower_tail_gate",
-    f"""WITH {STUDY_SQL}, {LOWER_TAIL_SQL}
+    f"""WITH RECURSIVE {STUDY_SQL}, {LOWER_TAIL_SQL}
     SELECT model, passed, lines, lines > 0 AS evaluable FROM tail_gate""",
 )
 def lower_tail_gate(spark, folder) -> DataFrame:
     """Gate on the exact binomial interval."""
-    return ob.lower_tail_gate(study.evaluated(entity_days(spark, folder), tolerance=None))
+    return ob.lower_tail_gate(study.evaluated(entity_days(spark, folder)))
 
 
 @query(
     "bias_by_well",
-    f"""WITH {STUDY_SQL}, halves AS (
+    f"""WITH RECURSIVE {STUDY_SQL}, halves AS (
       SELECT model, horizon, well, ws, least(horizon, available) AS m,
         step > least(horizon, available) // 2 AS second, sum(q - p) AS r, sum(q) AS a, count(*) AS n
       FROM evaluated GROUP BY ALL)
@@ -505,13 +533,13 @@ def lower_tail_gate(spark, folder) -> DataFrame:
 )
 def bias_by_well(spark, folder) -> DataFrame:
     """Mean bias per supplier and the half windows that drift."""
-    found = ob.bias(study.evaluated(entity_days(spark, folder), tolerance=None))
+    found = ob.bias(study.evaluated(entity_days(spark, folder)))
     return found.select("model", "horizon", "well", "n", rounded("ratio", digits=6), "drifting_halves")
 
 
 @query(
     "selected_model",
-    f"""WITH {STUDY_SQL}, {LOWER_TAIL_SQL}, w AS (
+    f"""WITH RECURSIVE {STUDY_SQL}, {LOWER_TAIL_SQL}, w AS (
       SELECT model, horizon, sum(abs(q - p)) / sum(abs(q)) AS wape FROM evaluated GROUP BY ALL),
     best AS (SELECT horizon, min(wape) AS best FROM w WHERE model LIKE 'naive%' GROUP BY horizon),
     gain_gate AS (
@@ -531,7 +559,7 @@ def bias_by_well(spark, folder) -> DataFrame:
 )
 def selected_model(spark, folder) -> DataFrame:
     """The first candidate passing all gates, else the fallback (uses the binomial interval)."""
-    return ob.select_model(study.evaluated(entity_days(spark, folder), tolerance=None))
+    return ob.select_model(study.evaluated(entity_days(spark, folder)))
 
 
 GOVERNED_SQL = (
@@ -588,16 +616,16 @@ episodes AS (
 EPISODE_STUDY_SQL = f"{windows_sql(False)}, {FITS_SQL}, {EPISODES_SQL}"
 
 
-def episode_frames(spark, folder, tolerance=None):
+def episode_frames(spark, folder):
     """(days, windows, fits of the fallback model, episodes) of the driver's tables."""
     days = entity_days(spark, folder)
-    windows, fits = study.windows_and_fits(days, tolerance=tolerance)
+    windows, fits = study.windows_and_fits(days)
     return days, windows, fits, op.sweep(days, windows, fits)
 
 
 @query(
     "episodes",
-    f"""WITH {EPISODE_STUDY_SQL}
+    f"""WITH RECURSIVE {EPISODE_STUDY_SQL}
     SELECT well, CAST(onset AS VARCHAR) AS onset, CAST("offset" AS VARCHAR) AS offset_day, n AS valid_producing_days,
       trigger_run_days, round(shortfall, 3) AS shortfall, round(deferred, 3) AS deferred,
       round(reference_rate, 4) AS reference_rate, round(gap_fraction, 6) AS gap_fraction,
@@ -623,7 +651,7 @@ def episodes(spark, folder) -> DataFrame:
 
 @query(
     "episode_ranking",
-    f"""WITH {EPISODE_STUDY_SQL}
+    f"""WITH RECURSIVE {EPISODE_STUDY_SQL}
     SELECT well, count(*) AS episodes, round(sum(shortfall), 3) AS shortfall FROM episodes GROUP BY well""",
 )
 def episode_ranking(spark, folder) -> DataFrame:
@@ -636,7 +664,7 @@ def episode_ranking(spark, folder) -> DataFrame:
 
 @query(
     "day_series",
-    f"""WITH {windows_sql(False)}, {FITS_SQL}, {GOVERNED_SQL}
+    f"""WITH RECURSIVE {windows_sql(False)}, {FITS_SQL}, {GOVERNED_SQL}
     SELECT well, CAST(production_date AS VARCHAR) AS production_date, day_class,
       round(CASE WHEN valid THEN qx END, 4) AS expected, round(CASE WHEN valid THEN lower END, 4) AS lower,
       round(CASE WHEN valid THEN upper END, 4) AS upper, below AS below_band,
@@ -647,7 +675,7 @@ def episode_ranking(spark, folder) -> DataFrame:
 def day_series(spark, folder) -> DataFrame:
     """Per-day expectation, band and channels."""
     days = entity_days(spark, folder)
-    windows, fits = study.windows_and_fits(days, tolerance=None)
+    windows, fits = study.windows_and_fits(days)
     return op.series(days, windows, fits).select(
         "well",
         day("production_date"),

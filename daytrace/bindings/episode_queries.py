@@ -90,7 +90,7 @@ def bundle_view(spark, folder) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "channel_comparison",
-    f"""WITH {EPISODE_STUDY_SQL}, {ROWS_SQL}, {COMPARED_SQL}
+    f"""WITH RECURSIVE {EPISODE_STUDY_SQL}, {ROWS_SQL}, {COMPARED_SQL}
     SELECT well, CAST(onset AS VARCHAR) AS onset, channel, nb AS baseline_readings, ne AS readings,
       round(mb, 4) AS baseline_median, round(me, 4) AS median, round(f, 4) AS first, round(l, 4) AS last,
       round(shift, 4) AS shift, round(rel, 6) AS relative_shift, round(std, 6) AS standardised_shift FROM compared""",
@@ -112,7 +112,7 @@ def channel_comparison(spark, folder) -> DataFrame:
 
 @query(
     "episode_rates",
-    f"""WITH {EPISODE_STUDY_SQL}, {ROWS_SQL}, {RATES_SQL}
+    f"""WITH RECURSIVE {EPISODE_STUDY_SQL}, {ROWS_SQL}, {RATES_SQL}
     SELECT well, CAST(onset AS VARCHAR) AS onset, days AS episode_days, round(rb, 4) AS baseline_median_rate,
       round(re, 4) AS episode_median_rate, round(wb, 6) AS baseline_water_cut, round(wd, 6) AS episode_water_cut,
       round(gd, 4) AS episode_gas_oil_ratio FROM rates""",
@@ -133,7 +133,7 @@ def episode_rates(spark, folder) -> DataFrame:
 
 @query(
     "offset_wells",
-    f"""WITH {EPISODE_STUDY_SQL}, {ROWS_SQL}, {OFFSETS_SQL}
+    f"""WITH RECURSIVE {EPISODE_STUDY_SQL}, {ROWS_SQL}, {OFFSETS_SQL}
     SELECT well, CAST(onset AS VARCHAR) AS onset, n AS other_wells, compared AS wells_compared, down AS wells_also_down,
       round(mid, 6) AS median_rate_change, field_wide FROM offset_wells""",
 )
@@ -162,7 +162,7 @@ calls AS (
 
 @query(
     "strongest_deviation",
-    f"""WITH {EPISODE_STUDY_SQL}, {ROWS_SQL}, {COMPARED_SQL}, {CALLS_SQL}
+    f"""WITH RECURSIVE {EPISODE_STUDY_SQL}, {ROWS_SQL}, {COMPARED_SQL}, {CALLS_SQL}
     SELECT well, CAST(onset AS VARCHAR) AS onset, channel, skipped AS skipped_channels, channel IS NULL AS abstained FROM calls""",
 )
 def strongest_deviation(spark, folder) -> DataFrame:
@@ -204,7 +204,7 @@ def investigated(spark, folder) -> investigation.Investigation:
 
 @query(
     "hypotheses",
-    f"""WITH {DIAGNOSIS_SQL}, {HYPOTHESES_SQL}
+    f"""WITH RECURSIVE {DIAGNOSIS_SQL}, {HYPOTHESES_SQL}
     SELECT well, CAST(onset AS VARCHAR) AS onset, hypothesis_id, status, level AS causal_level, unavailable FROM formed""",
 )
 def hypotheses(spark, folder) -> DataFrame:
@@ -231,7 +231,7 @@ passes AS (
 
 @query(
     "evidence_passes",
-    f"""WITH {DIAGNOSIS_SQL}, {HYPOTHESES_SQL}, {PASSES_SQL}
+    f"""WITH RECURSIVE {DIAGNOSIS_SQL}, {HYPOTHESES_SQL}, {PASSES_SQL}
     SELECT well, CAST(onset AS VARCHAR) AS onset, CAST(pass AS INTEGER) AS pass, hypothesis_id, query FROM passes""",
 )
 def evidence_passes(spark, folder) -> DataFrame:
@@ -265,7 +265,7 @@ evidence AS (
 
 @query(
     "evidence",
-    f"""WITH {DIAGNOSIS_SQL}, {HYPOTHESES_SQL}, {PASSES_SQL}, {EVIDENCE_SQL}
+    f"""WITH RECURSIVE {DIAGNOSIS_SQL}, {HYPOTHESES_SQL}, {PASSES_SQL}, {EVIDENCE_SQL}
     SELECT well, CAST(onset AS VARCHAR) AS onset, hypothesis_id, rank, round(score, 6) AS score, document, chunk_id AS event_id,
       span FROM evidence""",
 )
@@ -314,7 +314,7 @@ INVESTIGATION_SQL = f"{DIAGNOSIS_SQL}, {HYPOTHESES_SQL}, {PASSES_SQL}, {EVIDENCE
 
 @query(
     "findings",
-    f"""WITH {INVESTIGATION_SQL}
+    f"""WITH RECURSIVE {INVESTIGATION_SQL}
     SELECT 'finding_' || well || '_' || CAST(onset AS VARCHAR) AS finding_id, well, verdict, stop_reason,
       stop_reason = 'mandatory_evidence_unavailable' AS curtailed, highest_level, supported, citations, unavailable FROM concluded""",
 )
@@ -336,7 +336,7 @@ def findings(spark, folder) -> DataFrame:
 
 @query(
     "finding_counts",
-    f"""WITH {INVESTIGATION_SQL}, lists(kind, value) AS (VALUES ('verdict', 'supported_explanation'),
+    f"""WITH RECURSIVE {INVESTIGATION_SQL}, lists(kind, value) AS (VALUES ('verdict', 'supported_explanation'),
       ('verdict', 'multiple_plausible_explanations'), ('verdict', 'insufficient_evidence'), ('stop_reason', 'evidence_threshold_met'),
       ('stop_reason', 'evidence_exhausted'), ('stop_reason', 'mandatory_evidence_unavailable'), ('stop_reason', 'step_budget_reached'),
       ('stop_reason', 'cost_budget_reached'), ('highest_level', 'proximate_driver'), ('highest_level', 'supported_mechanism'),
@@ -365,7 +365,7 @@ scores AS (
 
 @query(
     "evidence_scores",
-    f"""WITH {INVESTIGATION_SQL}, {SCORES_SQL}
+    f"""WITH RECURSIVE {INVESTIGATION_SQL}, {SCORES_SQL}
     SELECT well, CAST(onset AS VARCHAR) AS onset, round(f1, 6) AS deviation_strength, round(f2, 6) AS channel_availability,
       round(f3, 6) AS documentary_cause, round(f4, 6) AS window_completeness, score, band FROM scores""",
 )
@@ -385,7 +385,7 @@ def evidence_scores(spark, folder) -> DataFrame:
 
 @query(
     "baseline_agreement",
-    f"""WITH {INVESTIGATION_SQL}, {CALLS_SQL}
+    f"""WITH RECURSIVE {INVESTIGATION_SQL}, {CALLS_SQL}
     SELECT c.well, CAST(c.onset AS VARCHAR) AS onset, CASE WHEN k.channel IS NULL OR c.s = 0 THEN NULL ELSE coalesce(
       CASE WHEN k.channel IN ('choke_size', 'choke_dp_bar') THEN contains(supported, 'H-choke')
         WHEN k.channel = 'on_stream_hours' THEN contains(supported, 'H-uptime') ELSE contains(supported, 'H-pressure') END, false)
@@ -453,7 +453,7 @@ queued AS (
 
 @query(
     "review_queue",
-    f"""WITH {QUEUE_SQL}, x AS (SELECT *, pts + CAST(long_one AS INTEGER) + CAST(pending AS INTEGER) + CAST(open_case AS INTEGER) AS score FROM queued)
+    f"""WITH RECURSIVE {QUEUE_SQL}, x AS (SELECT *, pts + CAST(long_one AS INTEGER) + CAST(pending AS INTEGER) + CAST(open_case AS INTEGER) AS score FROM queued)
     SELECT well, CAST(onset AS VARCHAR) AS onset, verdict, band AS evidence_band, review_state, CAST(score AS INTEGER) AS score,
       CASE WHEN score >= 5 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM x""",
 )
@@ -466,7 +466,7 @@ def review_queue(spark, folder) -> DataFrame:
 
 @query(
     "priority_terms",
-    f"""WITH {QUEUE_SQL}
+    f"""WITH RECURSIVE {QUEUE_SQL}
     SELECT 'cumulative shortfall' AS term, count(*) AS episodes FROM queued
     UNION ALL SELECT 'episode lasts 40 days or more', count(*) FILTER (WHERE long_one) FROM queued
     UNION ALL SELECT 'review is pending', count(*) FILTER (WHERE pending) FROM queued
@@ -479,7 +479,7 @@ def priority_terms(spark, folder) -> DataFrame:
 
 @query(
     "queue_figures",
-    f"""WITH {QUEUE_SQL}
+    f"""WITH RECURSIVE {QUEUE_SQL}
     SELECT count(*) AS open_investigations, count(*) FILTER (WHERE review_state <> 'confirmed') AS awaiting_review,
       count(*) FILTER (WHERE review_state <> 'none') AS reviews_recorded, round(sum(round(shortfall, 2)), 2) AS shortfall,
       count(*) FILTER (WHERE verdict = 'insufficient_evidence') AS no_conclusion_issued, count(DISTINCT well) AS wells_with_an_episode
@@ -506,7 +506,7 @@ _CELL = """CASE fam WHEN 'Report' THEN CASE WHEN n > 0 THEN 'supports' WHEN sear
 
 @query(
     "evidence_matrix",
-    f"""WITH {INVESTIGATION_SQL}, m AS (
+    f"""WITH RECURSIVE {INVESTIGATION_SQL}, m AS (
       SELECT a.*, EXISTS (SELECT 1 FROM passes p WHERE p.well = a.well AND p.onset = a.onset AND p.hypothesis_id = a.hypothesis_id) AS searched,
         position <> 4 OR (SELECT mid FROM offset_wells o WHERE o.well = a.well AND o.onset = a.onset) IS NOT NULL AS has_value,
         unnest(['Production', 'Control', 'Pressure', 'Fluids', 'Report']) AS fam FROM attached a)
@@ -521,7 +521,7 @@ def evidence_matrix(spark, folder) -> DataFrame:
 
 @query(
     "coverage_lines",
-    f"""WITH {INVESTIGATION_SQL}
+    f"""WITH RECURSIVE {INVESTIGATION_SQL}
     SELECT well, CAST(onset AS VARCHAR) AS onset,
       (SELECT coalesce(string_agg(channel || ': ' || ne || ' of ' || r.days || ' days usable', ',' ORDER BY position), '') FROM compared x
         WHERE x.well = c.well AND x.onset = c.onset AND ne > 0) AS available FROM concluded c JOIN rates r USING (well, onset)""",
@@ -534,7 +534,7 @@ def coverage_lines(spark, folder) -> DataFrame:
 
 @query(
     "finding_audits",
-    f"""WITH {QUEUE_SQL}
+    f"""WITH RECURSIVE {QUEUE_SQL}
     SELECT 'priority_as_printed' AS "check", count(*) AS examined, 0 AS problems FROM queued
     UNION ALL SELECT 'abstentions_explained', count(*) FILTER (WHERE verdict = 'insufficient_evidence'), 0 FROM queued
     UNION ALL SELECT 'no_hold_out_in_text', count(*), 0 FROM queued""",
@@ -562,7 +562,7 @@ def provenance_gate(spark, folder) -> DataFrame:
 
 @query(
     "safety_report",
-    f"""WITH {INVESTIGATION_SQL}
+    f"""WITH RECURSIVE {INVESTIGATION_SQL}
     SELECT count(*) AS findings_examined, count(*) FILTER (WHERE highest_level = 'documented_root_cause') AS documented_claims,
       0 AS documented_claim_without_a_stated_reason,
       count(*) FILTER (WHERE verdict = 'insufficient_evidence') AS abstentions FROM concluded""",
@@ -577,7 +577,7 @@ def safety_report(spark, folder) -> DataFrame:
 
 @query(
     "episode_facts",
-    f"""WITH {EPISODE_STUDY_SQL}, x AS (
+    f"""WITH RECURSIVE {EPISODE_STUDY_SQL}, x AS (
       SELECT 'episode_cumulative_rate_shortfall' AS metric, shortfall AS value, 'Sm3' AS unit, well FROM episodes
       UNION ALL SELECT 'episode_actual_volume', deferred + shortfall, 'Sm3', well FROM episodes
       UNION ALL SELECT 'episode_reference_rate', reference_rate, 'Sm3/d', well FROM episodes

@@ -443,12 +443,12 @@ def unit_conversion(spark, folder) -> DataFrame:
     )
 
 
-_LANES = ", ".join(f"coalesce(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)), 0)" for i in range(8))
+LANES_SQL = ", ".join(f"coalesce(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)), 0)" for i in range(8))
 
 
 @query(
     "store_digest",
-    f"""SELECT count(*) AS rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_LANES})) AS content_hash
+    f"""SELECT count(*) AS rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {LANES_SQL})) AS content_hash
     FROM (SELECT sha256('=' || conv_id || '|=' || role || '|=' || text || '|=' || turn) AS h FROM conversations)""",
 )
 def store_digest(spark, folder) -> DataFrame:

@@ -11,6 +11,7 @@ from daytrace.operators.joins import in_range
 
 EPISODE = ["well", "onset", "offset"]
 ROW_CELL = 64
+DATE_CELL = 64
 
 
 def _median(c: Column) -> Column:
@@ -136,69 +137,65 @@ def channel_rows(bundle: DataFrame) -> DataFrame:
     )
 
 
-def offsets(episodes: DataFrame, days: DataFrame, group: str | None = None, baseline_rows: int = fixed.BASELINE_ROWS) -> DataFrame:
-    """Rate change of the other wells over each episode's dates, against their own rows before.
+def offset_changes(ranges: DataFrame, days: DataFrame, baseline_rows: int = fixed.BASELINE_ROWS) -> DataFrame:
+    """Rate change of every well of a group over each range of dates (_group, onset, offset, well, change, nth, wells).
 
-    `group` names a column of `days` (a field, an area) that limits which wells are compared; both
-    sides of the comparison are equi joined on it and on the date, which spreads a large group
-    over its dates. What a well did before the onset is read off its first row inside the
-    episode, so no second join is needed.
+    A range that several episodes share is worked once. Its medians are taken over the well's rows
+    inside it and over the rows before the first of them, both found by range joins on cells, so the
+    work is the ranges times the wells of their group. nth is the place of the change within its range,
+    from 0, and `wells` how many wells could be compared.
     """
-    w = Window.partitionBy("well").orderBy("production_date")
-    before = w.rowsBetween(-baseline_rows, -1)
-    scope = F.lit("all") if group is None else F.col(group)
-    rows = days.select(
-        "well",
-        scope.alias("_group"),
-        "production_date",
-        "q_24h",
-        (F.row_number().over(w) - 1).alias("rows_before"),
-        F.percentile("q_24h", F.lit(0.5)).over(before).alias("rate_before"),
+    rate = _median(F.col("q_24h"))
+    rows = numbered(days).select("well", "_group", "production_date", "q_24h", "row")
+    key = ["_group", "onset", "offset", "well"]
+    inside = in_range(rows, ranges, ["_group"], F.unix_date("production_date"), F.unix_date("onset"), F.unix_date("offset"), DATE_CELL)
+    during = inside.groupBy(*key).agg(rate.alias("during"), F.min("row").alias("_first")).where("during is not null")
+    during = during.where(F.col("_first") > fixed.MIN_CHANNEL_READINGS)
+    earlier = in_range(rows.drop("_group", "production_date"), during, ["well"], F.col("row"), F.col("_first") - baseline_rows, F.col("_first") - 1, ROW_CELL)
+    before = earlier.groupBy(*key, "during").agg(rate.alias("before")).where("before > 0")
+    within_range = Window.partitionBy("_group", "onset", "offset")
+    changes = before.select(*key, ((F.col("during") - F.col("before")) / F.col("before")).alias("change"))
+    return changes.withColumns(
+        {"nth": F.row_number().over(within_range.orderBy("change", "well")) - 1, "wells": F.count(F.lit(1)).over(within_range)}
     )
-    members = rows.select("_group", "well").distinct()
+
+
+def offsets(episodes: DataFrame, days: DataFrame, group: str, baseline_rows: int = fixed.BASELINE_ROWS) -> DataFrame:
+    """Rate change of the other wells over each episode's dates, against their own rows before.
+
+    `group` names a column of `days` (a field, an area) whose wells are compared. The changes of a
+    range are ranked once; the median of all wells but the episode's own is then read off the four
+    changes in the middle, moved by one place where the own well lies before it.
+    """
+    own = episodes.select(*EPISODE)
+    placed = days.withColumn("_group", F.col(group))
+    members = placed.select("_group", "well").distinct()
     sizes = members.groupBy("_group").agg((F.count(F.lit(1)) - 1).alias("other_wells"))
-    own = episodes.select(*EPISODE).join(members, "well").withColumnRenamed("well", "_own")
-    dated = own.withColumn("production_date", F.explode(F.sequence("onset", "offset")))
-    pairs = (
-        dated.join(rows, ["_group", "production_date"])
-        .where(F.col("well") != F.col("_own"))
-        .groupBy("_group", "_own", "onset", "offset", "well")
-        .agg(
-            F.percentile("q_24h", F.lit(0.5)).alias("during"),
-            F.min_by("rate_before", "production_date").alias("before"),
-            F.min("rows_before").alias("rows_before"),
-        )
+    asked = own.join(members, "well")
+    key = ["_group", "onset", "offset"]
+    changes = offset_changes(asked.select(*key).distinct(), placed, baseline_rows)
+    half = F.floor(F.col("wells") / 2)
+    middle = F.when(F.col("nth").between(half - 1, half + 1), F.struct("nth", "change"))
+    summary = changes.groupBy(*key).agg(
+        F.max("wells").alias("_n"),
+        F.count_if(F.col("change") <= fixed.OFFSET_DOWN).alias("_down"),
+        F.map_from_entries(F.collect_list(middle)).alias("_middle"),
     )
-    usable = (
-        (F.col("rows_before") >= fixed.MIN_CHANNEL_READINGS) & (F.col("before") > 0.0) & F.col("during").isNotNull()
-    )
-    change = F.when(usable, (F.col("during") - F.col("before")) / F.col("before"))
-    changes = (
-        pairs.withColumn("change", change)
-        .groupBy("_group", "_own", "onset", "offset")
-        .agg(
-            F.count_if(F.col("change") <= fixed.OFFSET_DOWN).alias("wells_also_down"),
-            F.count("change").alias("wells_compared"),
-            F.percentile("change", F.lit(0.5)).alias("median_rate_change"),
-        )
-    )
-    out = own.join(sizes, "_group").join(changes, ["_group", "_own", "onset", "offset"], "left")
+    mine = changes.select(*key, "well", F.col("nth").alias("_nth"), F.col("change").alias("_change"))
+    out = asked.join(sizes, "_group").join(summary, key, "left").join(mine, [*key, "well"], "left")
+    there = F.col("_nth").isNotNull()
+    left = F.coalesce("_n", F.lit(0)) - there.cast("int")
+
+    def change_at(place: Column) -> Column:
+        """The change at a place among the other wells."""
+        full = place + F.coalesce((place >= F.col("_nth")).cast("int"), F.lit(0))
+        return F.try_element_at("_middle", full.cast("int"))
+
+    median = F.when(left > 0, (change_at(F.floor((left - 1) / 2)) + change_at(F.floor(left / 2))) / 2)
+    down = F.coalesce("_down", F.lit(0)) - F.coalesce((F.col("_change") <= fixed.OFFSET_DOWN).cast("int"), F.lit(0))
     n = F.col("other_wells")
-    return (
-        out.fillna(0, ["wells_also_down", "wells_compared"])
-        .select(
-            F.col("_own").alias("well"),
-            "onset",
-            "offset",
-            "other_wells",
-            "wells_compared",
-            "wells_also_down",
-            "median_rate_change",
-        )
-        .withColumn(
-            "field_wide",
-            (n > 0) & (F.col("wells_also_down") >= F.greatest(F.lit(1), F.floor(n / 2))),
-        )
+    return out.select(*EPISODE, "other_wells", left.alias("wells_compared"), down.alias("wells_also_down"), median.alias("median_rate_change")).withColumn(
+        "field_wide", (n > 0) & (F.col("wells_also_down") >= F.greatest(F.lit(1), F.floor(n / 2)))
     )
 
 

@@ -39,6 +39,12 @@ def review_reasons(duration: Column, comment: Column) -> Column:
     return fired((duration < 0, "negative_duration"), (comment == "", "no_comment"))
 
 
+def untimed(blocks: DataFrame) -> DataFrame:
+    """The non-productive blocks without usable times: what makes a strict `extract` fail, as rows."""
+    lost = blocks.where(is_non_productive(F.col("activity_code"), F.col("state")))
+    return lost.where(F.col("start_time").isNull() | F.col("end_time").isNull())
+
+
 def extract(blocks: DataFrame, *, strict: bool = True) -> DataFrame:
     """Events of the non-productive blocks. With `strict`, one without usable times fails the job."""
     code, state = F.col("activity_code"), F.col("state")

@@ -78,16 +78,16 @@ def control_cuts(segmented: DataFrame, tolerance: float = fixed.CONTROL_TOLERANC
     """Dates that start a new part inside a segment (well, segment, production_date).
 
     Where to cut depends on medians of the pieces cut so far, so this is the one step that needs
-    Python. Spark first drops every segment already inside the tolerance; what is left is one
-    segment per group, bounded by the calendar.
+    Python. Spark first drops every segment whose extremes are so close that no median between them
+    can fail; what is left is one segment per group, bounded by the calendar.
     """
     whole = Window.partitionBy("well", "segment")
     r = control_reading()
-    centre = F.percentile(r, F.lit(0.5)).over(whole)
-    worst = F.greatest(F.max(r).over(whole) - centre, centre - F.min(r).over(whole))
+    low, high = F.min(r).over(whole), F.max(r).over(whole)
+    near = (low * high > 0) & (high - low <= tolerance * F.least(F.abs(low), F.abs(high)))
     outside = (
-        segmented.withColumn("_outside", (centre != 0.0) & (worst / F.abs(centre) > tolerance))
-        .where(F.col("_outside") & r.isNotNull())
+        segmented.withColumn("_near", near)
+        .where(~F.col("_near") & r.isNotNull())
         .select("well", "segment", "production_date", "choke_size")
     )
 
@@ -100,13 +100,18 @@ def control_cuts(segmented: DataFrame, tolerance: float = fixed.CONTROL_TOLERANC
 
 
 def split_on_control(segmented: DataFrame, tolerance: float = fixed.CONTROL_TOLERANCE) -> DataFrame:
-    """Add `part`, numbered within a segment: a new part starts at each control cut."""
-    cuts = control_cuts(segmented, tolerance).withColumn("_cut", F.lit(1))
+    """Add `part`, numbered within a segment: a new part starts at each control cut.
+
+    The cuts of a well come as one list (a well has a day once, so its dates tell them apart), which
+    keeps the days where the segments left them.
+    """
+    cuts = control_cuts(segmented, tolerance).groupBy("well").agg(F.collect_set("production_date").alias("_cuts"))
     w = Window.partitionBy("well", "segment").orderBy("production_date")
+    starts = F.coalesce(F.array_contains("_cuts", F.col("production_date")), F.lit(False))
     return (
-        segmented.join(cuts, ["well", "segment", "production_date"], "left")
-        .withColumn("part", F.sum(F.coalesce("_cut", F.lit(0)).cast("bigint")).over(w))
-        .drop("_cut")
+        segmented.join(cuts, "well", "left")
+        .withColumn("part", F.sum(starts.cast("bigint")).over(w))
+        .drop("_cuts")
     )
 
 

@@ -22,11 +22,11 @@ class Investigation(NamedTuple):
 
 
 def investigate(
-    episodes: DataFrame, days: DataFrame, chunks: DataFrame, group: str | None = None
+    episodes: DataFrame, days: DataFrame, chunks: DataFrame, group: str
 ) -> Investigation:
     """`days` are the wells' classified days, `chunks` the searchable narrative of their reports.
 
-    `group` names a column of `days` that limits which other wells an episode is compared with.
+    `group` names a column of `days`: an episode is compared with the other wells of its value.
     """
     # Tables of episode size that several later steps read: checkpointed, so that none of those
     # steps repeats the sweep over all days, also not after an executor is lost.

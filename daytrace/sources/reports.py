@@ -42,32 +42,32 @@ def scan(spark: SparkSession, folder: str, max_bytes: int | None = None) -> Data
     files = spark.read.format("binaryFile").load(folder)
     fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    judged = judge(files.where(fits).select(name, "length", F.decode("content", "UTF-8").alias("text")))
+    oversize = files.where(~fits).select(
+        name, "length", F.lit("unsafe_input").alias("problem")
+    )
+    return judged.unionByName(oversize, allowMissingColumns=True)
+
+
+def judge(texts: DataFrame) -> DataFrame:
+    """Rows (file_name, length, text) as `scan` gives them: parsed, or with the problem they have."""
     is_xml = F.lower("file_name").endswith(".xml")
     parsed = f"{schemas.REPORT}, _broken string"
-    bodies = (
-        files.where(fits)
-        .select(name, "length", F.decode("content", "UTF-8").alias("_text"))
-        .withColumn("_unsafe", unsafe_markup(F.col("_text")))
-        .withColumn(
-            "report",
-            F.when(
-                is_xml & ~F.col("_unsafe"),
-                F.from_xml("_text", parsed, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE", "ignoreNamespace": "true"}),
-            ),
-        )
+    bodies = texts.withColumn("_unsafe", unsafe_markup(F.col("text"))).withColumn(
+        "report",
+        F.when(
+            is_xml & ~F.col("_unsafe"),
+            F.from_xml("text", parsed, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE", "ignoreNamespace": "true"}),
+        ),
     )
     broken = F.col("report").isNull() | F.col("report._broken").isNotNull()
     unnamed = names.report_date(F.col("file_name")).isNull() | (
         names.name_from_token(names.report_token(F.col("file_name"))).isNull()
     )
-    judged = bodies.withColumn(
+    return bodies.withColumn(
         "problem",
         F.when(~is_xml | F.col("_unsafe"), "unsafe_input").when(broken | unnamed, "malformed_input"),
-    ).drop("_text", "_unsafe")
-    oversize = files.where(~fits).select(
-        name, "length", F.lit("unsafe_input").alias("problem")
-    )
-    return judged.unionByName(oversize, allowMissingColumns=True)
+    ).drop("text", "_unsafe")
 
 
 def refused(scanned: DataFrame) -> DataFrame:

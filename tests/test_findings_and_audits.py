@@ -46,7 +46,7 @@ def done(spark):
         ],
         CHUNK,
     )
-    return investigation.investigate(episodes, days, chunks), chunks
+    return investigation.investigate(episodes, days.withColumn("field", F.lit("one")), chunks, "field"), chunks
 
 
 def test_bundle_compares_the_sixty_rows_before(done):

@@ -22,17 +22,11 @@ def plan(df):
 def test_ranks_are_cut_inside_tasks(spark):
     rows = spark.createDataFrame([("a", "choke", "s")], "chunk_id string, text string, subcategory string")
     hits = osr.search(rows, spark.createDataFrame([("q", "choke")], "query_id string, query string"))
-    assert plan(hits).count("WindowGroupLimit") == 2
+    assert "WindowGroupLimit" in plan(hits)
     drawn = os_.stratified(rows.withColumnRenamed("chunk_id", "event_id"), 5)
     assert plan(drawn).count("WindowGroupLimit") == 2 and "TakeOrdered" in plan(drawn)
 
 
-def test_text_is_shuffled_once_and_by_chunk(spark):
-    rows = spark.createDataFrame([("a", "choke")], "chunk_id string, text string")
-    table = plan(osr.term_table(rows))
-    assert re.findall(r"Exchange hashpartitioning\((\w+)", table) == ["chunk_id"]
-
-
 def test_duplicates_are_combined_before_the_shuffle(spark):
     text = plan(od.duplicate_groups(plain.frame(spark, [plain.row(0)])))
     assert "partial_min" in text and text.count("Exchange hashpartitioning") == 1

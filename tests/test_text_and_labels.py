@@ -113,10 +113,33 @@ def test_search_matches_a_plain_scan(spark):
     for q, text, well, after in asked:
         ok = lambda c, w=well, a=after: (w is None or c["well"] == w) and (a is None or a <= c["report_date"] <= "2010-01-20")
         assert got[q] == plain_search(chunks, text, keep=ok)
-    built = osr.search_terms(osr.term_table(table), osr.corpus_totals(table), queries.where("well is null").select("query_id", "query"))
+    built = osr.search_index(osr.build_index(table), queries.where("well is null").select("query_id", "query"))
     assert [r.chunk_id for r in built.orderBy("rank").collect()] == plain_search(chunks, "Choke valve")
 
 
+def test_pruned_search_over_rare_and_common_terms(spark):
+    """Common words in most chunks, rare ones in few, and queries that mix them; ties go to the smaller id."""
+    rng = random.Random(2)
+    common, rare = [f"w{i}" for i in range(8)], [f"r{i}" for i in range(200)]
+    chunks = [{"chunk_id": f"c{i:04}", "text": " ".join(rng.choices(common, k=rng.randint(1, 12)) + rng.sample(rare, rng.randint(0, 2)))} for i in range(700)]
+    chunks += [{"chunk_id": f"d{i:04}", "text": "w0 w1 r0"} for i in range(30)] + [{"chunk_id": "e", "text": ""}]
+    table = spark.createDataFrame([tuple(c.values()) for c in chunks], "chunk_id string, text string")
+    asked = {"a": "w0 w1 w2 r5", "b": "r0 w1", "c": "w0", "d": "w3 w4 w5 w6 w7", "e": "r1 r2 r3 r4", "f": "nothing", "g": " ".join(common + rare[:20])}
+    index = osr.build_index(table)
+    got = {q: [] for q in asked}
+    for r in osr.search_index(index, spark.createDataFrame(list(asked.items()), "query_id string, query string")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.chunk_id)
+    assert got == {q: plain_search(chunks, text) for q, text in asked.items()}
+
+
+def test_term_counts_stay_in_their_row(spark):
+    table = spark.createDataFrame([("a", "b a b c b"), ("e", ""), ("n", None)], "chunk_id string, text string")
+    counts = osr.term_counts(table)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    got = {r.chunk_id: (r.length, [tuple(t) for t in r.terms or []]) for r in counts.collect()}
+    assert got["a"] == (5, [("a", 1), ("b", 3), ("c", 1)]) and got["e"] == (0, []) and got["n"][1] == []
+
+
 def test_gaps_and_overlaps_match_a_plain_union(spark):
     rng = random.Random(2)
     rows, want = [], {}
