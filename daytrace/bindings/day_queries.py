@@ -24,6 +24,13 @@ from daytrace.operators import episodes as op
 from daytrace.operators import expectation as oe
 from daytrace.operators import windows as ow
 from daytrace.plans import study
+from daytrace.session import stored
+
+
+def study_days(spark, folder) -> DataFrame:
+    """The day view as a stored table, for queries that read it several times."""
+    return stored(entity_days(spark, folder), "days")
+
 
 FIELD_LIST = ", ".join(f"CASE WHEN {d} THEN '{f}' END" for f, d in DIFFERS.items())
 
@@ -317,13 +324,13 @@ def _window_columns(windows: DataFrame) -> DataFrame:
 @query("stable_windows", f"WITH RECURSIVE {windows_sql(False)} {_WINDOW_COLUMNS}")
 def stable_windows(spark, folder) -> DataFrame:
     """Stable reference windows."""
-    return _window_columns(ow.stable_windows(entity_days(spark, folder)))
+    return _window_columns(ow.stable_windows(study_days(spark, folder)))
 
 
 @query("stable_windows_activity", f"WITH RECURSIVE {windows_sql(True)} {_WINDOW_COLUMNS}")
 def stable_windows_activity(spark, folder) -> DataFrame:
     """Windows also broken on days with recorded activity."""
-    days = entity_days(spark, folder)
+    days = study_days(spark, folder)
     return _window_columns(ow.stable_windows(days, order_activity(spark, folder)))
 
 
@@ -336,7 +343,7 @@ def stable_windows_activity(spark, folder) -> DataFrame:
 )
 def stable_windows_control(spark, folder) -> DataFrame:
     """Windows that a move of the control starts, and whether the control was tested."""
-    days = entity_days(spark, folder)
+    days = study_days(spark, folder)
     windows = ow.stable_windows(days)
     cuts = ow.control_cuts(ow.segments(days)).select("well", F.col("production_date").alias("window_start"), F.lit(True).alias("_cut"))
     found = windows.join(cuts, ["well", "window_start"], "left")
@@ -353,7 +360,7 @@ def stable_windows_control(spark, folder) -> DataFrame:
 )
 def reference_windows(spark, folder) -> DataFrame:
     """The reference window in force at the start of each month."""
-    days = entity_days(spark, folder)
+    days = study_days(spark, folder)
     asked = days.select("well", F.trunc("production_date", "month").alias("before")).distinct()
     found = ow.reference_window(ow.stable_windows(days), asked)
     return found.where("window_end is not null").select("well", day("before"), day("window_start"), day("window_end"))
@@ -409,7 +416,7 @@ fits AS (
 )
 def fitted_models(spark, folder) -> DataFrame:
     """Parameters of five models per window."""
-    days = entity_days(spark, folder)
+    days = study_days(spark, folder)
     fits = oe.fit_models(ow.window_days(days, ow.stable_windows(days)))
     return fits.select(
         "well",
@@ -462,7 +469,7 @@ STUDY_SQL = f"{windows_sql(False)}, {FITS_SQL}, {BACKTEST_SQL}"
 )
 def backtest_wape(spark, folder) -> DataFrame:
     """Pooled error per model and horizon."""
-    pooled = ob.pooled_wape(study.evaluated(entity_days(spark, folder)))
+    pooled = ob.pooled_wape(study.evaluated(study_days(spark, folder)))
     return pooled.select("model", "horizon", "rows", rounded("wape", digits=6))
 
 
@@ -476,7 +483,7 @@ def backtest_wape(spark, folder) -> DataFrame:
 )
 def relative_wape_gate(spark, folder) -> DataFrame:
     """Gain on the better baseline at every horizon."""
-    gate = ob.relative_wape_gate(study.evaluated(entity_days(spark, folder)))
+    gate = ob.relative_wape_gate(study.evaluated(study_days(spark, folder)))
     return gate.select("model", "passed", rounded("smallest_gain", digits=6))
 
 
@@ -490,7 +497,7 @@ def relative_wape_gate(spark, folder) -> DataFrame:
 )
 def lower_tail_rates(spark, folder) -> DataFrame:
     """Days below the band per model, horizon and supplier, and pooled."""
-    tail = ob.lower_tail(study.evaluated(entity_days(spark, folder)))
+    tail = ob.lower_tail(study.evaluated(study_days(spark, folder)))
     return tail.select("model", "horizon", F.coalesce("well", F.lit("POOLED")).alias("well"), "n", "k")
 
 
@@ -518,7 +525,7 @@ LOWER_TAIL_SQL = f"""per AS (
 )
 def lower_tail_gate(spark, folder) -> DataFrame:
     """Gate on the exact binomial interval."""
-    return ob.lower_tail_gate(study.evaluated(entity_days(spark, folder)))
+    return ob.lower_tail_gate(study.evaluated(study_days(spark, folder)))
 
 
 @query(
@@ -533,7 +540,7 @@ def lower_tail_gate(spark, folder) -> DataFrame:
 )
 def bias_by_well(spark, folder) -> DataFrame:
     """Mean bias per supplier and the half windows that drift."""
-    found = ob.bias(study.evaluated(entity_days(spark, folder)))
+    found = ob.bias(study.evaluated(study_days(spark, folder)))
     return found.select("model", "horizon", "well", "n", rounded("ratio", digits=6), "drifting_halves")
 
 
@@ -559,7 +566,7 @@ def bias_by_well(spark, folder) -> DataFrame:
 )
 def selected_model(spark, folder) -> DataFrame:
     """The first candidate passing all gates, else the fallback (uses the binomial interval)."""
-    return ob.select_model(study.evaluated(entity_days(spark, folder)))
+    return ob.select_model(study.evaluated(study_days(spark, folder)))
 
 
 GOVERNED_SQL = (
@@ -618,7 +625,7 @@ EPISODE_STUDY_SQL = f"{windows_sql(False)}, {FITS_SQL}, {EPISODES_SQL}"
 
 def episode_frames(spark, folder):
     """(days, windows, fits of the fallback model, episodes) of the driver's tables."""
-    days = entity_days(spark, folder)
+    days = study_days(spark, folder)
     windows, fits = study.windows_and_fits(days)
     return days, windows, fits, op.sweep(days, windows, fits)
 
@@ -674,7 +681,7 @@ def episode_ranking(spark, folder) -> DataFrame:
 )
 def day_series(spark, folder) -> DataFrame:
     """Per-day expectation, band and channels."""
-    days = entity_days(spark, folder)
+    days = study_days(spark, folder)
     windows, fits = study.windows_and_fits(days)
     return op.series(days, windows, fits).select(
         "well",

@@ -9,6 +9,7 @@ from daytrace.bindings.registry import joined, query, rounded
 from daytrace.bindings.views import table
 from daytrace.functions import text as ft
 from daytrace.operators import search as osr
+from daytrace.session import spread
 
 TOKEN = r"[a-z0-9][a-z0-9/''\-]*"
 
@@ -16,7 +17,7 @@ TOKEN = r"[a-z0-9][a-z0-9/''\-]*"
 def chunk_view(spark, folder) -> DataFrame:
     """Documents as report narrative: each belongs to a supplier, a bore and a date."""
     c = F.col
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "source")).select(
         c("doc_id").cast("string").alias("chunk_id"),
         "text",
         (c("doc_id") % 100 + 1).cast("string").alias("well"),

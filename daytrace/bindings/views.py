@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daytrace import fixed
 from daytrace.operators import days as od
+from daytrace.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def raw_days(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _line_items(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem").select(
         "l_suppkey",
         F.col("l_shipdate").cast("date").alias("day"),
         "l_orderkey",
@@ -27,6 +28,7 @@ def _line_items(spark: SparkSession, folder: str) -> DataFrame:
         "l_partkey",
         "l_quantity",
     )
+    return spread(lines)
 
 
 def _as_days(items: DataFrame, *kept: str) -> DataFrame:

@@ -19,6 +19,9 @@ DATE_CELL_DAYS = 64
 BUCKETS = 32
 #: First contenders of a query: its rarest terms up to this many postings, and of those the best; both times the hits.
 SEED_ROWS, CONTENDERS = 64, 4
+#: Terms are read only for the chunks left if together they stay under this share of the floor: a larger share reads
+#: fewer postings of common terms for all chunks, a smaller one leaves fewer chunks.
+IDLE_SHARE = 0.5
 #: Floors are lowered by more than any rounding of sums.
 SLACK = 1 - 1e-9
 
@@ -139,7 +142,7 @@ def _contenders(index: Index, weighted: DataFrame, limit: int) -> DataFrame:
     """Postings (query_id, chunk_id, length, term, tf, idf) of every chunk that can be among the best of a query.
 
     The rarest terms of a query give first contenders, whose whole scores give a floor: the score that the
-    last of the best has at least. Terms that together stay under the floor cannot bring a chunk
+    last of the best has at least. Terms that together stay well under the floor cannot bring a chunk
     in by themselves, so only the others are read for all chunks; a chunk goes on if what it has of those
     and the most that the rest could add reach the floor. Nothing that ties with the floor is lost.
     """
@@ -165,7 +168,7 @@ def _contenders(index: Index, weighted: DataFrame, limit: int) -> DataFrame:
         scored.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == limit).select("query_id", (F.col("score") * SLACK).alias("floor"))
     )
     upward = query.orderBy("impact", F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    judged = terms.join(floor, "query_id", "left").withColumn("idle", F.coalesce(F.sum("impact").over(upward) < F.col("floor"), F.lit(False)))
+    judged = terms.join(floor, "query_id", "left").withColumn("idle", F.coalesce(F.sum("impact").over(upward) < F.col("floor") * IDLE_SHARE, F.lit(False)))
     rest = F.sum(F.when(F.col("idle"), F.col("impact")).otherwise(0.0)).over(query)
     judged = checkpointed(judged.withColumn("rest", rest))
     drawn = sums(judged.where("not idle").select("query_id", "bucket", "term", "idf"))

@@ -11,8 +11,6 @@ from daytrace import fixed
 from daytrace.functions import days as fd
 from daytrace.operators.joins import asof
 
-CUT_SCHEMA = "well string, segment bigint, production_date date"
-
 
 def flag_activity(days: DataFrame, activity: DataFrame | None) -> DataFrame:
     """Mark days on which the well (all its bores) has an activity report."""
@@ -74,29 +72,30 @@ def _cut_positions(values: np.ndarray, tolerance: float) -> list[int]:
     return cuts
 
 
+@F.pandas_udf("array<int>")
+def _cuts_of(values: pd.Series, tolerance: pd.Series) -> pd.Series:
+    return pd.Series([_cut_positions(np.asarray(v, dtype=float), t) for v, t in zip(values, tolerance, strict=True)])
+
+
 def control_cuts(segmented: DataFrame, tolerance: float = fixed.CONTROL_TOLERANCE) -> DataFrame:
     """Dates that start a new part inside a segment (well, segment, production_date).
 
     Where to cut depends on medians of the pieces cut so far, so this is the one step that needs
     Python. Spark first drops every segment whose extremes are so close that no median between them
-    can fail; what is left is one segment per group, bounded by the calendar.
+    can fail; what is left is one list of readings per segment, bounded by the calendar.
     """
-    whole = Window.partitionBy("well", "segment")
-    r = control_reading()
-    low, high = F.min(r).over(whole), F.max(r).over(whole)
+    reading = F.struct("production_date", "choke_size")
+    low, high = F.min("choke_size"), F.max("choke_size")
     near = (low * high > 0) & (high - low <= tolerance * F.least(F.abs(low), F.abs(high)))
-    outside = (
-        segmented.withColumn("_near", near)
-        .where(~F.col("_near") & r.isNotNull())
-        .select("well", "segment", "production_date", "choke_size")
+    lists = (
+        segmented.where(control_reading().isNotNull())
+        .groupBy("well", "segment")
+        .agg(F.array_sort(F.collect_list(reading)).alias("_r"), near.alias("_near"))
+        .where(~F.col("_near"))
     )
-
-    def cut(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("production_date", ignore_index=True)
-        at = _cut_positions(ordered["choke_size"].to_numpy(dtype=float), tolerance)
-        return ordered.loc[at, ["well", "segment", "production_date"]]
-
-    return outside.groupBy("well", "segment").applyInPandas(cut, CUT_SCHEMA)
+    at = _cuts_of(F.transform("_r", lambda r: r["choke_size"]), F.lit(float(tolerance)))
+    cut = lists.select("well", "segment", "_r", F.explode(at).alias("_at"))
+    return cut.select("well", "segment", F.get("_r", F.col("_at"))["production_date"].alias("production_date"))
 
 
 def split_on_control(segmented: DataFrame, tolerance: float = fixed.CONTROL_TOLERANCE) -> DataFrame:
