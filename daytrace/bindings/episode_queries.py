@@ -467,10 +467,10 @@ def review_queue(spark, folder) -> DataFrame:
 @query(
     "priority_terms",
     f"""WITH RECURSIVE {QUEUE_SQL}
-    SELECT 'cumulative shortfall' AS term, count(*) AS episodes FROM queued
+    SELECT 'size of the shortfall' AS term, count(*) AS episodes FROM queued
     UNION ALL SELECT 'episode lasts 40 days or more', count(*) FILTER (WHERE long_one) FROM queued
     UNION ALL SELECT 'review is pending', count(*) FILTER (WHERE pending) FROM queued
-    UNION ALL SELECT 'no single explanation supported, and the evidence band is high or moderate', count(*) FILTER (WHERE open_case) FROM queued""",
+    UNION ALL SELECT 'one explanation is not enough, though the evidence band is high or moderate', count(*) FILTER (WHERE open_case) FROM queued""",
 )
 def priority_terms(spark, folder) -> DataFrame:
     """How often each priority term fired."""

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daytrace import fixed
 from daytrace.bindings.day_queries import SPLIT_SQL
-from daytrace.bindings.event_queries import BLOCKS_SQL, event_view
+from daytrace.bindings.event_queries import BLOCKS_SQL, LANES_SQL, event_view
 from daytrace.bindings.registry import joined, query, rounded
-from daytrace.bindings.views import DAYS_SQL, entity_days, table
+from daytrace.bindings.source_queries import BLOCK_ROWS_SQL, DOCTYPE, INCLUDE, MISNAMED, NOT_XML, TORN, report_texts
+from daytrace.bindings.views import ANY_DIFFERS, DAYS_SQL, entity_days, raw_days, table
 from daytrace.operators import audits as oa
 from daytrace.operators import days as od
 from daytrace.operators import facts as of
 from daytrace.operators import labels as ol
 from daytrace.operators import review as orv
+from daytrace.operators import sampling as os_
+from daytrace.session import shared_folder
+from daytrace.sources import reports, store
 
 # ---- label scoring over `labels` joined with `documents` --------------------------------
 
@@ -54,7 +60,7 @@ def labelled_view(spark, folder) -> DataFrame:
         .when(c("n_chars") % 3 == 1, "not_stated")
         .otherwise("hole_problem")
         .alias("echo_two"),
-        F.left("text", F.lit(30)).alias("evidence_span"),
+        F.when(c("doc_id") % 10 == 3, "a span that is nowhere").otherwise(F.left("text", F.lit(30))).alias("evidence_span"),
         c("text").alias("comment"),
     )
 
@@ -109,6 +115,34 @@ def selection_conditions(spark, folder) -> DataFrame:
     return rows.select("name", "passed", "gates", rounded("value", digits=6))
 
 
+@query(
+    "selection_rules",
+    f"""WITH {LABELLED_SQL}, long AS (
+      SELECT cause, 'candidate' AS who, candidate AS said FROM labelled UNION ALL SELECT cause, 'echo_one', echo_one FROM labelled
+      UNION ALL SELECT cause, 'echo_two', echo_two FROM labelled),
+    f AS (
+      SELECT g.who, g.cause, g.support, 2 * coalesce(h.hits, 0) / CAST(g.support + coalesce(p.claimed, 0) AS DOUBLE) AS f1
+      FROM (SELECT who, cause, count(*) AS support FROM long GROUP BY ALL) g
+      LEFT JOIN (SELECT who, said AS cause, count(*) AS claimed FROM long GROUP BY ALL) p USING (who, cause)
+      LEFT JOIN (SELECT who, cause, count(*) AS hits FROM long WHERE cause = said GROUP BY ALL) h USING (who, cause)),
+    m AS (SELECT max(f1) FILTER (WHERE who = 'candidate') AS own, max(f1) FILTER (WHERE who <> 'candidate') AS best
+      FROM (SELECT who, avg(f1) AS f1 FROM f WHERE support >= 5 GROUP BY who)),
+    x AS (
+      SELECT count(*) FILTER (WHERE cause <> 'not_stated') AS stated, count(*) FILTER (WHERE cause <> 'not_stated' AND candidate <> 'not_stated') AS covered,
+        count(*) FILTER (WHERE candidate <> 'not_stated' AND doc_id % 10 = 3) AS loose,
+        count(*) FILTER (WHERE candidate <> 'not_stated' AND candidate = cause) / CAST(count(*) FILTER (WHERE candidate <> 'not_stated') AS DOUBLE)
+          - count(*) FILTER (WHERE forced <> 'not_stated' AND forced = cause) / CAST(count(*) FILTER (WHERE forced <> 'not_stated') AS DOUBLE) AS margin
+      FROM labelled)
+    SELECT 'relative macro-F1 margin' AS name, (own - best) / best >= {fixed.RELATIVE_MARGIN} AS passed, false AS gates, round((own - best) / best, 6) AS value FROM m
+    UNION ALL SELECT 'evidence spans verbatim', loose = 0, true, CAST(loose AS DOUBLE) FROM x
+    UNION ALL SELECT 'abstention', covered / CAST(stated AS DOUBLE) >= {fixed.MIN_COVERAGE} AND margin >= {fixed.PRECISION_MARGIN}, true, round(margin, 6) FROM x""",
+)
+def selection_rules(spark, folder) -> DataFrame:
+    """The conditions that draw no samples; a tenth of the spans is in no text, so one of them fails."""
+    rows = ol.selection_conditions(spark, labelled_view(spark, folder), ("echo_one", "echo_two"))
+    return rows.where("name <> 'margin survives resampling'").select("name", "passed", "gates", rounded("value", digits=6))
+
+
 @query(
     "label_agreement",
     f"""WITH {LABELLED_SQL}
@@ -231,13 +265,21 @@ def review_states(spark, folder) -> DataFrame:
       count(*) FILTER (WHERE action = 'add_correction') OVER (PARTITION BY conv_id ORDER BY turn) AS revision FROM a)
     SELECT CAST(conv_id AS VARCHAR) AS investigation_id, turn AS recorded_at, revision,
       concat_ws(',', CASE WHEN anonymous THEN 'no_actor' END, CASE WHEN settled THEN 'already_settled' END,
-        CASE WHEN action = 'add_correction' AND coalesce(trim(note), '') = '' THEN 'correction_without_note' END) AS reasons FROM w""",
+        CASE WHEN action = 'add_correction' AND coalesce(trim(note), '') = '' THEN 'correction_without_note' END) AS reasons
+    FROM w WHERE turn >= 2""",
 )
 def review_admission(spark, folder) -> DataFrame:
-    """Which review rows would be refused, and why."""
-    new = _actions(spark, folder)
-    nothing = new.limit(0)
-    judged = orv.review_reasons(nothing, new)
+    """Which new review rows would be refused, and why; the first two turns are the log.
+
+    The log is appended in two batches and read back; an investigation may be settled by it or by an
+    earlier new row, and revisions go on from its corrections.
+    """
+    rows = _actions(spark, folder)
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    for turn in (0, 1):
+        store.append_rows(rows.where(F.col("recorded_at") == turn), path)
+    log = spark.read.schema(rows.schema).json(path)
+    judged = orv.review_reasons(log, rows.where("recorded_at >= 2"))
     return judged.select("investigation_id", "recorded_at", "revision", joined("reasons"))
 
 
@@ -372,9 +414,21 @@ def lineage_problems(spark, folder) -> DataFrame:
     return of.lineage_problems(starts, facts.where("fact_id <> 'n7'"), inputs)
 
 
-@query("facts_digest")
+def _fact_text(kind: str, metric: str, key: str) -> str:
+    return f"'={kind}|={metric}|=' || CAST(CAST({key} AS DOUBLE) AS VARCHAR) || '|=Sm3|=table|~|~|=parent|=false'"
+
+
+@query(
+    "facts_digest",
+    f"""WITH r AS (SELECT r_regionkey AS k, sha256({_fact_text("measured", "r", "r_regionkey")}) AS c FROM region),
+    n AS (SELECT n_nationkey AS k, sha256({_fact_text("derived", "n", "n_nationkey")} || '|' || r.c) AS c FROM nation JOIN r ON r.k = n_regionkey),
+    u AS (SELECT c_custkey AS k, sha256({_fact_text("derived", "c", "c_custkey")} || '|' || n.c) AS c FROM customer JOIN n ON n.k = c_nationkey),
+    o AS (SELECT o_orderkey AS k, sha256({_fact_text("derived", "o", "o_orderkey")} || '|' || u.c) AS c FROM orders JOIN u ON u.k = o_custkey),
+    every AS (SELECT c FROM r UNION ALL SELECT c FROM n UNION ALL SELECT c FROM u UNION ALL SELECT c FROM o)
+    SELECT count(*) AS rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {LANES_SQL})) AS content_hash FROM (SELECT sha256(c) AS h FROM every)""",
+)
 def facts_digest(spark, folder) -> DataFrame:
-    """Digest of the facts, independent of their ids (hashes of nested text; tests check it)."""
+    """Digest of the facts, independent of their ids; each hash holds those of the inputs."""
     return of.digest(*_chain(spark, folder))
 
 
@@ -435,20 +489,27 @@ def leakage_audit(spark, folder) -> DataFrame:
     return found.select("check", "examined", "problems")
 
 
-@query(
-    "correction_admission",
-    f"""WITH {BLOCKS_SQL}, m AS (SELECT *, CAST(s // 60000000 % 60 AS INTEGER) AS n FROM lost)
-    SELECT event_id, concat_ws(',', CASE WHEN n % 5 = 0 THEN 'well_mismatch' END, 'hold_out_well',
-      CASE WHEN n % 3 = 0 THEN 'stale_old_value' END, CASE WHEN n % 4 = 0 THEN 'hold_out_text' END) AS reasons FROM m""",
-)
-def correction_admission(spark, folder) -> DataFrame:
-    """Why each correction would be refused (user numbers are no known well, so the
-    hold-out test fails closed)."""
-    events = event_view(spark, folder)
-    n = F.minute("start_time")
+# Wells of the lost-time events, by user: a held-out one, two of development, and a name nobody can place.
+_WELL = """CASE CAST(well AS BIGINT) % 40 % 7 WHEN 0 THEN '15/9-F-4' WHEN 1 THEN 'rig of user ' || well WHEN 2 THEN '15/9-F-12' ELSE '15/9-F-14' END"""
+CORRECTIONS_SQL = f"""{BLOCKS_SQL}, m AS (
+  SELECT *, CAST(s // 60000000 % 60 AS INTEGER) AS n, CAST(well AS BIGINT) AS u, {_WELL} AS named FROM lost),
+corrections AS (
+  SELECT event_id, u, n, 'batch ' || (u % 40) AS batch, concat_ws(',', CASE WHEN n % 5 = 0 AND u % 40 >= 20 THEN 'well_mismatch' END,
+    CASE WHEN u % 40 % 7 < 2 THEN 'hold_out_well' END, CASE WHEN n % 3 = 0 AND u % 40 >= 20 THEN 'stale_old_value' END,
+    CASE WHEN n % 4 = 0 AND u % 40 >= 20 THEN 'hold_out_text' END) AS reasons FROM m)"""
+
+
+def _corrections(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """(events, corrections in batches): in half of the batches only a well can be wrong."""
+    user = F.col("well").cast("bigint")
+    kind = user % 40 % 7
+    named = F.when(kind == 0, "15/9-F-4").when(kind == 1, F.concat(F.lit("rig of user "), "well")).when(kind == 2, "15/9-F-12").otherwise("15/9-F-14")
+    events = event_view(spark, folder).withColumns({"user": user, "well": named})
+    n = F.when(F.col("user") % 40 >= 20, F.minute("start_time")).otherwise(1)
     corrections = events.select(
+        F.concat(F.lit("batch "), (F.col("user") % 40).cast("string")).alias("batch"),
         "event_id",
-        F.when(n % 5 == 0, "elsewhere").otherwise(F.col("well")).alias("well"),
+        F.when(n % 5 == 0, "15/9-F-11").otherwise(F.col("well")).alias("well"),
         F.lit("category").alias("field"),
         F.when(n % 3 == 0, "something else").otherwise(F.col("activity_code")).alias("old_value"),
         F.lit("drilling -- trip").alias("new_value"),
@@ -457,9 +518,69 @@ def correction_admission(spark, folder) -> DataFrame:
         F.lit("extractor-v0").alias("extractor_version"),
         F.when(n % 4 == 0, "as in report 15_9_F_4 of that day").alias("note"),
     )
+    return events.drop("user"), corrections
+
+
+@query("correction_admission", f"WITH {CORRECTIONS_SQL} SELECT event_id, reasons FROM corrections")
+def correction_admission(spark, folder) -> DataFrame:
+    """Why each correction would be refused; a name that cannot be placed fails closed."""
+    events, corrections = _corrections(spark, folder)
     return orv.correction_reasons(corrections, events).select("event_id", joined("reasons"))
 
 
+@query(
+    "correction_batches",
+    f"""WITH {CORRECTIONS_SQL}
+    SELECT batch, count(*) AS rows, count(*) FILTER (WHERE reasons <> '') AS refused_rows, count(*) FILTER (WHERE reasons <> '') = 0 AS admitted
+    FROM corrections GROUP BY batch""",
+)
+def correction_batches(spark, folder) -> DataFrame:
+    """Batches are admitted whole or refused whole."""
+    events, corrections = _corrections(spark, folder)
+    return orv.batch_outcomes(corrections, events).select("batch", "rows", "refused_rows", "admitted")
+
+
+@query(
+    "corrections_stored",
+    f"""WITH {CORRECTIONS_SQL}
+    SELECT event_id, batch FROM corrections WHERE batch IN (SELECT batch FROM corrections GROUP BY batch HAVING count(*) FILTER (WHERE reasons <> '') = 0)""",
+)
+def corrections_stored(spark, folder) -> DataFrame:
+    """The rows of the admitted batches, as one version of a store gives them back."""
+    events, corrections = _corrections(spark, folder)
+    kept = store.VersionedStore(spark, f"{shared_folder(spark)}/corrections-{uuid.uuid4().hex}")
+    kept.write(orv.admitted_batches(corrections, events), "corrections-v1")
+    return kept.read("corrections-v1").select("event_id", "batch")
+
+
+@query(
+    "unplaced_labels",
+    f"WITH {BLOCKS_SQL} SELECT DISTINCT event_id || '_lost' AS event_id FROM lost WHERE CAST(well AS BIGINT) % 6 = 0",
+)
+def unplaced_labels(spark, folder) -> DataFrame:
+    """Labelled ids that no event has; each is labelled twice."""
+    events = event_view(spark, folder)
+    lost = F.when(F.col("well").cast("bigint") % 6 == 0, F.concat("event_id", F.lit("_lost"))).otherwise(F.col("event_id"))
+    labels = events.select(lost.alias("event_id"))
+    return os_.unplaced_labels(labels.unionAll(labels), events)
+
+
+@query(
+    "fitted_union",
+    f"""WITH {DAYS_SQL}, {SPLIT_SQL}, runs AS (
+      SELECT well, production_date FROM days WHERE day_class = 'valid_producing' AND CAST(well AS BIGINT) % 3 <> 0
+      UNION SELECT well, production_date FROM days WHERE day_class = 'valid_producing' AND choke_size = 60)
+    SELECT 'fitted_day_outside_development' AS "check", count(*) AS examined,
+      count(*) FILTER (WHERE production_date >= (SELECT development_end FROM split)) AS problems FROM runs""",
+)
+def fitted_union(spark, folder) -> DataFrame:
+    """The dates that two runs were fitted on, each once, against the end of development."""
+    days = entity_days(spark, folder)
+    valid = days.where("day_class = 'valid_producing'")
+    runs = oa.fitted_dates(valid.where(F.col("well").cast("bigint") % 3 != 0), valid.where("choke_size = 60"))
+    return oa.fitted_outside_development(runs, od.derive_split(days)).select("check", "examined", "problems")
+
+
 @query(
     "usable_corrections",
     """SELECT o_orderkey FROM (SELECT o_orderkey, o_orderkey % 4 AS v FROM orders) WHERE v IN (0, 1)""",
@@ -492,16 +613,31 @@ def proposed_corrections(spark, folder) -> DataFrame:
 
 @query(
     "data_quality_set",
-    f"""WITH {DAYS_SQL}
+    f"""WITH {DAYS_SQL}, {SPLIT_SQL}, {BLOCK_ROWS_SQL},
+    groups AS (SELECT {ANY_DIFFERS} AS differs FROM raw_days GROUP BY well, production_date),
+    wells AS (SELECT DISTINCT CASE WHEN CAST(well AS BIGINT) % 2 = 0 THEN '15/9-F-' || well ELSE well END AS well FROM days),
+    refused AS (SELECT DISTINCT named, fault FROM f WHERE fault IN ({DOCTYPE}, {TORN}, {MISNAMED}, {INCLUDE}, {NOT_XML}))
     SELECT 'zero_is_not_a_reading' AS "check", count(*) AS examined, count(*) FILTER (WHERE downhole_pressure_bar = 0) AS problems FROM days
-    UNION ALL SELECT 'dates_present', count(*), 0 FROM days
-    UNION ALL SELECT 'names_resolve', count(DISTINCT well), count(DISTINCT well) FROM days
+    UNION ALL SELECT 'dates_present', count(*), count(*) FILTER (WHERE on_stream_hours = 3) FROM days
+    UNION ALL SELECT 'names_resolve', count(*), count(*) FILTER (WHERE NOT starts_with(well, '15/9')) FROM wells
     UNION ALL SELECT 'units_convert', count(*), count(*) FILTER (WHERE l_returnflag = 'R') FROM lineitem
-    UNION ALL SELECT 'duplicates_agree', count(*), 0 FROM days""",
+    UNION ALL SELECT 'duplicates_agree', count(*), count(*) FILTER (WHERE differs) FROM groups
+    UNION ALL SELECT 'parse_failures_kept', count(*), count(*) FILTER (WHERE fault = {NOT_XML}) FROM refused
+    UNION ALL SELECT 'fitted_day_outside_development', count(*), count(*) FILTER (
+      WHERE production_date >= (SELECT development_end FROM split)) FROM days WHERE day_class = 'valid_producing'""",
 )
 def data_quality_set(spark, folder) -> DataFrame:
-    """Q14: the data-quality checks as one frame of counts."""
+    """Q14: names, sentinel zeros, duplicates of the raw rows, dates, units, refused files and leakage, each with faults.
+
+    Half of the names are plain numbers, days of three hours lose their date, and one kind of refusal its reason.
+    """
     days = entity_days(spark, folder)
+    half = F.when(F.col("well").cast("bigint") % 2 == 0, F.concat(F.lit("15/9-F-"), "well")).otherwise(F.col("well"))
+    dated = F.when(~F.coalesce(F.col("on_stream_hours") == 3, F.lit(False)), F.col("production_date"))
     unit = F.when(F.col("l_returnflag") == "R", "barrelful").otherwise("m3")
     volumes = table(spark, folder, "lineitem").select(unit.alias("unit"), F.lit("liquid").alias("fluid"))
-    return oa.data_quality_set(days, days, volumes, None).select("check", "examined", "problems")
+    refused = reports.refused(reports.judge(report_texts(spark, folder)))
+    refused = refused.withColumn("reason", F.when(~F.endswith("source", F.lit(".txt")), F.col("reason")))
+    leaked = oa.fitted_outside_development(days.where("day_class = 'valid_producing'"), od.derive_split(days))
+    checks = oa.data_quality_set(days.withColumns({"well": half, "production_date": dated}), raw_days(spark, folder), volumes, refused)
+    return oa.all_outcomes(checks, leaked).select("check", "examined", "problems")

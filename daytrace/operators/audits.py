@@ -46,6 +46,14 @@ def labels_after_boundary(labelled: DataFrame, boundary: str = fixed.SPLIT_BOUND
     return outcome(labelled, "labelled_report_after_the_boundary", late)
 
 
+def fitted_dates(*runs: DataFrame) -> DataFrame:
+    """The dates that any of several runs was fitted on, each well and date once."""
+    every = runs[0].select("well", "production_date")
+    for run in runs[1:]:
+        every = every.unionByName(run.select("well", "production_date"))
+    return every.distinct()
+
+
 def fitted_outside_development(fitted: DataFrame, split: DataFrame) -> DataFrame:
     """Fitted dates at or after the end of development; no dates at all is a problem itself."""
     end = split.select("development_end").scalar()

@@ -10,13 +10,42 @@ from pyspark.sql import functions as F
 from daytrace.operators.events import HOUR_MICROS, hours_between, is_non_productive
 
 TOLERANCE_HOURS = 0.01
+#: Starts that are ordered together, about; a time slice with more is cut again.
+CELL_ROWS = 50_000
 
 
-def span_coverage(spans: DataFrame, key: Sequence[str], slice_seconds: int = 3600) -> DataFrame:
+def _cells(starts: DataFrame, keys: Sequence[str], slice_seconds: int, rows: int) -> DataFrame:
+    """`starts` (key, s, ...) with `cell`, an ordered pair of numbers: the time slice and a part of it.
+
+    A slice that holds more than `rows` distinct starts of its key is cut at their approximate quantiles, so
+    a busy moment of a key is ordered in several tasks however narrow it is.
+    """
+    sliced = starts.withColumn("_slice", F.floor(F.col("s") / F.lit(slice_seconds * 1_000_000)))
+    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = counts.where(F.col("_n") > rows).withColumn("_parts", F.ceil(F.col("_n") / rows))
+    grain = 1000
+    held = sliced.join(crowded.drop("_n"), [*keys, "_slice"], "left_semi")
+    marks = held.groupBy(*keys, "_slice").agg(F.percentile_approx("s", [k / grain for k in range(1, grain)], 10 * grain).alias("_marks"))
+    # As many of the marks as the slice needs parts, evenly chosen.
+    cuts = crowded.join(marks, [*keys, "_slice"]).select(
+        *keys,
+        "_slice",
+        F.array_distinct(
+            F.transform(
+                F.sequence(F.lit(1), F.least(F.col("_parts"), F.lit(grain)).cast("int") - 1),
+                lambda k: F.get("_marks", F.floor(k * (grain - 1) / F.least(F.col("_parts"), F.lit(grain))).cast("int")),
+            )
+        ).alias("_cuts"),
+    )
+    part = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("s"))))
+    return sliced.join(cuts, [*keys, "_slice"], "left").withColumn("cell", F.struct(F.col("_slice").alias("slice"), part.alias("part"))).drop("_slice", "_cuts")
+
+
+def span_coverage(spans: DataFrame, key: Sequence[str], slice_seconds: int = 3600, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Hours of gap between merged spans and of concurrent overlap, per key.
 
     Works in two levels so that no task ever holds a whole key: spans sharing a start are first
-    combined, each key is cut into time slices, the latest end of every earlier slice is carried
+    combined, each key is cut into time slices and crowded slices again, the latest end of every earlier slice is carried
     in, and only the rows of one slice are ordered together.
 
     A span that ends before it starts counts as it is written (and is flagged for review at
@@ -34,7 +63,7 @@ def span_coverage(spans: DataFrame, key: Sequence[str], slice_seconds: int = 360
         F.coalesce(F.min(back), F.lit(0)).alias("least_back"),
         F.count_if(F.col("t") >= F.col("s")).alias("forward"),
     )
-    cells = starts.withColumn("cell", F.floor(F.col("s") / F.lit(slice_seconds * 1_000_000)))
+    cells = _cells(starts, keys, slice_seconds, cell_rows)
     before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         cells.groupBy(*keys, "cell")

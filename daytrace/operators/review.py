@@ -74,6 +74,23 @@ def admit_corrections(corrections: DataFrame, events: DataFrame) -> DataFrame:
     return corrections.withColumn("event_id", allowed)
 
 
+def batch_outcomes(corrections: DataFrame, events: DataFrame) -> DataFrame:
+    """Per batch: rows, refused_rows, the first refusal, and whether it is admitted; one bad row refuses all."""
+    judged = correction_reasons(corrections, events)
+    bad = F.size("reasons") > 0
+    return judged.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(bad).alias("refused_rows"),
+        F.min(F.when(bad, F.concat_ws(": ", "event_id", F.get("reasons", F.lit(0))))).alias("first_refusal"),
+    ).withColumn("admitted", F.col("refused_rows") == 0)
+
+
+def admitted_batches(corrections: DataFrame, events: DataFrame) -> DataFrame:
+    """The corrections of the batches without a refused row; the others leave nothing behind."""
+    refused = correction_reasons(corrections, events).where(F.size("reasons") > 0).select("batch").distinct()
+    return corrections.join(refused, "batch", "left_anti")
+
+
 def usable_corrections(corrections: DataFrame, extractor_version: str | Column) -> DataFrame:
     """Corrections made against an earlier version; an unreadable version is withheld."""
     asking = extractor_version if isinstance(extractor_version, Column) else F.lit(extractor_version)

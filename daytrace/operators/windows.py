@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daytrace import fixed
 from daytrace.functions import days as fd
@@ -72,7 +73,7 @@ def _cut_positions(values: np.ndarray, tolerance: float) -> list[int]:
     return cuts
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _cuts_of(values: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series([_cut_positions(np.asarray(v, dtype=float), t) for v, t in zip(values, tolerance, strict=True)])
 

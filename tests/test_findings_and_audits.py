@@ -258,7 +258,7 @@ def test_queue_priority_terms_and_figures(spark, done):
     assert oa.priority_as_printed(queued).first().passed
     assert not oa.priority_as_printed(queued.withColumn("score", F.col("score") + 1)).first().passed
     counts = {r.term: r.episodes for r in orv.term_counts(queued).collect()}
-    assert len(counts) == 4 and counts["cumulative shortfall"] == 2 and counts["review is pending"] == 1
+    assert len(counts) == 4 and counts["size of the shortfall"] == 2 and counts["review is pending"] == 1
     figures = orv.queue_kpis(queued).first()
     assert (figures.open_investigations, figures.awaiting_review, figures.reviews_recorded) == (2, 2, 1)
     cells = {(r.well, r.hypothesis_id, r.family): r.cell for r in orv.matrix_cells(result.hypotheses, result.passes).collect()}

@@ -55,6 +55,9 @@ def test_one_key_holding_most_rows_gives_the_same_totals(spark):
         (F.lit(base) + F.make_dt_interval(mins=(F.col("id") % 4000 * 7).cast("int"))).alias("start_time"),
     ).withColumn("end_time", F.col("start_time") + F.expr("interval 5 minutes"))
     got = {r.key: r for r in ort.span_coverage(rows, ["key"]).where("key = 'hot'").collect()}["hot"]
+    for crowd in (500, 7):
+        again = ort.span_coverage(rows, ["key"], slice_seconds=10**7, cell_rows=crowd).where("key = 'hot'").first()
+        assert (again.gap_hours, again.overlap_hours) == (pytest.approx(got.gap_hours), pytest.approx(got.overlap_hours))
     starts = sorted({(i % 4000) * 7 for i in range(20000) if i % 10 < 9})
     gaps = sum(max(0, b - a - 5) for a, b in zip(starts, starts[1:], strict=False)) / 60
     n = sum(i % 10 < 9 for i in range(20000))
@@ -64,3 +67,9 @@ def test_one_key_holding_most_rows_gives_the_same_totals(spark):
 
 def test_size_check_stops_at_its_bound(spark):
     assert joins.within(spark.range(10), 10) and not joins.within(spark.range(10**9), 10)
+
+
+def test_a_crowded_slice_is_cut_into_parts_of_about_the_same_size(spark):
+    starts = spark.range(30000).select(F.lit("k").alias("key"), (F.col("id") % 29999 * 3).alias("s"))
+    cells = ort._cells(starts, ["key"], 10**9, 1000).groupBy("cell").count().collect()
+    assert 25 <= len(cells) <= 31 and max(r["count"] for r in cells) < 2000
