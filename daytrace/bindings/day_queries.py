@@ -659,13 +659,30 @@ def episodes(spark, folder) -> DataFrame:
 @query(
     "episode_ranking",
     f"""WITH RECURSIVE {EPISODE_STUDY_SQL}
-    SELECT well, count(*) AS episodes, round(sum(shortfall), 3) AS shortfall FROM episodes GROUP BY well""",
+    SELECT well, CAST(onset AS VARCHAR) AS onset, round(shortfall, 3) AS shortfall,
+      row_number() OVER (ORDER BY shortfall DESC, well, onset) AS place FROM episodes""",
 )
 def episode_ranking(spark, folder) -> DataFrame:
-    """Episodes and their cost per supplier."""
+    """Episodes, most costly first, each with its place."""
     ranked = op.ranked(episode_frames(spark, folder)[3])
-    return ranked.groupBy("well").agg(
-        F.count(F.lit(1)).alias("episodes"), rounded(F.sum("cumulative_rate_shortfall_sm3"), "shortfall", 3)
+    return ranked.select("well", day("onset"), rounded("cumulative_rate_shortfall_sm3", "shortfall", 3), "place")
+
+
+@query(
+    "episode_lookup",
+    f"""WITH RECURSIVE {EPISODE_STUDY_SQL}, asked AS (
+      SELECT well, onset FROM episodes UNION SELECT well, CAST(onset + 1 AS DATE) FROM episodes UNION SELECT 'nobody', min(onset) FROM episodes)
+    SELECT a.well, CAST(a.onset AS VARCHAR) AS onset, e.well IS NOT NULL AS found, round(shortfall, 3) AS shortfall,
+      CAST("offset" AS VARCHAR) AS offset_day
+    FROM asked a LEFT JOIN episodes e ON e.well = a.well AND e.onset = a.onset""",
+)
+def episode_lookup(spark, folder) -> DataFrame:
+    """Single episodes by well and onset; the day after an onset and an unknown well have none."""
+    found = stored(episode_frames(spark, folder)[3], "episodes")
+    asked = found.select("well", "onset").unionByName(found.select("well", F.date_add("onset", 1).alias("onset")))
+    asked = asked.unionByName(found.agg(F.lit("nobody").alias("well"), F.min("onset").alias("onset")))
+    return op.lookup(found, asked).select(
+        "well", day("onset"), "found", rounded("cumulative_rate_shortfall_sm3", "shortfall", 3), day("offset", "offset_day")
     )
 
 

@@ -9,6 +9,7 @@ from daytrace import fixed
 from daytrace.functions import days as fd
 from daytrace.functions import predict as fp
 from daytrace.operators.joins import asof
+from daytrace.session import stored
 
 GOVERNED = ["well", "window_start", "window_end"]
 
@@ -161,10 +162,29 @@ def series(days: DataFrame, windows: DataFrame, fits: DataFrame) -> DataFrame:
 
 
 def ranked(episodes: DataFrame, well: str | None = None) -> DataFrame:
-    """Episodes, most costly first."""
-    chosen = episodes if well is None else episodes.where(F.col("well") == well)
-    return chosen.orderBy(F.desc("cumulative_rate_shortfall_sm3"), "well", "onset")
+    """Episodes, most costly first, with their place among all of them (`place`, from 1).
+
+    The order is made by a range sort; places follow from counts of the ranges, so no task holds all episodes.
+    """
+    order = [F.desc("cumulative_rate_shortfall_sm3"), F.col("well"), F.col("onset")]
+    sorted_ = stored(episodes.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    counts = sorted_.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    shifts = counts.select("_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    placed = sorted_.join(shifts, part == F.col("_part")).withColumn("place", F.col("_at") + F.col("_shift"))
+    chosen = placed if well is None else placed.where(F.col("well") == well)
+    return chosen.drop("_at", "_part", "_shift").orderBy("place")
 
 
 def one(episodes: DataFrame, well: str, onset) -> DataFrame:
+    """The episode of a well that starts on a date; no row where there is none."""
     return episodes.where((F.col("well") == well) & (F.col("onset") == F.lit(onset)))
+
+
+def lookup(episodes: DataFrame, requests: DataFrame) -> DataFrame:
+    """Each request (well, onset) with `found`: whether there is such an episode, and its figures."""
+    asked = requests.select("well", "onset").distinct()
+    return asked.join(episodes.withColumn("_there", F.lit(True)), ["well", "onset"], "left").withColumn(
+        "found", F.coalesce("_there", F.lit(False))
+    ).drop("_there")

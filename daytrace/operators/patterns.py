@@ -39,10 +39,10 @@ def register(
     """One row per (subcategory, detail state), recurring or not, with its longest event.
 
     Grouped per well first: a pattern holding a third of all events reaches its final group as
-    one row per well.
+    one row per well. Only numbers and dates are grouped; the event to cite is fetched afterwards, among
+    those as long as the longest of their pattern, so no text goes through the groups.
     """
     rows = _flagged(_flagged(_in_scope(events, wells), labelled, "_labelled"), miscoded, "_miscoded")
-    longest = F.max(F.struct("duration_hours", "event_id", *[c for c in OCCURRENCE if c not in ("duration_hours", "event_id")]))
     per_well = rows.groupBy(*PATTERN, "well").agg(
         F.count(F.lit(1)).alias("events"),
         F.sum("duration_hours").alias("hours"),
@@ -50,7 +50,7 @@ def register(
         F.max("report_date").alias("last_seen"),
         F.count_if("_labelled").alias("labelled"),
         F.count_if("_miscoded").alias("miscoded"),
-        longest.alias("longest"),
+        F.max("duration_hours").alias("longest"),
     )
     grouped = per_well.groupBy(*PATTERN).agg(
         F.count(F.lit(1)).alias("wells"),
@@ -58,10 +58,19 @@ def register(
         F.sum("hours").alias("total_hours"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
-        F.max("longest").alias("r"),
+        F.max("longest").alias("longest"),
         F.sum("labelled").alias("labelled_events"),
         F.sum("miscoded").alias("miscoded_events"),
     )
+    most = grouped.select(*[F.col(c).alias(f"_{c}") for c in PATTERN], F.col("longest").alias("_longest"))
+    same = F.lit(True)
+    for c in PATTERN:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    ends = rows.join(most, same & F.col("duration_hours").eqNullSafe(F.col("_longest")))
+    cited = ends.groupBy(*[f"_{c}" for c in PATTERN]).agg(
+        F.max(F.struct("event_id", *[c for c in OCCURRENCE if c != "event_id"])).alias("r")
+    )
+    grouped = grouped.join(cited, same).drop(*[f"_{c}" for c in PATTERN])
     recurring = (F.col("wells") >= fixed.PATTERN_MIN_WELLS) & (F.col("total_hours") >= fixed.PATTERN_MIN_HOURS)
     zero = F.lit(0.0)
     return grouped.select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daytrace.bindings import views
 from daytrace.operators import days as od
 from daytrace.operators import joins
+from daytrace.operators import patterns as opt
 from daytrace.operators import recorded_time as ort
 from daytrace.operators import sampling as os_
 from daytrace.operators import search as osr
@@ -73,3 +74,12 @@ def test_a_crowded_slice_is_cut_into_parts_of_about_the_same_size(spark):
     starts = spark.range(30000).select(F.lit("k").alias("key"), (F.col("id") % 29999 * 3).alias("s"))
     cells = ort._cells(starts, ["key"], 10**9, 1000).groupBy("cell").count().collect()
     assert 25 <= len(cells) <= 31 and max(r["count"] for r in cells) < 2000
+
+
+def test_no_text_goes_through_the_groups_of_the_register(spark):
+    events = spark.createDataFrame([], "event_id string, well string, source_document string, report_date date, duration_hours double, comment string, subcategory string, state_detail string")
+    made = opt.register(events)
+    text = plan(made)
+    grouped = [line for line in text.splitlines() if "HashAggregate" in line and "sum(duration_hours" in line]
+    assert grouped and not any("comment" in line for line in grouped)
+    assert len(re.findall(r"SortAggregate\(key=\[_subcategory", text)) == text.count("SortAggregate")
