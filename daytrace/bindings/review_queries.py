@@ -437,12 +437,20 @@ def facts_digest(spark, folder) -> DataFrame:
 
 @query(
     "metric_leaves",
-    r"""SELECT CAST(event_id AS VARCHAR) AS manifest, 'k' AS key, regexp_extract(props, '(\d+)', 1) AS value, true AS is_number FROM events""",
+    r"""WITH e AS (SELECT CAST(event_id AS VARCHAR) AS manifest, regexp_extract(props, '(\d+)', 1) AS k, event_type, event_id FROM events)
+    SELECT manifest, 'k' AS key, k AS value, true AS is_number FROM e
+    UNION ALL SELECT manifest, 'run.name', event_type || ' {[" of ' || k, false FROM e WHERE event_id % 3 = 0
+    UNION ALL SELECT manifest, 'run.parts.' || i || '.size', CAST(i * event_id AS VARCHAR), true FROM e, (SELECT unnest([0, 1]) AS i) WHERE event_id % 6 = 0""",
 )
 def metric_leaves(spark, folder) -> DataFrame:
-    """Q10: JSON documents as (key, value) leaves."""
-    docs = table(spark, folder, "events").select(F.col("event_id").cast("string").alias("manifest"), F.col("props").alias("json"))
-    return oa.json_leaves(docs)
+    """Q10: JSON documents as (key, value) leaves; a third is nested, a sixth down to four levels."""
+    n, k = F.col("event_id"), F.regexp_extract("props", r"(\d+)", 1)
+    parts = F.array(*[F.struct((n * i).alias("size")) for i in (0, 1)])
+    name = F.concat("event_type", F.lit(' {[" of '), k)
+    run = F.when(n % 6 == 0, F.to_json(F.struct(name.alias("name"), parts.alias("parts")))).otherwise(F.to_json(F.struct(name.alias("name"))))
+    whole = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "run": '), run, F.lit("}"))
+    text = F.when(n % 3 == 0, whole).otherwise(F.col("props"))
+    return oa.json_leaves(table(spark, folder, "events").select(n.cast("string").alias("manifest"), text.alias("json")))
 
 
 @query(

@@ -468,15 +468,30 @@ def stop_matches_steps(findings: DataFrame, steps: DataFrame) -> DataFrame:
 # ---- metric coverage --------------------------------------------------------------------
 
 
+def json_depth(text: Column) -> Column:
+    """How many objects and arrays of a JSON text lie inside each other at most; brackets in strings do not count."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    step = lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    walked = F.aggregate(
+        F.split(bare, ""),
+        start,
+        lambda s, c: F.struct((s["now"] + step(c)).alias("now"), F.greatest(s["most"], s["now"] + step(c)).alias("most")),
+    )
+    return walked["most"]
+
+
 def json_leaves(manifests: DataFrame) -> DataFrame:
     """Long form of JSON documents: (manifest, key, value text, is_number), keys joined by dots.
 
-    `manifests` holds (manifest, json). One pass per level of nesting.
+    `manifests` holds (manifest, json). The greatest depth of nesting is read first, as one number; the
+    plan then opens as many levels and needs no job for any of them.
     """
     spark = manifests.sparkSession
+    depth = manifests.agg(F.max(json_depth(F.col("json")))).first()[0] or 0
     level = manifests.select("manifest", F.lit("").alias("key"), F.parse_json("json").alias("v"))
     out = None
-    while True:
+    for below in range(depth, -1, -1):
         kind = F.schema_of_variant("v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
         leaves = level.where(~nested).select(
@@ -486,10 +501,9 @@ def json_leaves(manifests: DataFrame) -> DataFrame:
             kind.rlike("^(BIGINT|DOUBLE|DECIMAL|BOOLEAN|FLOAT)").alias("is_number"),
         )
         out = leaves if out is None else out.unionByName(leaves)
-        deeper = level.where(nested)
-        if deeper.isEmpty():
-            return out
-        entries = deeper.lateralJoin(
+        if not below:
+            break
+        entries = level.where(nested).lateralJoin(
             spark.tvf.variant_explode(F.col("v").outer()).withColumnsRenamed({"key": "_key", "value": "_value"})
         )
         name = F.coalesce("_key", F.col("pos").cast("string"))
@@ -498,6 +512,7 @@ def json_leaves(manifests: DataFrame) -> DataFrame:
             F.when(F.col("key") == "", name).otherwise(F.concat_ws(".", "key", name)).alias("key"),
             F.col("_value").alias("v"),
         )
+    return out
 
 
 def fill_metrics(rows: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import statistics
 
 import plain
 import pytest
@@ -341,3 +342,44 @@ def test_data_quality_set_counts(spark):
     assert got["names_resolve"] == (2, 1) and got["zero_is_not_a_reading"] == (3, 1)
     assert got["duplicates_agree"] == (2, 1) and got["units_convert"] == (2, 1)
     assert random.Random(0)
+
+
+def plain_offsets(episodes, days, fields):
+    """Offsets by plain loops; days: {well: [(n, rate or None)]} in order, fields: {well: field}."""
+    out = {}
+    for well, a, z in episodes:
+        changes = []
+        others = [w for w in fields if fields[w] == fields[well] and w != well]
+        for w in others:
+            rows = days[w]
+            inside = [i for i, (n, _) in enumerate(rows) if a <= n <= z]
+            during = [rows[i][1] for i in inside if rows[i][1] is not None]
+            if not during or inside[0] < fixed.MIN_CHANNEL_READINGS:
+                continue
+            before = [q for _, q in rows[max(0, inside[0] - fixed.BASELINE_ROWS) : inside[0]] if q is not None]
+            if before and statistics.median(before) > 0:
+                changes.append((statistics.median(during) - statistics.median(before)) / statistics.median(before))
+        down = sum(c <= fixed.OFFSET_DOWN for c in changes)
+        wide = bool(others) and down >= max(1, len(others) // 2)
+        out[well, a, z] = (len(others), len(changes), down, statistics.median(changes) if changes else None, wide)
+    return out
+
+
+def test_offsets_against_plain_loops(spark):
+    draw = random.Random(8)
+    fields = {f"w{i}": "north" if i < 7 else "south" if i < 9 else "alone" for i in range(10)}
+    days = {w: [(n, draw.choice([None, 0.0, 50.0, 80.0, 100.0, 120.0])) for n in range(draw.choice([0, 4, 90]), 160) if draw.random() < 0.8] for w in fields}
+    days["w6"] = [(n, q) for n, q in days["w6"] if n > 130]
+    spans = [(100, 120), (100, 120), (60, 75), (140, 158), (3, 9)]
+    episodes = [(w, *draw.choice(spans)) for w in ("w0", "w0", "w1", "w2", "w3", "w7", "w8", "w9")] + [("w4", 100, 120), ("w5", 100, 120)]
+    episodes = sorted(set(episodes))
+    rows = [(w, fields[w], day(n), q) for w, held in days.items() for n, q in held]
+    table = spark.createDataFrame(rows, "well string, field string, production_date date, q_24h double")
+    asked = spark.createDataFrame([(w, day(a), day(z)) for w, a, z in episodes], "well string, onset date, offset date")
+    want = plain_offsets(episodes, days, fields)
+    got = og.offsets(asked, table, "field").collect()
+    assert len(got) == len(want)
+    for r in got:
+        others, compared, down, middle, wide = want[r.well, (r.onset - START).days, (r.offset - START).days]
+        assert (r.other_wells, r.wells_compared, r.wells_also_down, r.field_wide) == (others, compared, down, wide)
+        assert (r.median_rate_change is None) == (middle is None) and (middle is None or r.median_rate_change == pytest.approx(middle))
