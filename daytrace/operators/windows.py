@@ -78,41 +78,29 @@ def _cuts_of(values: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series([_cut_positions(np.asarray(v, dtype=float), t) for v, t in zip(values, tolerance, strict=True)])
 
 
-def control_cuts(segmented: DataFrame, tolerance: float = fixed.CONTROL_TOLERANCE) -> DataFrame:
-    """Dates that start a new part inside a segment (well, segment, production_date).
+def _segment_lists(segmented: DataFrame) -> DataFrame:
+    """Per segment its days in order, with what windows need of them; at most one entry per calendar day."""
+    entry = F.struct("production_date", fd.is_valid().alias("valid"), control_reading().alias("control"))
+    return segmented.groupBy("well", "segment").agg(F.array_sort(F.collect_list(entry)).alias("_days"))
 
-    Where to cut depends on medians of the pieces cut so far, so this is the one step that needs
-    Python. Spark first drops every segment whose extremes are so close that no median between them
-    can fail; what is left is one list of readings per segment, bounded by the calendar.
-    """
-    reading = F.struct("production_date", "choke_size")
-    low, high = F.min("choke_size"), F.max("choke_size")
-    near = (low * high > 0) & (high - low <= tolerance * F.least(F.abs(low), F.abs(high)))
-    lists = (
-        segmented.where(control_reading().isNotNull())
-        .groupBy("well", "segment")
-        .agg(F.array_sort(F.collect_list(reading)).alias("_r"), near.alias("_near"))
-        .where(~F.col("_near"))
-    )
-    at = _cuts_of(F.transform("_r", lambda r: r["choke_size"]), F.lit(float(tolerance)))
-    cut = lists.select("well", "segment", "_r", F.explode(at).alias("_at"))
-    return cut.select("well", "segment", F.get("_r", F.col("_at"))["production_date"].alias("production_date"))
 
+def _cut_dates(tolerance: float) -> Column:
+    """Dates at which the list `_days` is cut; segments whose extremes are near are not handed to Python."""
+    read = F.filter("_days", lambda d: d["control"].isNotNull())
+    values = F.transform(read, lambda d: d["control"])
+    low, high = F.array_min(values), F.array_max(values)
+    near = F.coalesce((low * high > 0) & (high - low <= tolerance * F.least(F.abs(low), F.abs(high))), F.lit(True))
+    at = _cuts_of(F.when(near, F.array().cast("array<double>")).otherwise(values), F.lit(float(tolerance)))
+    return F.array_sort(F.transform(at, lambda i: F.get(read, i)["production_date"]))
 
-def split_on_control(segmented: DataFrame, tolerance: float = fixed.CONTROL_TOLERANCE) -> DataFrame:
-    """Add `part`, numbered within a segment: a new part starts at each control cut.
 
-    The cuts of a well come as one list (a well has a day once, so its dates tell them apart), which
-    keeps the days where the segments left them.
+def control_cuts(segmented: DataFrame, tolerance: float = fixed.CONTROL_TOLERANCE) -> DataFrame:
+    """Dates that start a new part inside a segment (well, segment, production_date).
+
+    Where to cut depends on medians of the pieces cut so far, so this is the one step that needs
+    Python; it gets one list of readings per segment, and only of segments that may fail.
     """
-    cuts = control_cuts(segmented, tolerance).groupBy("well").agg(F.collect_set("production_date").alias("_cuts"))
-    w = Window.partitionBy("well", "segment").orderBy("production_date")
-    starts = F.coalesce(F.array_contains("_cuts", F.col("production_date")), F.lit(False))
-    return (
-        segmented.join(cuts, "well", "left")
-        .withColumn("part", F.sum(starts.cast("bigint")).over(w))
-        .drop("_cuts")
-    )
+    return _segment_lists(segmented).select("well", "segment", F.explode(_cut_dates(tolerance)).alias("production_date"))
 
 
 def stable_windows(
@@ -124,26 +112,28 @@ def stable_windows(
 ) -> DataFrame:
     """Reference windows (well, window_start, window_end, valid days, median control, tested).
 
-    `tolerance=None` leaves the control test out.
+    `tolerance=None` leaves the control test out. A segment is one list, cut and summed up where the
+    segments were made: there is one shuffle, by well.
     """
-    rows = segments(days, activity)
-    rows = (
-        rows.withColumn("part", F.lit(0).cast("bigint"))
-        if tolerance is None
-        else split_on_control(rows, tolerance)
-    )
-    r = control_reading()
-    return (
-        rows.groupBy("well", "segment", "part")
-        .agg(
-            F.min("production_date").alias("window_start"),
-            F.max("production_date").alias("window_end"),
-            F.count_if(fd.is_valid()).alias("valid_producing_days"),
-            F.percentile(r, F.lit(0.5)).alias("median_choke"),
-            (F.count(r) >= 2).alias("choke_test_applied"),
-        )
-        .where(F.col("valid_producing_days") >= min_valid_days)
-        .drop("segment", "part")
+    lists = _segment_lists(segments(days, activity))
+    none = F.array().cast("array<date>")
+    lists = lists.withColumn("_cuts", none if tolerance is None else _cut_dates(tolerance))
+    starts = lists.withColumn("_starts", F.concat(F.array(F.lit(None).cast("date")), "_cuts"))
+    parts = starts.select("well", "_days", "_starts", F.posexplode("_starts").alias("_k", "_from"))
+    until = F.get("_starts", F.col("_k") + 1)
+    inside = lambda d: (F.col("_from").isNull() | (d["production_date"] >= F.col("_from"))) & (until.isNull() | (d["production_date"] < until))
+    part = parts.select("well", F.filter("_days", inside).alias("_p"))
+    read = F.array_sort(F.transform(F.filter("_p", lambda d: d["control"].isNotNull()), lambda d: d["control"]))
+    part = part.withColumns({"_c": read, "valid_producing_days": F.size(F.filter("_p", lambda d: d["valid"])).cast("bigint")})
+    n = F.size("_c")
+    middle = lambda i: F.get("_c", F.floor(i).cast("int"))
+    return part.where(F.col("valid_producing_days") >= min_valid_days).select(
+        "well",
+        F.element_at("_p", 1)["production_date"].alias("window_start"),
+        F.element_at("_p", -1)["production_date"].alias("window_end"),
+        "valid_producing_days",
+        F.when(n > 0, (middle((n - 1) / 2) + middle(n / 2)) / 2).alias("median_choke"),
+        (n >= 2).alias("choke_test_applied"),
     )
 
 
