@@ -150,8 +150,8 @@ def bounds(pivots: Pivots, data: pd.DataFrame, queries: pd.DataFrame, k: int, gr
         least[cell, : len(some)] = some
     reach, asked = np.zeros(cells), np.zeros(cells, dtype=np.int64)
     reach[queries["cell"]], asked[queries["cell"]] = queries["most"], queries["rows"]
-    held = np.zeros(cells, dtype=np.int64)
-    held[data["cell"]] = data["rows"]
+    held, most = np.zeros(cells, dtype=np.int64), np.full(cells, -np.inf)
+    held[data["cell"]], most[data["cell"]] = data["rows"], data["most"]
     theta = np.full(cells, np.inf)
     for i in np.flatnonzero(asked):
         upper = (between[i][:, None] + least + reach[i]).ravel()
@@ -174,7 +174,8 @@ def bounds(pivots: Pivots, data: pd.DataFrame, queries: pd.DataFrame, k: int, gr
         low[:, groups[i]] = np.minimum(low[:, groups[i]], between[i] * (1 - SLACK) - width)
         high[:, groups[i]] = np.maximum(high[:, groups[i]], between[i] * (1 + SLACK) + width)
     parts = np.array([-(-int(asked[groups == g].sum()) // group_queries) for g in range(count)], dtype=np.int64)
-    needed = [int(held[low[:, g] <= high[:, g]].sum()) for g in range(count)]
+    # Cells that a ring reaches; of a cell that it crosses fewer rows may go.
+    needed = [int(held[(low[:, g] <= most) & (high[:, g] >= least[:, 0])].sum()) for g in range(count)]
     return Plan(groups, parts, np.array([max(1, -(-n // block_rows)) for n in needed], dtype=np.int64), low, high)
 
 
