@@ -15,6 +15,7 @@ from daytrace.operators import facts as of
 from daytrace.operators import findings as on
 from daytrace.operators import review as orv
 from daytrace.plans import investigation
+from daytrace.session import checkpointed
 
 CHANNELS = ("on_stream_hours", "choke_size", "choke_dp_bar", "downhole_pressure_bar", "wellhead_pressure_bar")
 
@@ -202,6 +203,12 @@ def investigated(spark, folder) -> investigation.Investigation:
     return investigation.investigate(episodes, grouped_days(spark, folder, days), chunk_view(spark, folder), group="field")
 
 
+def formed(spark, folder) -> DataFrame:
+    """The hypotheses of all episodes before any search."""
+    days, _, _, episodes = episode_frames(spark, folder)
+    return investigation.form(episodes, grouped_days(spark, folder, days), group="field")[2]
+
+
 @query(
     "hypotheses",
     f"""WITH RECURSIVE {DIAGNOSIS_SQL}, {HYPOTHESES_SQL}
@@ -209,8 +216,7 @@ def investigated(spark, folder) -> investigation.Investigation:
 )
 def hypotheses(spark, folder) -> DataFrame:
     """H1, H2: five hypotheses per episode with their status."""
-    formed = investigated(spark, folder).formed
-    return formed.select(
+    return formed(spark, folder).select(
         "well", day("onset"), "hypothesis_id", "status", "causal_level", joined("unavailable_channels", "unavailable")
     )
 
@@ -236,7 +242,7 @@ passes AS (
 )
 def evidence_passes(spark, folder) -> DataFrame:
     """H3: which hypotheses are searched for, in which order."""
-    passes = on.evidence_passes(investigated(spark, folder).formed)
+    passes = on.evidence_passes(formed(spark, folder))
     return passes.select("well", day("onset"), "pass", "hypothesis_id", "query")
 
 
@@ -271,7 +277,8 @@ evidence AS (
 )
 def evidence(spark, folder) -> DataFrame:
     """Spans found near each episode for each searched hypothesis."""
-    found = on.retrieve(investigated(spark, folder).passes, chunk_view(spark, folder))
+    passes = checkpointed(on.evidence_passes(formed(spark, folder)))
+    found = on.retrieve(passes, chunk_view(spark, folder))
     return found.select(
         "well",
         day("onset"),
@@ -427,8 +434,9 @@ def _log(spark, folder) -> DataFrame:
     )
 
 
-def queue_view(spark, folder) -> DataFrame:
-    done = investigated(spark, folder)
+def queue_view(spark, folder, done: investigation.Investigation | None = None) -> DataFrame:
+    """The queue of an investigation, or of one made anew."""
+    done = done or investigated(spark, folder)
     log = _log(spark, folder).join(
         done.episodes.select("well", orv.investigation_id(F.col("well"), F.col("onset")).alias("investigation_id")), "well"
     )
@@ -543,7 +551,7 @@ def finding_audits(spark, folder) -> DataFrame:
     """Q11, Q12: priority recomputed, abstentions explained, no held-out name in served text."""
     done = investigated(spark, folder)
     found = oa.all_outcomes(
-        oa.priority_as_printed(queue_view(spark, folder)),
+        oa.priority_as_printed(queue_view(spark, folder, done)),
         oa.abstentions_explained(orv.coverage_lines(done.findings, done.bundle)),
         oa.no_hold_out_in_text(done.findings.select(F.col("narrative").alias("text"))),
     )
@@ -587,5 +595,5 @@ def safety_report(spark, folder) -> DataFrame:
 )
 def episode_facts(spark, folder) -> DataFrame:
     """Measured and derived facts of every episode."""
-    facts, _, _ = of.episode_facts(investigated(spark, folder).episodes, oil_price=400.0)
+    facts, _, _ = of.episode_facts(checkpointed(episode_frames(spark, folder)[3]), oil_price=400.0)
     return facts.select("metric", "unit", F.col("source_locator")["well"].alias("well"), rounded("value", digits=2))

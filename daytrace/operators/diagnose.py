@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from daytrace.operators.joins import in_range
 
 EPISODE = ["well", "onset", "offset"]
 ROW_CELL = 64
-DATE_CELL = 64
+#: Wells and ranges of dates that one task compares at once, and cells that a median sorts at once.
+WELLS_AT_ONCE, RANGES_AT_ONCE, MEDIAN_CELLS = 512, 8192, 1 << 18
 
 
 def _median(c: Column) -> Column:
@@ -137,26 +140,114 @@ def channel_rows(bundle: DataFrame) -> DataFrame:
     )
 
 
-def offset_changes(ranges: DataFrame, days: DataFrame, baseline_rows: int = fixed.BASELINE_ROWS) -> DataFrame:
-    """Rate change of every well of a group over each range of dates (_group, onset, offset, well, change, nth, wells).
+def _medians(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Median of values[start:end] for each pair, NaN where it holds no reading."""
+    out = np.full(len(starts), np.nan)
+    widths = ends - starts
+    order = np.argsort(widths, kind="stable")
+    step = max(1, MEDIAN_CELLS // max(1, int(widths.max(initial=1))))
+    for part in (order[i : i + step] for i in range(0, len(order), step)):
+        at = starts[part, None] + np.arange(max(1, int(widths[part].max())))
+        held = np.where(at < ends[part, None], values[np.minimum(at, len(values) - 1)], np.nan)
+        held.sort(axis=1)
+        n = np.count_nonzero(~np.isnan(held), axis=1)
+        row = np.arange(len(part))
+        low, high = held[row, np.maximum(n - 1, 0) // 2], held[row, np.minimum(n // 2, held.shape[1] - 1)]
+        out[part] = np.where(low == high, low, 0.5 * low + 0.5 * high)
+    return out
 
-    A range that several episodes share is worked once. Its medians are taken over the well's rows
-    inside it and over the rows before the first of them, both found by range joins on cells, so the
-    work is the ranges times the wells of their group. nth is the place of the change within its range,
-    from 0, and `wells` how many wells could be compared.
+
+def _changes(dates: np.ndarray, rates: np.ndarray, inside: np.ndarray, first: np.ndarray, last: np.ndarray, baseline_rows: int) -> np.ndarray:
+    """Rate change of one well over each range of dates, NaN where it cannot be compared.
+
+    `inside` marks the rows that belong to the group. Ranges that hold the same rows are worked once.
+    """
+    at = np.flatnonzero(inside)
+    low, high = np.searchsorted(dates[at], first, "left"), np.searchsorted(dates[at], last, "right")
+    pairs, place = np.unique(low * (len(at) + 1) + high, return_inverse=True)
+    low, high = np.divmod(pairs, len(at) + 1)
+    change = np.full(len(pairs), np.nan)
+    begin = at[np.minimum(low, len(at) - 1)]
+    held = np.flatnonzero((high > low) & (begin >= fixed.MIN_CHANNEL_READINGS))
+    if len(held):
+        begins, which = np.unique(begin[held], return_inverse=True)
+        before = _medians(rates, np.maximum(begins - baseline_rows, 0), begins)[which]
+        during = _medians(rates[at], low[held], high[held])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            change[held] = np.where(before > 0, (during - before) / before, np.nan)
+    return change[place]
+
+
+def _compare(baseline_rows: int):
+    """The changes of a bucket of wells over a part of the ranges of their group, one row per range."""
+
+    def compared(key: tuple, wells: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
+        if wells.empty or ranges.empty:
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("_group", "onset", "offset", "changes", "down", "own")})
+        first, last = ranges["first"].to_numpy(), ranges["last"].to_numpy()
+        rows = zip(wells["dates"], wells["rates"], wells["inside"], strict=True)
+        table = np.stack([_changes(np.asarray(d), np.asarray(r, dtype=float), np.asarray(i, dtype=bool), first, last, baseline_rows) for d, r, i in rows])
+        place = {well: n for n, well in enumerate(wells["well"])}
+        own = [
+            [{"well": w, "change": None if np.isnan(table[place[w], n]) else table[place[w], n]} for w in asked if w in place]
+            for n, asked in enumerate(ranges["asked"])
+        ]
+        ordered = np.sort(table, axis=0)
+        counts = np.count_nonzero(~np.isnan(ordered), axis=0)
+        return pd.DataFrame(
+            {
+                "_group": key[0],
+                "onset": ranges["onset"],
+                "offset": ranges["offset"],
+                "changes": [ordered[:n, i] for i, n in enumerate(counts)],
+                "down": np.count_nonzero(ordered <= fixed.OFFSET_DOWN, axis=0),
+                "own": own,
+            }
+        )
+
+    return compared
+
+
+def offset_changes(asked: DataFrame, days: DataFrame, sizes: DataFrame, baseline_rows: int = fixed.BASELINE_ROWS) -> DataFrame:
+    """Rate changes of every well of a group over each range of dates (_group, onset, offset, changes, down, own).
+
+    `asked` names ranges by well (_group, onset, offset, well), `days` has a column _group, `sizes` the wells
+    of each group. A range that several episodes share is worked once. A well's rows, at most one a date, are
+    one list; buckets of wells meet the ranges of their group, so no row is paired with a range and only
+    the changes are shuffled. `changes` are sorted; `own` holds the change of each well that asked.
     """
-    rate = _median(F.col("q_24h"))
-    rows = numbered(days).select("well", "_group", "production_date", "q_24h", "row")
-    key = ["_group", "onset", "offset", "well"]
-    inside = in_range(rows, ranges, ["_group"], F.unix_date("production_date"), F.unix_date("onset"), F.unix_date("offset"), DATE_CELL)
-    during = inside.groupBy(*key).agg(rate.alias("during"), F.min("row").alias("_first")).where("during is not null")
-    during = during.where(F.col("_first") > fixed.MIN_CHANNEL_READINGS)
-    earlier = in_range(rows.drop("_group", "production_date"), during, ["well"], F.col("row"), F.col("_first") - baseline_rows, F.col("_first") - 1, ROW_CELL)
-    before = earlier.groupBy(*key, "during").agg(rate.alias("before")).where("before > 0")
-    within_range = Window.partitionBy("_group", "onset", "offset")
-    changes = before.select(*key, ((F.col("during") - F.col("before")) / F.col("before")).alias("change"))
-    return changes.withColumns(
-        {"nth": F.row_number().over(within_range.orderBy("change", "well")) - 1, "wells": F.count(F.lit(1)).over(within_range)}
+    rows = F.array_sort(F.collect_list(F.struct(F.unix_date("production_date").alias("n"), "q_24h", "_group")))
+    held = days.groupBy("well").agg(rows.alias("_rows"))
+    lists = held.withColumn("_group", F.explode(F.array_distinct(F.transform("_rows", lambda r: r["_group"]))))
+    ranges = asked.groupBy("_group", "onset", "offset").agg(F.collect_set("well").alias("asked"))
+    placed = ranges.select(
+        "*", F.unix_date("onset").alias("first"), F.unix_date("offset").alias("last"),
+        F.floor((F.row_number().over(Window.partitionBy("_group").orderBy("onset", "offset")) - 1) / RANGES_AT_ONCE).alias("_part"),
+    )
+    parts = placed.groupBy("_group").agg((F.max("_part") + 1).alias("_parts"))
+    buckets = F.ceil(F.col("wells") / WELLS_AT_ONCE)
+    wells = (
+        lists.join(sizes, "_group")
+        .join(parts, "_group")
+        .select(
+            "_group",
+            F.pmod(F.xxhash64("well"), buckets).alias("_bucket"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_part"),
+            "well",
+            F.transform("_rows", lambda r: r["n"]).alias("dates"),
+            F.transform("_rows", lambda r: r["q_24h"]).alias("rates"),
+            F.transform("_rows", lambda r: r["_group"].eqNullSafe(F.col("_group"))).alias("inside"),
+        )
+    )
+    dealt = placed.join(sizes, "_group").withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), buckets - 1))).drop("wells")
+    key = ["_group", "_bucket", "_part"]
+    group = days.schema["_group"].dataType.simpleString()
+    shape = f"_group {group}, onset date, offset date, changes array<double>, down bigint, own array<struct<well:string,change:double>>"
+    found = wells.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(_compare(baseline_rows), shape)
+    return found.groupBy("_group", "onset", "offset").agg(
+        F.sort_array(F.flatten(F.collect_list("changes"))).alias("changes"),
+        F.sum("down").alias("down"),
+        F.flatten(F.collect_list("own")).alias("own"),
     )
 
 
@@ -164,38 +255,35 @@ def offsets(episodes: DataFrame, days: DataFrame, group: str, baseline_rows: int
     """Rate change of the other wells over each episode's dates, against their own rows before.
 
     `group` names a column of `days` (a field, an area) whose wells are compared. The changes of a
-    range are ranked once; the median of all wells but the episode's own is then read off the four
-    changes in the middle, moved by one place where the own well lies before it.
+    range are sorted once; the median of all wells but the episode's own is then read off their
+    middle, moved by one place where the own well lies before it.
     """
-    own = episodes.select(*EPISODE)
-    placed = days.withColumn("_group", F.col(group))
+    # Columns that the comparison does not need would follow every day into its well's list.
+    placed = days.select("well", "production_date", "q_24h", F.col(group).alias("_group"))
     members = placed.select("_group", "well").distinct()
-    sizes = members.groupBy("_group").agg((F.count(F.lit(1)) - 1).alias("other_wells"))
-    asked = own.join(members, "well")
-    key = ["_group", "onset", "offset"]
-    changes = offset_changes(asked.select(*key).distinct(), placed, baseline_rows)
-    half = F.floor(F.col("wells") / 2)
-    middle = F.when(F.col("nth").between(half - 1, half + 1), F.struct("nth", "change"))
-    summary = changes.groupBy(*key).agg(
-        F.max("wells").alias("_n"),
-        F.count_if(F.col("change") <= fixed.OFFSET_DOWN).alias("_down"),
-        F.map_from_entries(F.collect_list(middle)).alias("_middle"),
-    )
-    mine = changes.select(*key, "well", F.col("nth").alias("_nth"), F.col("change").alias("_change"))
-    out = asked.join(sizes, "_group").join(summary, key, "left").join(mine, [*key, "well"], "left")
-    there = F.col("_nth").isNotNull()
-    left = F.coalesce("_n", F.lit(0)) - there.cast("int")
-
-    def change_at(place: Column) -> Column:
-        """The change at a place among the other wells."""
-        full = place + F.coalesce((place >= F.col("_nth")).cast("int"), F.lit(0))
-        return F.try_element_at("_middle", full.cast("int"))
-
-    median = F.when(left > 0, (change_at(F.floor((left - 1) / 2)) + change_at(F.floor(left / 2))) / 2)
-    down = F.coalesce("_down", F.lit(0)) - F.coalesce((F.col("_change") <= fixed.OFFSET_DOWN).cast("int"), F.lit(0))
-    n = F.col("other_wells")
-    return out.select(*EPISODE, "other_wells", left.alias("wells_compared"), down.alias("wells_also_down"), median.alias("median_rate_change")).withColumn(
-        "field_wide", (n > 0) & (F.col("wells_also_down") >= F.greatest(F.lit(1), F.floor(n / 2)))
+    sizes = members.groupBy("_group").agg(F.count(F.lit(1)).alias("wells"))
+    asked = episodes.select(*EPISODE).join(members, "well")
+    summary = offset_changes(asked, placed, sizes, baseline_rows)
+
+    def judged(own: Column) -> Column:
+        there = own["change"].isNotNull()
+        left = F.size("changes") - there.cast("int")
+        nth = F.array_position("changes", own["change"]) - 1
+
+        def change_at(place: Column) -> Column:
+            """The change at a place among the other wells."""
+            return F.get("changes", (place + F.coalesce((place >= nth).cast("int"), F.lit(0))).cast("int"))
+
+        median = F.when(left > 0, (change_at(F.floor((left - 1) / 2)) + change_at(F.floor(left / 2))) / 2)
+        down = F.col("down") - F.coalesce((own["change"] <= fixed.OFFSET_DOWN).cast("int"), F.lit(0))
+        return F.struct(
+            own["well"].alias("well"), left.cast("bigint").alias("wells_compared"), down.alias("wells_also_down"), median.alias("median_rate_change")
+        )
+
+    out = summary.select("_group", "onset", "offset", F.inline(F.transform("own", judged))).join(sizes, "_group")
+    n = F.col("wells") - 1
+    return out.select(*EPISODE, n.alias("other_wells"), "wells_compared", "wells_also_down", "median_rate_change").withColumn(
+        "field_wide", (F.col("other_wells") > 0) & (F.col("wells_also_down") >= F.greatest(F.lit(1), F.floor(F.col("other_wells") / 2)))
     )
 
 
