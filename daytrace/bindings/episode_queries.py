@@ -153,17 +153,21 @@ def offset_wells(spark, folder) -> DataFrame:
     )
 
 
-CALLS_SQL = """signed AS (
+def calls_sql(signal: str) -> str:
+    return f"""signed AS (
   SELECT *, std * CASE WHEN channel = 'choke_dp_bar' THEN 1 ELSE -1 END AS signal FROM compared),
 calls AS (
-  SELECT well, onset, z, arg_min(channel, (-round(signal, 9), position)) FILTER (WHERE signal >= 1) AS channel,
+  SELECT well, onset, z, arg_min(channel, (-round(signal, 9), position)) FILTER (WHERE {signal} >= 1) AS channel,
     coalesce(string_agg(channel, ',' ORDER BY position) FILTER (WHERE std IS NULL), '') AS skipped
   FROM signed GROUP BY well, onset, z)"""
 
 
+CALLS_SQL = calls_sql("signal")
+
+
 @query(
     "strongest_deviation",
-    f"""WITH RECURSIVE {EPISODE_STUDY_SQL}, {ROWS_SQL}, {COMPARED_SQL}, {CALLS_SQL}
+    f"""WITH RECURSIVE {EPISODE_STUDY_SQL}, {ROWS_SQL}, {COMPARED_SQL}, {calls_sql("round(signal, 9)")}
     SELECT well, CAST(onset AS VARCHAR) AS onset, channel, skipped AS skipped_channels, channel IS NULL AS abstained FROM calls""",
 )
 def strongest_deviation(spark, folder) -> DataFrame:
@@ -172,18 +176,19 @@ def strongest_deviation(spark, folder) -> DataFrame:
     return calls.select("well", day("onset"), "channel", joined("skipped_channels"), "abstained")
 
 
-def _fall(channel: str) -> str:
+def _fall(channel: str, std: str) -> str:
     return f"""(SELECT CASE WHEN ne < 3 OR std IS NULL THEN 'unresolved'
-      WHEN -std >= 1 AND (rel IS NULL OR abs(rel) >= 0.1) THEN 'supported' WHEN -std >= 0.5 THEN 'plausible'
-      WHEN -std <= -1 THEN 'contradicted' ELSE 'weak' END
+      WHEN -{std} >= 1 AND (rel IS NULL OR abs(rel) >= 0.1) THEN 'supported' WHEN -{std} >= 0.5 THEN 'plausible'
+      WHEN -{std} <= -1 THEN 'contradicted' ELSE 'weak' END
       FROM compared c WHERE c.channel = '{channel}' AND c.well = r.well AND c.onset = r.onset)"""
 
 
-HYPOTHESES_SQL = f"""judged AS (
-  SELECT r.well, r.onset, r.z, {_fall("choke_size")} AS h0, {_fall("on_stream_hours")} AS h1,
+def hypotheses_sql(std: str) -> str:
+    return f"""judged AS (
+  SELECT r.well, r.onset, r.z, {_fall("choke_size", std)} AS h0, {_fall("on_stream_hours", std)} AS h1,
     CASE WHEN wd IS NULL OR wb IS NULL THEN 'unresolved' WHEN wd - wb >= 0.05e0 THEN 'supported'
       WHEN wd - wb > 0 THEN 'plausible' ELSE 'contradicted' END AS h2,
-    {_fall("downhole_pressure_bar")} AS h3,
+    {_fall("downhole_pressure_bar", std)} AS h3,
     CASE WHEN n = 0 THEN 'unresolved' WHEN field_wide THEN 'supported' WHEN down > 0 THEN 'plausible'
       ELSE 'contradicted' END AS h4,
     (SELECT coalesce(string_agg(channel, ',' ORDER BY position), '') FROM compared c
@@ -197,6 +202,9 @@ formed AS (
   FROM judged, (SELECT unnest([0, 1, 2, 3, 4]) AS position))"""
 
 
+HYPOTHESES_SQL = hypotheses_sql("std")
+
+
 def investigated(spark, folder) -> investigation.Investigation:
     """The investigation of all episodes, made anew for each query."""
     days, _, _, episodes = episode_frames(spark, folder)
@@ -211,7 +219,7 @@ def formed(spark, folder) -> DataFrame:
 
 @query(
     "hypotheses",
-    f"""WITH RECURSIVE {DIAGNOSIS_SQL}, {HYPOTHESES_SQL}
+    f"""WITH RECURSIVE {DIAGNOSIS_SQL}, {hypotheses_sql("round(std, 9)")}
     SELECT well, CAST(onset AS VARCHAR) AS onset, hypothesis_id, status, level AS causal_level, unavailable FROM formed""",
 )
 def hypotheses(spark, folder) -> DataFrame:

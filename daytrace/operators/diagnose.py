@@ -303,12 +303,12 @@ def strongest_deviation(bundle: DataFrame) -> DataFrame:
         )
 
     comparable = F.filter("channels", lambda c: c["standardised_shift"].isNotNull())
-    strong = F.filter(F.transform(comparable, scored), lambda s: s["signed"] >= fixed.STRONG_SHIFT)
+    strong = F.filter(F.transform(comparable, scored), lambda s: F.round(s["signed"], fixed.SHIFT_DIGITS) >= fixed.STRONG_SHIFT)
     best = F.array_max(
         F.transform(
             strong,
             lambda s: F.struct(
-                F.round(s["signed"], 9).alias("rounded"), s["order"].alias("order"), s["channel"].alias("channel"), s["signed"].alias("signed")
+                F.round(s["signed"], fixed.SHIFT_DIGITS).alias("rounded"), s["order"].alias("order"), s["channel"].alias("channel"), s["signed"].alias("signed")
             ),
         )
     )

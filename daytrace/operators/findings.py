@@ -15,6 +15,8 @@ OPEN = ("supported", "plausible")
 
 
 def status_of(signal: Column, relative: Column, available: Column) -> Column:
+    """Status of a signal, rounded first: the last bits of a deviation depend on the order of its rows."""
+    signal = F.round(signal, fixed.SHIFT_DIGITS)
     material = relative.isNull() | (F.abs(relative) >= fixed.MIN_RELATIVE_SHIFT)
     return (
         F.when(~available | signal.isNull(), "unresolved")
