@@ -202,7 +202,7 @@ def recorded_time(spark, folder) -> DataFrame:
         count(*) FILTER (WHERE activity_code LIKE 'interruption%' OR state = 'fail') AS n FROM blocks GROUP BY well),
     st AS (SELECT well, sum(hours) AS h, count(*) AS n FROM lost WHERE state_detail <> 'mud loss' GROUP BY well)
     SELECT t.well, round(t.npt, 4) AS npt_hours, round(coalesce(st.h, 0), 4) AS store_hours,
-      abs(t.npt - coalesce(st.h, 0)) <= 0.01 AS hours_agree, t.n = coalesce(st.n, 0) AS counts_agree
+      round(abs(t.npt - coalesce(st.h, 0)), 9) <= 0.01 AS hours_agree, t.n = coalesce(st.n, 0) AS counts_agree
     FROM t LEFT JOIN st USING (well)""",
 )
 def walk_store_reconcile(spark, folder) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daytrace.operators.events import HOUR_MICROS, hours_between, is_non_productive
@@ -141,14 +141,18 @@ def reconcile(walked: DataFrame, events: DataFrame) -> DataFrame:
         F.sum("duration_hours").alias("store_hours"), F.count(F.lit(1)).alias("store_events")
     )
     joined = walked.join(stored, "well", "left").fillna(0.0, ["store_hours"]).fillna(0, ["store_events"])
-    categories = F.abs(F.col("npt_hours") + F.col("non_npt_recorded_hours") - F.col("summed_block_hours"))
+
+    def agree(difference: Column) -> Column:
+        # The last bits of a sum depend on the order of its rows.
+        return F.round(F.abs(difference), 9) <= TOLERANCE_HOURS
+
     return joined.select(
         "well",
         "npt_hours",
         "store_hours",
         "npt_blocks",
         "store_events",
-        (categories <= TOLERANCE_HOURS).alias("categories_sum"),
-        (F.abs(F.col("npt_hours") - F.col("store_hours")) <= TOLERANCE_HOURS).alias("hours_agree"),
+        agree(F.col("npt_hours") + F.col("non_npt_recorded_hours") - F.col("summed_block_hours")).alias("categories_sum"),
+        agree(F.col("npt_hours") - F.col("store_hours")).alias("hours_agree"),
         (F.col("npt_blocks") == F.col("store_events")).alias("counts_agree"),
     )

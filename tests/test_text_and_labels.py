@@ -267,3 +267,14 @@ def test_draws_are_round_robin_and_reproducible(spark):
         assert sorted(r.position for r in ids) == list(range(1, 21))
     assert os_.unplaced_labels(labels, events.where("event_id like 'x%'")).count() == 35
     assert fixed.CONTESTED_CAUSES
+
+
+def test_hours_agree_up_to_the_limit_whatever_the_order(spark):
+    from daytrace.operators import recorded_time as ort
+
+    # 0.1 + 0.2 - 0.29 is 0.01 and a rounding error more.
+    walked = spark.createDataFrame([("u", 0.1 + 0.2, 0.0, 0.29, 2)], "well string, npt_hours double, non_npt_recorded_hours double, summed_block_hours double, npt_blocks bigint")
+    events = spark.createDataFrame([("u", 0.29)], "well string, duration_hours double")
+    assert abs(0.1 + 0.2 - 0.29) > 0.01
+    found = ort.reconcile(walked, events).first()
+    assert found.hours_agree and found.categories_sum and not found.counts_agree
