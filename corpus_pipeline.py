@@ -33,8 +33,11 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of texts with a similarity of 0.8 or more."""
-    return similar.representatives(docs)
+    """The document with the smallest id of each component of texts with a similarity of 0.8 or more.
+
+    Candidates are the links of SimHash fingerprints (operator 8) and shared minhash keys; an exact check follows.
+    """
+    return similar.representatives(docs, fingerprints=True)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

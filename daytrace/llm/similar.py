@@ -11,6 +11,8 @@ holds one component, as a group of near copies does. The nodes of the other larg
 two sets of similarity 0.8 share one of the rarest fifth of their shingles (their prefixes, in one order
 for all, rarest first), so nodes with a common prefix shingle are candidates if they are not in one component already.
 No pair is lost, and none is formed inside a component.
+
+With `fingerprints`, nodes whose SimHash fingerprints `simhash` links are candidates as well, under the same exact check.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daytrace.llm import simhash
 from daytrace.llm.common import BROADCAST_ROWS, cut, salted_join
 from daytrace.llm.simhash import _LOWER, components
 
@@ -92,6 +95,19 @@ def candidates(nodes: DataFrame, pairs: int = PAIRS) -> DataFrame:
     return every.union(ends).distinct()
 
 
+def fingerprint_candidates(marked: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of the nodes of `marked` (fp, node) that share a fingerprint or whose fingerprints are linked.
+
+    A fingerprint stands for its nodes by the smallest of them, so pairs grow with nodes and links.
+    """
+    least = cut(marked.groupBy("fp").agg(F.min("node").alias("least")))
+    same = salted_join(marked, least, ["fp"], ["node"], salts=8).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    one, two = (least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in ("a", "b"))
+    across = simhash.links(least.select("fp")).join(one, "a").join(two, "b").select("least_a", "least_b")
+    every = same.union(across).where("a <> b")
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def sets_of(rows: DataFrame, text: str) -> DataFrame:
     """node and its set, made again from the text."""
 
@@ -140,7 +156,7 @@ def prefix_candidates(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return prefixes.join(other, "element").where(near).select(F.col("node").alias("a"), "b").distinct()
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", pairs: int = PAIRS) -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", pairs: int = PAIRS, fingerprints: bool = False) -> DataFrame:
     """One row of `docs` of each component of similar texts: that with the smallest key, null keys last.
 
     Texts without words are copies of each other. Of rows that share the smallest key the one with the
@@ -158,7 +174,11 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
         texts = rows.select("__row_id", text).join(needed, F.col("__row_id") == F.col("__row")).dropDuplicates(["__row_id"])
         return cut(sets_of(texts, text))
 
-    found = cut(candidates(nodes.select("node", "keys"), pairs))
+    met = candidates(nodes.select("node", "keys"), pairs)
+    if fingerprints:
+        marked = cut(simhash.fingerprints(rows, "__row_id", text)).join(prints.select(F.col("row").alias("__row_id"), "node"), "__row_id")
+        met = met.union(fingerprint_candidates(cut(marked.select("fp", "node").distinct()))).distinct()
+    found = cut(met)
     linked = cut(links(found, sets(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())))
     roots = cut(components(linked))
     rest = unsettled(nodes.select("node", "keys"), roots, pairs)

@@ -78,3 +78,17 @@ def test_nulls_short_texts_and_no_rows(spark):
     rows = [(7, None), (4, ""), (6, " \n"), (2, "A  b"), (8, "a b"), (8, "a b"), (9, "a b c"), (None, "a B"), (None, "solo"), (None, "solo")]
     assert kept(spark, rows) == [(False, 2, "A  b"), (False, 4, ""), (False, 9, "a b c"), (True, None, "solo")]
     assert kept(spark, []) == []
+
+
+def test_stage_takes_the_links_of_fingerprints(spark, monkeypatch):
+    """With no minhash key shared, texts whose fingerprints are linked still meet, and the exact check judges them."""
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(1500)]
+    near = next(t for i in range(1500) if (simhash(t := " ".join(base[:i] + ["other"] + base[i + 1 :])) ^ simhash(" ".join(base))).bit_count() == 2)
+    short = ["a b c d", "a b c d a b c d"]  # other sets of five words
+    texts = [" ".join(base), near, *short]
+    assert alike(found(texts[0]), found(texts[1])) and not alike(*map(found, short))
+    monkeypatch.setattr(similar, "candidates", lambda nodes, pairs: nodes.sparkSession.createDataFrame([], "a bigint, b bigint"))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect()) == [0, 2, 3]
