@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows were counted and are no more than this.
 BROADCAST_ROWS = 500_000
+#: Rows that a partition of a packed table holds at least, unless there would be fewer partitions than cores.
+PACKED_ROWS = 5_000
 #: A to Z and their small letters, the only letters that the contracts lower.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,6 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, rows: int = PACKED_ROWS) -> DataFrame:
+    """`cut`, with neighbouring partitions of a small table read together.
+
+    A shuffle writes its files per partition that it reads, and a block for each that it writes; of a small
+    table in many partitions nearly all of that is overhead. Large tables keep their partitions.
+    """
+    held = cut(df)
+    return held.coalesce(max(held.sparkSession.sparkContext.defaultParallelism, held.count() // rows))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if a count shows at most `rows` rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daytrace.llm.common import cut, salted_join, small
+from daytrace.llm.common import cut, packed, salted_join, small
 
 WORDS = 3
 SEED = 42
@@ -240,8 +240,8 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> D
     included, are linked by one-bit keys, which covers every link of a fingerprint at home there;
     the links between all others are found in anchors without those fingerprints.
     """
-    homes = cut(with_homes(nodes))
-    dense = cut(homes.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"))
+    homes = packed(with_homes(nodes))
+    dense = packed(homes.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"))
     if dense.isEmpty():
         return _ordered(compared(replicated(homes, threshold), threshold))
     if threshold > 2:
@@ -264,7 +264,7 @@ def components(edges: DataFrame) -> DataFrame:
     shrink to those between names that are left. A star, however large, collapses in one round, and
     any component loses a fraction of its nodes in each, so rounds grow with its logarithm.
     """
-    edges = cut(edges)
+    edges = packed(edges)
     roots = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
     turn = 0
     while not edges.isEmpty():
@@ -273,15 +273,15 @@ def components(edges: DataFrame) -> DataFrame:
         edges = edges.select(fresh("a").alias("a"), fresh("b").alias("b"))
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        low = cut(low.withColumnsRenamed({"a": "b"}))
+        low = packed(low.withColumnsRenamed({"a": "b"}))
         step = salted_join(both, low, ["b"], ["a"], salts=8).groupBy("a").agg(F.min("m").alias("to"))
-        step = cut(step.select("a", F.least("a", "to").alias("to")))
+        step = packed(step.select("a", F.least("a", "to").alias("to")))
         moved = salted_join(edges, step.withColumnRenamed("to", "x"), ["a"], ["b"], salts=8)
         moved = salted_join(moved, step.withColumnsRenamed({"a": "b", "to": "y"}), ["b"], ["a"], salts=8)
-        edges = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = packed(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         roots = roots.withColumn("root", fresh("root"))
         roots = salted_join(roots, step.withColumnsRenamed({"a": "root"}), ["root"], ["node"], "left", salts=8)
-        roots = cut(roots.select("node", F.coalesce("to", "root").alias("root")))
+        roots = packed(roots.select("node", F.coalesce("to", "root").alias("root")))
     return roots
 
 

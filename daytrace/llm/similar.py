@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daytrace.llm import simhash
-from daytrace.llm.common import BROADCAST_ROWS, cut, salted_join
+from daytrace.llm.common import BROADCAST_ROWS, packed, salted_join
 from daytrace.llm.simhash import _LOWER, components
 
 WORDS = 5
@@ -82,12 +82,12 @@ def candidates(nodes: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """Distinct (a, b), a < b, of nodes (distinct node, keys) that share a key."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.max("node").alias("most"))
-    shared = cut(shared.where("n > 1"))
+    shared = packed(shared.where("n > 1"))
     if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         met = keyed.join(F.broadcast(shared), "key")
     else:
         met = salted_join(keyed.withColumnRenamed("key", "_key"), shared.withColumnRenamed("key", "_key"), ["_key"], ["node"], salts=8).withColumnRenamed("_key", "key")
-    met = cut(met)
+    met = packed(met)
     together = met.where(F.col("n") <= pairs).groupBy("key").agg(F.collect_set("node").alias("all"))
     every = together.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"))
     many = met.where(F.col("n") > pairs)
@@ -100,7 +100,7 @@ def fingerprint_candidates(marked: DataFrame) -> DataFrame:
 
     A fingerprint stands for its nodes by the smallest of them, so pairs grow with nodes and links.
     """
-    least = cut(marked.groupBy("fp").agg(F.min("node").alias("least")))
+    least = packed(marked.groupBy("fp").agg(F.min("node").alias("least")))
     same = salted_join(marked, least, ["fp"], ["node"], salts=8).select(F.col("least").alias("a"), F.col("node").alias("b"))
     one, two = (least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in ("a", "b"))
     across = simhash.links(least.select("fp")).join(one, "a").join(two, "b").select("least_a", "least_b")
@@ -136,8 +136,8 @@ def unsettled(nodes: DataFrame, roots: DataFrame, pairs: int = PAIRS) -> DataFra
     of = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     keyed = of.select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
     mixed = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-    mixed = cut(mixed.where((F.col("n") > pairs) & (F.col("least") != F.col("most"))).select("key"))
-    return cut(salted_join(keyed, mixed, ["key"], ["node"], how="left_semi", salts=8).select("node", "root").distinct())
+    mixed = packed(mixed.where((F.col("n") > pairs) & (F.col("least") != F.col("most"))).select("key"))
+    return packed(salted_join(keyed, mixed, ["key"], ["node"], how="left_semi", salts=8).select("node", "root").distinct())
 
 
 def prefix_candidates(sets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def prefix_candidates(sets: DataFrame, roots: DataFrame) -> DataFrame:
     # A set of n must share n - ceil(n * p / q) + 1 of its first elements in that order.
     held = F.col("size") - F.ceil(F.col("size") * p / q) + 1
     prefixes = elements.join(seen, "element").withColumn("_nth", F.row_number().over(order)).where((F.col("_nth") <= held) & (F.col("seen") > 1))
-    prefixes = cut(prefixes.select("element", "node", "root", "size"))
+    prefixes = packed(prefixes.select("element", "node", "root", "size"))
     other = prefixes.select("element", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
     near = (F.greatest("size", "size_b") * p <= F.least("size", "size_b") * q) & (F.col("root") != F.col("root_b")) & (F.col("node") < F.col("b"))
     return prefixes.join(other, "element").where(near).select(F.col("node").alias("a"), "b").distinct()
@@ -163,29 +163,29 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     smallest hash of the text stays, and of repeated rows one. Components follow links of similar texts.
     """
     rows = docs.withColumn("__row_id", F.xxhash64(key, F.xxhash64(text)))
-    prints = cut(signatures(rows, "__row_id", text))
+    prints = packed(signatures(rows, "__row_id", text))
     order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "__row_id")
     orders = rows.select("__row_id", order.alias("order")).groupBy("__row_id").agg(F.min("order").alias("order"))
     ordered = prints.join(orders, F.col("row") == F.col("__row_id"))
-    nodes = cut(ordered.groupBy("node").agg(F.min("order").alias("order"), F.any_value("keys").alias("keys")))
+    nodes = packed(ordered.groupBy("node").agg(F.min("order").alias("order"), F.any_value("keys").alias("keys")))
 
     def sets(wanted: DataFrame) -> DataFrame:
-        needed = cut(nodes.join(wanted, "node").select("node", F.col("order.__row_id").alias("__row")))
+        needed = packed(nodes.join(wanted, "node").select("node", F.col("order.__row_id").alias("__row")))
         texts = rows.select("__row_id", text).join(needed, F.col("__row_id") == F.col("__row")).dropDuplicates(["__row_id"])
-        return cut(sets_of(texts, text))
+        return packed(sets_of(texts, text))
 
     met = candidates(nodes.select("node", "keys"), pairs)
     if fingerprints:
-        marked = cut(simhash.fingerprints(rows, "__row_id", text)).join(prints.select(F.col("row").alias("__row_id"), "node"), "__row_id")
-        met = met.union(fingerprint_candidates(cut(marked.select("fp", "node").distinct()))).distinct()
-    found = cut(met)
-    linked = cut(links(found, sets(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())))
-    roots = cut(components(linked))
+        marked = packed(simhash.fingerprints(rows, "__row_id", text)).join(prints.select(F.col("row").alias("__row_id"), "node"), "__row_id")
+        met = met.union(fingerprint_candidates(packed(marked.select("fp", "node").distinct()))).distinct()
+    found = packed(met)
+    linked = packed(links(found, sets(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())))
+    roots = components(linked)
     rest = unsettled(nodes.select("node", "keys"), roots, pairs)
     if not rest.isEmpty():
         crowd = sets(rest.select("node"))
-        more = links(cut(prefix_candidates(crowd, rest)), crowd)
-        roots = components(cut(linked.union(more).distinct()))
+        more = links(packed(prefix_candidates(crowd, rest)), crowd)
+        roots = components(packed(linked.union(more).distinct()))
     known = nodes.select("node", "order").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     root = F.struct(F.col("root").isNotNull().alias("linked"), F.coalesce("root", "node").alias("name"))
     chosen = known.groupBy(root.alias("root")).agg(F.min("order").alias("order")).select(F.col("order.__row_id").alias("__chosen"))

@@ -79,3 +79,23 @@ def test_documents(spark):
     kept = simhash.representatives(documents(spark, rows)).collect()
     assert sorted((r.doc_id is None, r.doc_id) for r in kept) == sorted((k is None, k) for k in {by[r.doc_id] for r in got})
     assert simhash.near_duplicates(documents(spark, [])).count() == 0 and simhash.representatives(documents(spark, [])).count() == 0
+
+
+def test_rounds_over_few_edges_do_not_write_files_of_every_shuffle_partition(spark):
+    from daytrace.llm.simhash import components
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9], "a bigint, b bigint").repartition(48, "a")
+        roots = components(edges)
+        groups: dict[int, set[int]] = {}
+        for r in roots.collect():
+            groups.setdefault(r["root"], set()).add(r["node"])
+        parts = roots.rdd.getNumPartitions()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sorted(map(sorted, groups.values())) == [list(range(i, i + 10)) for i in range(0, 40, 10)]
+    assert parts <= spark.sparkContext.defaultParallelism
