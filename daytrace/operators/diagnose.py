@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daytrace import fixed
 from daytrace.functions import days as fd
-from daytrace.operators.joins import in_range
+from daytrace.operators.joins import hinted, in_range, within
 
 EPISODE = ["well", "onset", "offset"]
 ROW_CELL = 64
@@ -30,10 +30,12 @@ def bundle_rows(episodes: DataFrame, days: DataFrame, baseline_rows: int = fixed
     """Day rows of each episode and of the rows before it, marked by `during`.
 
     Episodes are turned into row-number ranges of their well, so 'the last 60 rows before' is a
-    range join and nothing is ranked per episode.
+    range join and nothing is ranked per episode. Wells without an episode are left out before
+    their days are numbered.
     """
-    rows = numbered(days)
     spans = episodes.select(*EPISODE)
+    wells = spans.select("well").distinct()
+    rows = numbered(days.join(hinted(wells, within(wells)), "well", "left_semi"))
     placed = (
         rows.select("well", "production_date", "row")
         .join(
@@ -216,7 +218,7 @@ def offset_changes(asked: DataFrame, days: DataFrame, sizes: DataFrame, baseline
     one list; buckets of wells meet the ranges of their group, so no row is paired with a range and only
     the changes are shuffled. `changes` are sorted; `own` holds the change of each well that asked.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_date("production_date").alias("n"), "q_24h", "_group")))
+    rows = F.sort_array(F.collect_list(F.struct(F.unix_date("production_date").alias("n"), "q_24h", "_group")))
     held = days.groupBy("well").agg(rows.alias("_rows"))
     lists = held.withColumn("_group", F.explode(F.array_distinct(F.transform("_rows", lambda r: r["_group"]))))
     ranges = asked.groupBy("_group", "onset", "offset").agg(F.collect_set("well").alias("asked"))

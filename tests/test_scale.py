@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from daytrace.bindings import views
 from daytrace.operators import days as od
+from daytrace.operators import diagnose as og
 from daytrace.operators import joins
 from daytrace.operators import patterns as opt
 from daytrace.operators import recorded_time as ort
 from daytrace.operators import sampling as os_
 from daytrace.operators import search as osr
+from daytrace.operators import windows as ow
 
 
 def plan(df):
@@ -83,3 +85,17 @@ def test_no_text_goes_through_the_groups_of_the_register(spark):
     grouped = [line for line in text.splitlines() if "HashAggregate" in line and "sum(duration_hours" in line]
     assert grouped and not any("comment" in line for line in grouped)
     assert len(re.findall(r"SortAggregate\(key=\[_subcategory", text)) == text.count("SortAggregate")
+
+
+def test_days_of_wells_without_an_episode_are_not_numbered(spark):
+    days = plain.days_of(spark, [plain.row(i, well=w) for w in ("W", "V") for i in range(80)])
+    spans = [("W", plain.START + dt.timedelta(70), plain.START + dt.timedelta(79))]
+    found = og.bundle_rows(spark.createDataFrame(spans, "well string, onset date, offset date"), days)
+    assert re.search(r"Window \[row_number(?:.|\n)*LeftSemi", plan(found))
+    assert [tuple(r) for r in found.groupBy("well").agg(F.count(F.lit(1))).collect()] == [("W", 70)]
+
+
+def test_cuts_are_made_once_and_only_of_segments_that_can_hold_a_window(spark):
+    text = plan(ow.stable_windows(plain.days_of(spark, [plain.row(i) for i in range(30)])))
+    assert text.count("ArrowEvalPython") == 1
+    assert re.search(r"Filter \(\S+ >= 20\)", text[text.index("ArrowEvalPython") :])
