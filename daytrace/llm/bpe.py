@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from daytrace.llm.common import held
+
 #: Entries after which the tables of encoded pairs and parts, and of encoded matches, start anew.
 REMEMBERED = 200_000
 WORDS = 1_000_000
@@ -190,17 +192,15 @@ class Encoder:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-_ENCODERS: dict[tuple[int, str], Encoder] = {}
-
-
 def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
     """The worker's encoder for a broadcast table of ranks; what it remembers serves later tasks."""
     key = (id(ranks), pattern)  # the encoder holds the table, so its id stays taken
-    if key not in _ENCODERS:
-        if len(_ENCODERS) >= 2:
-            _ENCODERS.pop(next(iter(_ENCODERS)))
-        _ENCODERS[key] = Encoder(ranks, pattern)
-    return _ENCODERS[key]
+    encoders = held("bpe")
+    if key not in encoders:
+        if len(encoders) >= 2:
+            encoders.pop(next(iter(encoders)))
+        encoders[key] = Encoder(ranks, pattern)
+    return encoders[key]
 
 
 def _mapped(df: DataFrame, source: str, added: dict[str, T.DataType], ranks_path: str, pattern: str, work) -> DataFrame:

@@ -15,6 +15,7 @@ BROADCAST_ROWS = 500_000
 PACKED_ROWS = 5_000
 #: A to Z and their small letters, the only letters that the contracts lower.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_HELD: dict[str, dict] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +44,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def held(owner: str) -> dict:
+    """What a Python worker remembers between the tasks of one operator; what it held for another one is dropped.
+
+    Workers outlive the step that they were started for, so without this a worker holds the tables of all steps.
+    """
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = {}
+    return _HELD[owner]
+
+
 def packed(df: DataFrame, rows: int = PACKED_ROWS) -> DataFrame:
     """`cut`, with neighbouring partitions of a small table read together.
 

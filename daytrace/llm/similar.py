@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daytrace.llm import simhash
-from daytrace.llm.common import BROADCAST_ROWS, packed, salted_join
+from daytrace.llm.common import BROADCAST_ROWS, held, packed, salted_join
 from daytrace.llm.simhash import _LOWER, components
 
 WORDS = 5
@@ -70,6 +70,7 @@ def signatures(rows: DataFrame, row: str, text: str) -> DataFrame:
     """row, node (a hash of the set of shingles) and keys per row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("similar")
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(1)]
             nodes = pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets], pa.int64())

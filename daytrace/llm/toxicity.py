@@ -26,10 +26,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from daytrace.llm.common import held
+
 #: Labelled texts that a fit takes at most: those with the smallest hashes of their keys.
 FIT_TEXTS = 3000
 #: Landmarks at most, and how many of them may come from units of toxic texts.
@@ -389,23 +392,55 @@ def _curve(tops: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
-_REMEMBERED: dict[Model, tuple[Kernel, dict[str, float]]] = {}
+class Margins:
+    """Margins by a 128-bit hash of the unit, 24 bytes each, in the order of the first half of the hash."""
+
+    def __init__(self) -> None:
+        self.marks = np.zeros((0, 2), dtype=np.uint64)
+        self.values = np.zeros(0)
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def find(self, marks: np.ndarray) -> np.ndarray:
+        """NaN for what is not known."""
+        if not len(self):
+            return np.full(len(marks), np.nan)
+        at = np.minimum(np.searchsorted(self.marks[:, 0], marks[:, 0]), len(self) - 1)
+        return np.where((self.marks[at] == marks).all(axis=1), self.values[at], np.nan)
+
+    def add(self, marks: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(marks[:, 0], kind="stable")
+        at = np.searchsorted(self.marks[:, 0], marks[order, 0])
+        self.marks = np.insert(self.marks, at, marks[order], axis=0)
+        self.values = np.insert(self.values, at, values[order])
+
+
+def _marks_of(some: list[str]) -> np.ndarray:
+    digests = b"".join(xxhash.xxh3_128_digest(u.encode("utf-8", "surrogatepass")) for u in some)
+    return np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2)
 
 
 def _scores(model: Model, texts: list[str | None]) -> np.ndarray:
-    if model not in _REMEMBERED:
-        _REMEMBERED.clear()
-        _REMEMBERED[model] = (Kernel(list(model.landmarks)), {})
-    kernel, known = _REMEMBERED[model]
+    tables = held("toxicity")
+    if model not in tables:
+        tables.clear()
+        tables[model] = (Kernel(list(model.landmarks)), Margins())
+    kernel, known = tables[model]
     sets = [text_units(t) for t in texts]
-    new = sorted(set().union(*sets) - known.keys()) if sets else []
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = sorted(set().union(*sets))
+    some = list(set().union(*sets))
+    marks = _marks_of(some)
+    value = known.find(marks)
+    new = sorted(np.flatnonzero(np.isnan(value)).tolist(), key=some.__getitem__)
     for k in range(0, len(new), 65536):
         part = new[k : k + 65536]
-        known.update(zip(part, margins(model, kernel, part).tolist(), strict=True))
-    tops = np.array([largest([known[u] for u in s]) for s in sets]).reshape(len(sets), TOP)
+        value[part] = margins(model, kernel, [some[i] for i in part])
+    if len(known) + len(new) > REMEMBERED:
+        known = Margins()
+        tables[model] = (kernel, known)
+    known.add(marks[new], value[new])
+    of = dict(zip(some, value.tolist(), strict=True))
+    tops = np.array([largest([of[u] for u in s]) for s in sets]).reshape(len(sets), TOP)
     found = probability(model, tops)
     found[[not s for s in sets]] = 0.0
     return found

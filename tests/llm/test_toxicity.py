@@ -99,3 +99,19 @@ def test_held_out_rule(spark):
 
     got = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
+
+
+def test_margins_are_remembered_in_few_bytes_and_those_of_another_step_are_dropped(monkeypatch):
+    from daytrace.llm import bpe, common
+
+    monkeypatch.setattr(common, "_HELD", {})
+    model = toxicity.Model(("^vile", "^calm"), (1.0, -1.0), -0.1, (4.0, 1.0, 1.0, -2.0))
+    texts = [f"vile{i} calm{i % 7} word{i}" for i in range(300)] + ["", None]
+    first = toxicity._scores(model, texts)
+    ranks = {bytes([b]): b for b in range(256)}
+    (_, known) = common.held("toxicity")[model]
+    assert len(known) == 607 and known.marks.nbytes + known.values.nbytes == 24 * 607
+    monkeypatch.setattr(toxicity, "margins", lambda *_: 1 / 0)
+    assert (toxicity._scores(model, texts[::-1])[::-1] == first).all()
+    bpe._encoder(ranks, ".")
+    assert list(common._HELD) == ["bpe"]
