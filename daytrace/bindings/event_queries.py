@@ -14,6 +14,7 @@ from daytrace.operators import events as oe
 from daytrace.operators import patterns as opt
 from daytrace.operators import recorded_time as ort
 from daytrace.operators import sampling as os_
+from daytrace.session import checkpointed
 from daytrace.sources import files, store
 
 
@@ -459,6 +460,6 @@ def store_digest(spark, folder) -> DataFrame:
 @query("file_manifest")
 def file_manifest(spark, folder) -> DataFrame:
     """Size and SHA-256 of the table files checked against a manifest that misses one."""
-    found = files.fingerprints(spark, folder)
+    found = checkpointed(files.fingerprints(spark, folder))  # a row per file, so that none is hashed twice
     recorded = found.where("path <> 'nation.parquet'")
     return files.verify(found, recorded).select("path", "status")

@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import hashlib
 import random
 
@@ -186,6 +187,29 @@ def test_file_manifest_statuses(spark, tmp_path):
     assert {r.path: r.status for r in files.verify(found, manifest.where("path <> 'a'")).collect()}["a"] == "UNRECORDED"
 
 
+def test_great_files_are_not_one_row(spark, tmp_path, monkeypatch):
+    """Rows of at most 1,000 bytes stand for the 2 GB that a row may have."""
+    monkeypatch.setattr(files, "WHOLE_BYTES", 1000, raising=False)
+    draw, mark = random.Random(5), b"\xef\xbb\xbf"
+    texts = {
+        "small": b"one", "lines": b"ab\n" * 60_000, "open end": b"ab\n" * 60_000 + b"x", "feeds": b"\n" * 30_000, "no feed": bytes(90_000),
+        "crlf": b"a\r\n\r" * 20_000, "random.parquet": draw.randbytes(200_000), "mark": mark + b"ab\n" * 20_000, "mark, open": mark + b"ab\n" * 20_000 + b"x",
+        "really.gz": gzip.compress(draw.randbytes(50_000)), "not.gz": b"text\n" * 9000, "not.snappy": draw.randbytes(5000), "sub/a %20+\u00e9": draw.randbytes(99_999),
+    }
+    (tmp_path / "sub").mkdir()
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    limits = {"spark.sql.sources.binaryFile.maxLength": "1000", "spark.sql.files.maxPartitionBytes": "40000", "spark.sql.files.openCostInBytes": "1000"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.path: (r.size, r.sha256) for r in files.fingerprints(spark, str(tmp_path)).collect()}
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert got == {name: (len(text), hashlib.sha256(text).hexdigest()) for name, text in texts.items()}
+
+
 def test_label_files_need_their_fields(spark, tmp_path):
     line = '{"event_id": "e", "cause": "other", "labeller_pass": "p", "label_source": "expert"}\n'
     (tmp_path / "good.jsonl").write_text(line)
